@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeatlas.llm import copies, leaks
+from lodeatlas.llm import copies, leaks, mixing, stuffing
 from lodeatlas.plans.session import table
 
 
@@ -31,6 +31,22 @@ def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_collapsed, p7_found, p7_passages)}
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.stuffed_pages(table(spark, sf_dir, "documents"))
+
+
+def p9_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.stuffing(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_collapsed, p7_found, p7_passages, p8_mixture, p8_shares, p9_found, p9_signals)}
 
 ORACLES: dict[str, str] = {}
