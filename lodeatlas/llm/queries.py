@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeatlas.llm import copies, leaks, mixing, stuffing
+from lodeatlas.llm import canonical, copies, leaks, mixing, stuffing
 from lodeatlas.plans.session import table
 
 
@@ -19,6 +19,22 @@ def p4_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("row_id", "provider", "model_id", "display_name", "n_copies")
 
 
+def _raw_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = table(spark, sf_dir, "models").where(F.coalesce("family", F.lit("")) == "")
+    values = models.select("row_id", F.col("raw_family").alias("value"))
+    return canonical.resolve_values(values, table(spark, sf_dir, "families"), table(spark, sf_dir, "providers").select("provider"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _raw_families(spark, sf_dir).select("ref_id", "row_id")
+
+
+def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each value that stands for no entry was typed."""
+    values = table(spark, sf_dir, "models").select("row_id", F.col("raw_family").alias("value"))
+    return _raw_families(spark, sf_dir).where("ref_id = 0").join(values, "row_id").groupBy("value").agg(F.count("*").alias("n_rows"))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -47,6 +63,6 @@ def p9_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.stuffing(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_collapsed, p7_found, p7_passages, p8_mixture, p8_shares, p9_found, p9_signals)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_collapsed, p6_found, p6_unmatched, p7_found, p7_passages, p8_mixture, p8_shares, p9_found, p9_signals)}
 
 ORACLES: dict[str, str] = {}
