@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lodeatlas.plans.prefix import prefix_sums
 from lodeatlas.plans.session import cut
 
-_BLANK = r"[\s  -​　]+"
+_BLANK = r"[\s\u00a0\u2000-\u200b\u3000]+"
 
 
 def norm(text: Column) -> Column:
