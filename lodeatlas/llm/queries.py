@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeatlas.llm import canonical, copies, leaks, mixing, stuffing
+from lodeatlas.llm import canonical, copies, entities, leaks, mixing, stuffing
 from lodeatlas.plans.session import table
 
 
+def _offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.match_offers(*(table(spark, sf_dir, t) for t in ("listings", "models", "families", "providers")))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _offers(spark, sf_dir).select("row_id", "listing_id")
+
+
+def p2_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _offers(spark, sf_dir).withColumn("belief", F.round("belief", 6))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = copies.copy_classes(table(spark, sf_dir, "models"), "row_id", ["provider"], ["model_id", "display_name"])
     return classes.where("key <> first").select(F.col("first").alias("first_row_id"), F.col("key").alias("row_id"))
@@ -63,6 +75,6 @@ def p9_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.stuffing(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_collapsed, p6_found, p6_unmatched, p7_found, p7_passages, p8_mixture, p8_shares, p9_found, p9_signals)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_beliefs, p4_found, p4_collapsed, p6_found, p6_unmatched, p7_found, p7_passages, p8_mixture, p8_shares, p9_found, p9_signals)}
 
 ORACLES: dict[str, str] = {}
