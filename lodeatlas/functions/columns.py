@@ -118,7 +118,7 @@ def _date_in(text: Column) -> Column:
     """The first date written yyyy-mm-dd, else the first written yyyymmdd; null if it is no day."""
     dashed = F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})", 1)
     compact = F.regexp_replace(F.regexp_extract(text, r"(?:^|[^0-9])(\d{8})(?:$|[^0-9])", 1), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
-    day = lambda t: F.when(t != "", F.date_format(F.expr("try_cast(null as date)") if t is None else t.try_cast("date"), "yyyy-MM-dd"))
+    day = lambda t: F.when(t != "", F.date_format(t.try_cast("date"), "yyyy-MM-dd"))
     return F.coalesce(day(dashed), day(compact))
 
 
