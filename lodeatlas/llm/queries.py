@@ -77,4 +77,27 @@ def p9_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_beliefs, p4_found, p4_collapsed, p6_found, p6_unmatched, p7_found, p7_passages, p8_mixture, p8_shares, p9_found, p9_signals)}
 
-ORACLES: dict[str, str] = {}
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+_NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+
+_BAGS = f"""
+WITH bags AS (
+  SELECT row_id, provider, model_id, display_name, array_to_string(list_sort(regexp_extract_all(
+    lower(translate(coalesce(model_id, '') || ' ' || coalesce(display_name, ''), '{_WIDE}', '{_NARROW}')), '[\\p{{L}}\\p{{N}}]+')), ' ') AS bag
+  FROM models),
+firsts AS (SELECT *, min(row_id) OVER (PARTITION BY provider, bag) AS first_row_id, count(*) OVER (PARTITION BY provider, bag) AS n_copies FROM bags)
+"""
+
+_PLAIN = """regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(replace(text, '&nbsp;', ' '),
+  '</?(b|i|em|strong|u)>', '', 'g'), '</?[A-Za-z][^<>]*>', ' ', 'g'), '[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]', '', 'g')), '[\\p{L}\\p{N}]+')"""
+
+ORACLES: dict[str, str] = {
+    "p4_found": _BAGS + "SELECT first_row_id, row_id FROM firsts WHERE row_id <> first_row_id",
+    "p4_collapsed": _BAGS + "SELECT row_id, provider, model_id, display_name, n_copies FROM firsts WHERE row_id = first_row_id",
+    "p7_found": f"""
+WITH i AS (SELECT item_id, {_PLAIN} AS w FROM eval_items), d AS (SELECT doc_id, {_PLAIN} AS w FROM documents WHERE text IS NOT NULL),
+ig AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM i),
+dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM d)
+SELECT DISTINCT item_id, doc_id FROM ig JOIN dg USING (g)
+""",
+}
