@@ -32,7 +32,7 @@ def order_modifiers(mods: Column) -> Column:
     """Blanks and repeats in another case dropped, canonical order; null when nothing is left."""
     low = F.transform(mods, F.lower)
     first = F.filter(mods, lambda x, i: (x != "") & (F.array_position(low, F.lower(x)) == i + 1))
-    ranked = F.array_sort(F.transform(first, lambda x: F.struct(modifier_rank(x).alias("rank"), F.lower(x).alias("low"), x.alias("tok"))))
+    ranked = F.array_sort(F.transform(first, lambda x: F.named_struct(F.lit("rank"), modifier_rank(x), F.lit("low"), F.lower(x), F.lit("tok"), x)))
     out = F.transform(ranked, lambda s: s["tok"])
     return F.when(F.size(out) > 0, out)
 

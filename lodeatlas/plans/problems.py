@@ -38,7 +38,25 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p3_found, p3_positions, p5_found)}
 
+_KEY = """trim({r}.family) || CASE WHEN coalesce(trim({r}.variant), '') <> '' THEN '/' || trim({r}.variant) ELSE '' END
+ || CASE WHEN coalesce(trim({r}.version), '') <> '' THEN '@' || trim({r}.version) ELSE '' END"""
+
 ORACLES = {
+    "p3_found": f"""
+WITH RECURSIVE rows_ AS (
+  SELECT lower(coalesce({_KEY.format(r="child_ref")}, '')
+           || CASE WHEN len(child_ref.modifier) > 0 THEN '{{' || array_to_string(list_transform(child_ref.modifier, lambda m: trim(m)), ',') || '}}' ELSE '' END) AS c, parents FROM lineage),
+opened AS (SELECT c, unnest(parents) AS p FROM rows_),
+e AS (SELECT DISTINCT c, lower({_KEY.format(r="p")}) AS p FROM opened WHERE lower(trim(coalesce(p.kind, ''))) <> 'none'),
+nodes AS (SELECT c AS x FROM rows_ UNION SELECT p FROM e),
+roots AS (SELECT x FROM nodes WHERE x NOT IN (SELECT c FROM e)),
+w AS (SELECT x, x AS a, 0 AS n FROM nodes UNION SELECT w.x, e.p, n + 1 FROM w JOIN e ON w.a = e.c WHERE n < 150),
+rooted AS (SELECT x, a, min(n) AS n FROM w WHERE a IN (SELECT x FROM roots) GROUP BY x, a),
+circle AS (SELECT DISTINCT x FROM w WHERE x = a AND n > 0)
+SELECT x AS node_key, a AS root_key, CAST(n AS BIGINT) AS depth FROM rooted
+UNION ALL SELECT x, '', -1 FROM circle
+UNION ALL SELECT x, '', -2 FROM nodes WHERE x NOT IN (SELECT x FROM rooted) AND x NOT IN (SELECT x FROM circle)
+""",
     "p5_found": """
 WITH ranked AS (
   SELECT *, row_number() OVER (PARTITION BY snapshot_no, provider, model_id
