@@ -54,18 +54,19 @@ REACH = 12
 GAP, LAGS = 60, 40
 #: Terms of one lag window.
 LAG_WINDOW = 96
-#: A neighbourhood with a larger share of function words is made of sentences.
+#: A neighbourhood with a larger share of different function words is made of sentences.
 MOST_FUNCTION = 0.10
 #: Share of recurring content terms, and autocorrelation, from which repetition is unnatural.
 LEAST_RECURRING, LEAST_CORRELATION = 0.5, 0.3
-#: Share of links in a neighbourhood that makes it a list of links.
-LEAST_LINKS = 0.06
+#: Share of words of links in a neighbourhood that makes it a list of links.
+LEAST_LINKS = 0.35
 #: Terms in a row without any function word that make a list of nouns.
 NOUN_RUN = 24
 #: A page with a larger share of stuffing is found.
 MOST_STUFFED = 0.5
 
-_TERM = re.compile(r"(?:https?://|www\.)[^\s\"'<>)\]]+|[^\W_]+")
+_TERM = re.compile(r"(?:https?://|www\.)[^\s\"'<>)\]]+|#[^\W_]\w*|[^\W_]+")
+_WORD = re.compile(r"[^\W_]+")
 _FENCE = re.compile(r"^```.*?^```[^\n]*$", re.M | re.S)
 _TABLE_ROW = re.compile(r"^[ \t]*\|.*\|[ \t]*$", re.M)
 _HREF = re.compile(r"<a\b[^<>]*?href\s*=\s*[\"']?([^\"'<>\s]+)[^<>]*>", re.I)
@@ -80,19 +81,29 @@ def terms_of(text: str) -> tuple[list[str], np.ndarray]:
     text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text)) if not text.isascii() else text
     if "<" in text:
         text = _TAG.sub(" ", _HREF.sub(r" \1 ", text))
-    quiet = [m.span() for m in (*_FENCE.finditer(text), *_TABLE_ROW.finditer(text))] if "|" in text or "```" in text else []
-    quiet.sort()
+    text = text.casefold()
+    quiet = sorted(m.span() for p in (_FENCE, _TABLE_ROW) for m in p.finditer(text)) if "|" in text or "```" in text else []
+    if not quiet and "#" not in text and "http" not in text and "www." not in text and text.isascii():
+        terms = _TERM.findall(text)
+        return terms, np.fromiter((t in FUNCTION_WORDS for t in terms), np.int8, len(terms))
     terms, kinds, q = [], [], 0
     for m in _TERM.finditer(text):
-        word = m[0].casefold()
+        word = m[0]
         while q < len(quiet) and quiet[q][1] <= m.start():
             q += 1
         if q < len(quiet) and quiet[q][0] <= m.start():
             terms.append(word)
             kinds.append(3)
         elif word.startswith(("http://", "https://", "www.")):
-            terms.append(word)
-            kinds.append(2)
+            # A link counts with all of its words.
+            parts = _WORD.findall(word)
+            terms += parts
+            kinds += [2] * len(parts)
+        elif word[0] == "#":
+            # The words of a tag are never those of a sentence.
+            parts = _WORD.findall(word)
+            terms += parts
+            kinds += [0] * len(parts)
         elif word.isascii():
             terms.append(word)
             kinds.append(1 if word in FUNCTION_WORDS else 0)
@@ -122,6 +133,22 @@ def _recurring(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _varied(flags: np.ndarray, codes: np.ndarray, reach: int) -> np.ndarray:
+    """Different flagged terms within ``reach`` terms of each term, as a share of the terms there."""
+    n = len(codes)
+    order = np.argsort(codes, kind="stable")
+    before = np.full(n, -1)
+    again = codes[order][1:] == codes[order][:-1]
+    before[order[1:][again]] = order[:-1][again]
+    # An occurrence counts for the terms that reach it, but not the one before it.
+    i = np.flatnonzero(flags)
+    start, end = np.maximum(np.maximum(i - reach, np.where(before[i] >= 0, before[i] + reach + 1, 0)), 0), np.minimum(i + reach + 1, n)
+    counted = start < end
+    steps = np.bincount(start[counted], minlength=n + 1) - np.bincount(end[counted], minlength=n + 1)
+    at = np.arange(n)
+    return np.cumsum(steps)[:n] / (np.minimum(at + reach + 1, n) - np.maximum(at - reach, 0))
+
+
 def _correlation(codes: np.ndarray) -> np.ndarray:
     """For each term, the largest autocorrelation of its lag window over all lags."""
     n = len(codes)
@@ -142,23 +169,24 @@ def stuffed(text: str | None) -> tuple[int, int, float]:
     index: dict[str, int] = {}
     codes = np.fromiter((index.setdefault(t, len(index)) for t in terms), np.int64, n)
     recurs = _recurring(codes)
-    # A function word of a phrase that keeps coming back is part of a keyword, as in "near me".
-    phrase = np.r_[_recurring(codes[:-1] * (len(index) + 1) + codes[1:]), False] if n > 1 else np.zeros(1, bool)
-    function = _around((kinds == 1) & ~phrase, REACH)
+    # Sentences have different function words; a keyword such as "en ligne" brings the same one again and again.
+    function = _varied(kinds == 1, codes, REACH)
     dry = function < MOST_FUNCTION
     if not dry.any():
         return n, 0, 0.0
     content = (kinds == 0) | (kinds == 2)
-    share = _around(content, REACH)
-    recurring = _around(recurs & (kinds == 0), REACH) / np.maximum(share, 1e-9)
-    correlation = _correlation(codes)
+    if not (content & dry).any():
+        return n, 0, 0.0
+    recurring = _around(recurs & (kinds == 0), REACH) / np.maximum(_around(kinds == 0, REACH), 1e-9)
     links = _around(kinds == 2, REACH)
     at = np.arange(n)
-    stop = ((kinds == 1) & ~phrase) | (kinds == 3)
+    stop = (kinds == 1) | (kinds == 3)
     last = np.maximum.accumulate(np.where(stop, at, -1))
     following = np.minimum.accumulate(np.where(stop, at, n)[::-1])[::-1]
     nouns = (following - last - 1) >= NOUN_RUN
-    mask = content & dry & ((recurring >= LEAST_RECURRING) | (correlation >= LEAST_CORRELATION) | (links >= LEAST_LINKS) | nouns)
+    mask = content & dry & ((recurring >= LEAST_RECURRING) | (links >= LEAST_LINKS) | nouns)
+    correlation = _correlation(codes)
+    mask |= content & dry & (correlation >= LEAST_CORRELATION)
     return n, int(mask.sum()), float(correlation.max())
 
 
