@@ -58,7 +58,7 @@ def document(row: Mapping) -> dict:
 
 def _json(value) -> str:
     text = json.dumps(value, indent=2, ensure_ascii=False)
-    for c, escaped in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), (" ", "\\u2028"), (" ", "\\u2029")):
+    for c, escaped in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), (chr(0x2028), "\\u2028"), (chr(0x2029), "\\u2029")):
         text = text.replace(c, escaped)
     return text
 
