@@ -23,22 +23,40 @@ def lookup(table: Mapping[str, str], key: Column, default: str | None = None) ->
 # --- modifiers and entity keys -------------------------------------------------------------------
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def modifier_rank(tok: Column) -> Column:
     at = F.array_position(_strings(V.MODIFIER_ORDER), F.lower(tok))
     return F.when(at > 0, at - 1).otherwise(len(V.MODIFIER_ORDER)).cast("int")
 
 
+def _sorted_once(mods: Column) -> Column:
+    """Distinct modifiers in canonical order; of two spellings the first stays. May be empty."""
+    spelled = F.transform(mods, lambda x: F.named_struct(F.lit("low"), F.lower(x), F.lit("tok"), x))
+
+    def distinct(xs: Column) -> Column:
+        low = F.transform(xs, lambda s: s["low"])
+        first = _let(low, lambda keys: F.filter(xs, lambda s, i: (s["tok"] != "") & (F.array_position(keys, s["low"]) == i + 1)))
+        ranked = F.transform(first, lambda s: F.named_struct(F.lit("rank"), modifier_rank(s["low"]), F.lit("low"), s["low"], F.lit("tok"), s["tok"]))
+        return F.transform(F.array_sort(ranked), lambda s: s["tok"])
+
+    return _let(spelled, distinct)
+
+
+def _filled(xs: Column) -> Column:
+    return _let(xs, lambda x: F.when(F.size(x) > 0, x))
+
+
 def order_modifiers(mods: Column) -> Column:
     """Blanks and repeats in another case dropped, canonical order; null when nothing is left."""
-    low = F.transform(mods, F.lower)
-    first = F.filter(mods, lambda x, i: (x != "") & (F.array_position(low, F.lower(x)) == i + 1))
-    ranked = F.array_sort(F.transform(first, lambda x: F.named_struct(F.lit("rank"), modifier_rank(x), F.lit("low"), F.lower(x), F.lit("tok"), x)))
-    out = F.transform(ranked, lambda s: s["tok"])
-    return F.when(F.size(out) > 0, out)
+    return _filled(_sorted_once(mods))
 
 
 def modifier_key(mods: Column) -> Column:
-    return F.coalesce(F.array_join(order_modifiers(mods), ","), F.lit(""))
+    return F.coalesce(F.array_join(_sorted_once(mods), ","), F.lit(""))
 
 
 def modifier_class(tok: Column, family: Column) -> Column:
@@ -47,9 +65,12 @@ def modifier_class(tok: Column, family: Column) -> Column:
     return F.coalesce(lookup(own, F.concat(F.lower(family), F.lit("|"), F.lower(tok))), lookup(V.MODIFIER_CLASS, F.lower(tok), "identity"))
 
 
+def _of_class(mods: Column, family: Column, kind: str) -> Column:
+    return F.filter(_sorted_once(mods), lambda m: modifier_class(m, family) == kind)
+
+
 def modifiers_of_class(mods: Column, family: Column, kind: str) -> Column:
-    kept = F.filter(order_modifiers(mods), lambda m: modifier_class(m, family) == kind)
-    return F.when(F.size(kept) > 0, kept)
+    return _filled(_of_class(mods, family, kind))
 
 
 def entity_modifiers(mods: Column, family: Column) -> Column:
@@ -57,7 +78,7 @@ def entity_modifiers(mods: Column, family: Column) -> Column:
 
 
 def _part(mark: str, text: Column, end: str = "") -> Column:
-    return F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(mark), text, F.lit(end))).otherwise("")
+    return _let(text, lambda t: F.when(F.coalesce(t, F.lit("")) != "", F.concat(F.lit(mark), t, F.lit(end))).otherwise(""))
 
 
 def entity_key(family: Column, variant: Column, version: Column, identity_mods: Column) -> Column:
@@ -70,7 +91,7 @@ def entity_key(family: Column, variant: Column, version: Column, identity_mods:
 
 def canonical_form(provider: Column, ident: Column, family: Column, variant: Column, version: Column, date: Column, mods: Column) -> Column:
     """provider/family[/variant][/version][@date][{identity}][[attribute]]; provider/id without a family."""
-    identity, attribute = (modifier_key(modifiers_of_class(mods, family, k)) for k in ("identity", "attribute"))
+    identity, attribute = (F.coalesce(F.array_join(_of_class(mods, family, k), ","), F.lit("")) for k in ("identity", "attribute"))
     full = F.concat(provider, F.lit("/"), family, _part("/", variant), _part("/", version), _part("@", date), _part("{", identity, "}"), _part("[", attribute, "]"))
     return F.when(F.coalesce(family, F.lit("")) == "", F.concat(provider, F.lit("/"), ident)).otherwise(full)
 

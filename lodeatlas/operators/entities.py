@@ -21,6 +21,9 @@ def with_entity(models: DataFrame) -> DataFrame:
     )
 
 
+_RANGES = ("cost_input", "cost_output", "context_window", "max_output")
+
+
 def roll_up(models: DataFrame) -> DataFrame:
     """One row per entity, with the aggregates of its offers; no list grows with their number.
 
@@ -29,7 +32,7 @@ def roll_up(models: DataFrame) -> DataFrame:
     """
     keyed = with_entity(models)
     flags = [F.bool_or(c).alias(c) for c in CAPABILITIES]
-    ranges = [f(c).alias(f"{n}_{c}") for c in ("cost_input", "cost_output", "context_window", "max_output") for n, f in (("min", F.min), ("max", F.max))]
+    ranges = [f(c).alias(f"{n}_{c}") for c in _RANGES for n, f in (("min", F.min), ("max", F.max))]
     return keyed.groupBy("entity_key", "family", "variant", "version").agg(
         F.count("*").alias("n_instances"),
         F.min(F.struct("provider", "model_id")).alias("first"),
@@ -39,31 +42,44 @@ def roll_up(models: DataFrame) -> DataFrame:
     )
 
 
-def _first_seen(keyed: DataFrame, what: str, out: str) -> DataFrame:
-    """(entity_key, out): distinct values of a column in the order of their first (provider, id)."""
-    seen = keyed.groupBy("entity_key", what).agg(F.min(F.struct("provider", "model_id")).alias("seq"))
-    listed = F.array_sort(F.collect_list(F.struct("seq", F.col(what).alias("value"))))
-    return seen.groupBy("entity_key").agg(F.transform(listed, lambda s: s["value"]).alias(out))
-
-
 def entities(models: DataFrame) -> DataFrame:
-    """``roll_up`` with the distinct providers and hosts of each entity and its instances.
+    """``roll_up`` with the distinct providers and hosts of each entity, in the order of first (provider, id).
 
-    Providers and hosts are made distinct before they are listed. ``instances`` has one entry per
-    offer and is the only column that grows with their number; use ``roll_up`` and
-    ``instances_of`` for entities with a very large number of offers.
+    The offers are first aggregated per provider and host, so what is listed for an entity is bounded
+    by the number of providers, not of offers; the offers themselves are rows of ``instances``.
     """
     keyed = with_entity(models)
     if "host" not in keyed.columns:
         keyed = keyed.withColumn("host", C.host(F.col("model_id")))
-    instance = F.struct("provider", "model_id", "host", "cost_input", "cost_output", "context_window", "max_output")
-    listed = keyed.groupBy("entity_key").agg(F.array_sort(F.collect_list(instance)).alias("instances"))
-    return (
-        roll_up(models)
-        .join(_first_seen(keyed, "provider", "providers"), "entity_key")
-        .join(_first_seen(keyed, "host", "hosts"), "entity_key")
-        .join(listed, "entity_key")
+    group = ["entity_key", "family", "variant", "version"]
+    small = {f"{n}_{c}": f for c in _RANGES for n, f in (("min", F.min), ("max", F.max))} | {c: F.bool_or for c in CAPABILITIES}
+    per_provider = keyed.groupBy(*group, "provider", "host").agg(
+        F.count("*").alias("n_instances"), F.min("model_id").alias("model_id"), F.first("identity_modifiers").alias("identity_modifiers"),
+        *[f(n if n in CAPABILITIES else n[4:]).alias(n) for n, f in small.items()],
+    )
+    seen = F.array_sort(F.collect_list(F.struct("provider", "model_id", "host")))
+    whole = per_provider.groupBy(*group).agg(
+        F.sum("n_instances").alias("n_instances"), seen.alias("_seen"), F.first("identity_modifiers").alias("identity_modifiers"), *[f(n).alias(n) for n, f in small.items()]
     )
+    distinct = lambda c: F.array_distinct(F.transform("_seen", lambda s: s[c]))
+    return whole.withColumns({"providers": distinct("provider"), "hosts": distinct("host")}).drop("_seen")
+
+
+def instances(models: DataFrame) -> DataFrame:
+    """(entity_key, provider, model_id, host, prices and limits): one row per offer."""
+    keyed = with_entity(models)
+    if "host" not in keyed.columns:
+        keyed = keyed.withColumn("host", C.host(F.col("model_id")))
+    return keyed.select("entity_key", "provider", "model_id", "host", *_RANGES)
+
+
+def view(models: DataFrame, key: str) -> dict:
+    """An entity with its offers, for display."""
+    rows = entities(models).where(F.col("entity_key") == key).collect()
+    if not rows:
+        raise NotFound("entity", key)
+    offers = instances(models).where(F.col("entity_key") == key).orderBy("provider", "model_id")
+    return rows[0].asDict(recursive=True) | {"instances": [r.asDict() for r in offers.toLocalIterator()]}
 
 
 def instances_of(models: DataFrame, key: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeatlas.plans.prefix import prefix_sums
-from lodeatlas.plans.session import ship_package
+from lodeatlas.plans.session import cut, ship_package
 
 # How brands are written.
 BRANDS = {
@@ -127,12 +127,12 @@ def constants(normalized: DataFrame) -> DataFrame:
 
     text = [F.coalesce(c, F.lit("")) for c in ("model_id", "provider", "family", "variant", "version", "date")]
     keyed = normalized.select("provider", "model_id", named(*text, F.col("modifier")).alias("n"))
-    rows = keyed.groupBy("provider", "model_id").agg(F.min("n").alias("n")).select("provider", "model_id", "n.name", "n.segment").where("name <> ''")
+    rows = cut(keyed.groupBy("provider", "model_id").agg(F.min("n").alias("n")).select("provider", "model_id", "n.name", "n.segment").where("name <> ''"))
     per_segment = rows.groupBy("name", "segment").agg(F.count("*").alias("n"))
     groups = per_segment.groupBy("name").agg(F.sum("n").alias("n_rows"), (F.min(F.col("segment") != "") & (F.max("n") == 1)).alias("told_apart"))
     order = ["model_id", "provider"]
     numbered = prefix_sums(rows, ["name"], order, F.lit(1), "before").join(groups, "name")
     first = F.when(F.col("n_rows") == 1, F.col("name")).when(F.col("told_apart"), F.concat_ws("__", "name", "segment")).otherwise(F.concat(F.col("name"), F.lit("_"), F.col("before") + 1))
-    named_once = numbered.select("provider", "model_id", first.alias("name"))
+    named_once = cut(numbered.select("provider", "model_id", first.alias("name")))
     again = prefix_sums(named_once, ["name"], order, F.lit(1), "before").join(named_once.groupBy("name").agg(F.count("*").alias("n_rows")), "name")
     return again.select("provider", "model_id", F.when(F.col("n_rows") == 1, F.col("name")).otherwise(F.concat(F.col("name"), F.lit("_"), F.col("before") + 1)).alias("name"))

@@ -228,7 +228,7 @@ def entity_rollup(spark, d):
 @query(_M + "SELECT entity_key, array_to_string(list_sort(list(DISTINCT provider)), ',') AS providers, count(*) AS n_instances FROM keyed GROUP BY entity_key")
 def entity_providers(spark, d):
     e = entities.entities(models_with_modifiers(spark, d))
-    return e.select("entity_key", F.array_join("providers", ",").alias("providers"), F.size("instances").cast("bigint").alias("n_instances"))
+    return e.select("entity_key", F.array_join("providers", ",").alias("providers"), "n_instances")
 
 
 @query(

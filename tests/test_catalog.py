@@ -184,7 +184,9 @@ def test_entities(models):
         entities.parse_entity_tuple("/x")
     assert entities.lookup_entity(models, "qwen3-max").first().entity_key == "qwen/max@3"
     assert entities.entity_by_tuple(models, "glm", "", "5", ["turbo"]).count() == 1
-    assert entities.entities(models.limit(0)).count() == 0
+    assert entities.entities(models.limit(0)).count() == 0 and entities.instances(models).count() == 7
+    with pytest.raises(NotFound):
+        entities.view(models, "nothing")
     assert [r[0] for r in entities.providers_for_family(models, "claude-opus").collect()] == ["anthropic", "rehost"]
 
 
@@ -367,8 +369,7 @@ def test_render(models, tmp_path):
     assert len(table) == 9 and table[2].endswith("—") and "$5.00" in table[3] and len({len(x) for x in table}) == 1
     with pytest.raises(ValueError):
         render.render(models, "xml")
-    e = entities.entities(models).where("entity_key = 'claude/opus@4.5'").first().asDict(recursive=True)
-    text = render.render_entity(e)
+    text = render.render_entity(entities.view(models, "claude/opus@4.5"))
     assert "Price input  /MTok: [5.0000, 6.5000]" in text and "Price output /MTok: 25.0000" in text and "Context window:     [0, 200000]" in text
     failed = normalize.failures(models)
     n = render.write_failures(failed, str(tmp_path / "f.json"), datetime(2026, 1, 1, tzinfo=timezone.utc))
