@@ -153,7 +153,8 @@ def propagate(pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         classes = sent.groupBy("class_id").agg(F.sum("q").alias("total")).withColumn("salt", every_salt)
         # From a class to an offer: the share of its settings that are left when this offer takes it.
         others = F.exp(F.least(F.greatest(F.col("total") - F.col("q"), F.lit(0.0)), F.lit(60.0)))
-        answered = sent.join(classes, ["class_id", "salt"]).withColumn("new", others / (1 + (others - 1) / REUSE))
+        # Not broadcast: the planner takes the salted sums for smaller than they are, and they grow with the classes.
+        answered = sent.join(classes.hint("merge"), ["class_id", "salt"]).withColumn("new", others / (1 + (others - 1) / REUSE))
         state = cut(answered.withColumn("moved", F.abs(F.col("new") - F.col("mu"))).select(*kept, "w", F.col("new").alias("mu"), "salt", "moved"))
         if (state.agg(F.max("moved")).first()[0] or 0.0) < SETTLED:
             break
