@@ -61,7 +61,8 @@ def copy_classes(rows: DataFrame, key: str, within: Sequence[str], texts: Sequen
     same = (F.col("r.bag") == F.col("c.bag")) & (F.col("r.salt") == F.col("c.salt"))
     for n in names:
         same = same & F.col(f"r.{n}").eqNullSafe(F.col(f"c.{n}"))
-    return salted.alias("r").join(spread.alias("c"), same).select(F.col("r.key").alias("key"), F.col("c.first").alias("first"), F.col("c.n_copies").alias("n_copies"))
+    # Not broadcast: the planner takes the salted classes for smaller than they are.
+    return salted.alias("r").join(spread.alias("c").hint("merge"), same).select(F.col("r.key").alias("key"), F.col("c.first").alias("first"), F.col("c.n_copies").alias("n_copies"))
 
 
 def collapse(rows: DataFrame, key: str, within: Sequence[str], texts: Sequence[str]) -> DataFrame:
