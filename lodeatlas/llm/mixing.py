@@ -8,7 +8,7 @@ fits, and the rest is cut from one more epoch.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeatlas.llm.tokens import FOLDER, VOCABULARY, count_tokens
@@ -21,17 +21,16 @@ def budgets(counted: DataFrame, targets: DataFrame, total_tokens: int | None) ->
     there = counted.groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
     wanted = targets.where("source is not null").select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("max_repeats"))
     rows = wanted.join(there, "source", "left").withColumn("available_tokens", F.coalesce("available_tokens", F.lit(0)))
-    total = F.lit(total_tokens) if total_tokens is not None else F.col("_sum")
-    size = rows.agg(F.coalesce(F.sum("available_tokens"), F.lit(0)).alias("_sum"))
-    budget = F.floor(total * F.col("target_share")).cast("bigint")
+    # One row per target, so one task sums them up.
+    total = F.lit(total_tokens) if total_tokens is not None else F.sum("available_tokens").over(Window.partitionBy())
+    rows = rows.withColumn("_total", total)
+    budget = F.floor(F.col("_total") * F.col("target_share")).cast("bigint")
     reachable = F.least(budget, F.col("available_tokens") * F.col("max_repeats"))
-    # One row joined to one row per target: no join between rows of either side.
     return (
-        rows.join(F.broadcast(size), F.lit(True))
-        .withColumns({"budget_tokens": budget, "reachable_tokens": reachable})
+        rows.withColumns({"budget_tokens": budget, "reachable_tokens": reachable})
         .withColumn("epochs", F.when(F.col("available_tokens") > 0, F.floor(F.col("reachable_tokens") / F.greatest("available_tokens", F.lit(1)))).otherwise(0).cast("bigint"))
         .withColumn("rest", (F.col("reachable_tokens") - F.col("epochs") * F.col("available_tokens")).cast("bigint"))
-        .drop("_sum")
+        .drop("_total")
     )
 
 
@@ -55,10 +54,9 @@ def mix(
         summed.join(plan.select("source", "epochs", "rest"), "source").withColumn("repeats", F.col("epochs") + extra).where("repeats > 0").select("doc_id", "source", "n_tokens", "repeats")
     )
     reached = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("mixed_tokens"), F.count("*").alias("n_documents"), F.max("repeats").alias("most_repeats"))
-    whole = reached.agg(F.sum("mixed_tokens").alias("_whole"))
     shares = (
         plan.join(reached, "source", "left")
-        .join(F.broadcast(whole), F.lit(True))
+        .withColumn("_whole", F.sum("mixed_tokens").over(Window.partitionBy()))
         .select(
             "source", "target_share", "max_repeats", "available_tokens", "budget_tokens",
             *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("mixed_tokens", "n_documents", "most_repeats")],
