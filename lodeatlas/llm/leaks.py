@@ -25,8 +25,8 @@ from lodeatlas.plans.session import cut, ship_package
 
 #: Words in a row that count as a leak.
 RUN_WORDS = 12
-#: Items whose terms are held by one pass over the corpus; more items take more passes.
-ITEMS_PER_PASS = 20_000
+#: Items, and characters of items, whose terms are held by one pass over the corpus; more take more passes.
+ITEMS_PER_PASS, CHARACTERS_PER_PASS = 20_000, 20_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -133,14 +133,15 @@ def leaks(documents: DataFrame, items: DataFrame, run_words: int = RUN_WORDS) ->
     ``item_from`` and ``doc_from`` count words from 0. Letter case, punctuation, markup, entities,
     invisible characters and white space do not matter. Null and empty texts and items shorter than
     the run give no rows; ids that are null are left out; repeated rows of an id add nothing. The
-    items go through the corpus in passes of ``ITEMS_PER_PASS``, so what is broadcast stays bounded.
+    items go through the corpus in passes of a bounded number of items and characters, so what is
+    broadcast stays bounded; one item is never split.
     """
     spark = documents.sparkSession
     ship_package(spark)
     listed = items.where("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     terms = cut(listed.mapInArrow(_item_terms, "item_id bigint, pos int, term bigint").distinct())
-    n_items = listed.count()
-    passes = max(1, -(-n_items // ITEMS_PER_PASS))
+    held = listed.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    passes = max(1, -(-held[0] // ITEMS_PER_PASS), -(-held[1] // CHARACTERS_PER_PASS))
     found = None
     for k in range(passes):
         block = F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k
