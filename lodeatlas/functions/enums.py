@@ -82,3 +82,12 @@ def is_known_host(name: str) -> bool:
 
 def is_known_harness(name: str) -> bool:
     return name in V.HARNESSES
+
+
+def validate_vocabulary() -> None:
+    """Raise for a curated table that names a family nobody knows."""
+    known = {f.lower() for f in V.FAMILIES}
+    for what, names in (("families with members", V.MEMBERS), ("aliases", V.FAMILY_ALIASES.values()), ("series", V.SERIES_LETTER), ("glued generations", V.GLUED_GENERATION)):
+        odd = sorted(n for n in names if n not in known or n != n.lower())
+        if odd:
+            raise ValueError(f"{what}: unknown families {', '.join(odd)}")

@@ -57,12 +57,18 @@ def by_canonical(models: DataFrame, family: str = "", variant: str = "", version
     return models
 
 
-def scan(models: DataFrame, only: Sequence[str] = (), without: Sequence[str] = ()) -> DataFrame:
-    """Offers of some providers, or of all but some; both at once is an error."""
+def scan(models: DataFrame, only: Sequence[str] = (), without: Sequence[str] = (), required: bool = False) -> DataFrame:
+    """Offers of some providers, or of all but some; both at once is an error.
+
+    With ``required`` it is an error too if none of the named providers has an offer.
+    """
     if only and without:
         raise CatalogError("give providers to take or providers to leave out, not both")
     if only:
-        return models.where(F.col("provider").isin(list(only)))
+        rows = models.where(F.col("provider").isin(list(only)))
+        if required and rows.isEmpty():
+            raise CatalogError(f"no offers of {', '.join(only)}")
+        return rows
     return models.where(~F.col("provider").isin(list(without))) if without else models
 
 

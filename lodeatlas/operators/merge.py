@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Sequence
 
@@ -32,6 +33,12 @@ def latest(rows: DataFrame, key: Sequence[str], by: Sequence[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in key]), order).alias("_row")).select(*key, "_row.*").select(*rows.columns)
 
 
+def default_store_path() -> str:
+    """The folder of the user's own catalog: under $XDG_CACHE_HOME, else ~/.cache."""
+    cache = os.environ.get("XDG_CACHE_HOME") or os.path.join(os.path.expanduser("~"), ".cache")
+    return os.path.join(cache, "lodeatlas", "models")
+
+
 class CatalogStore:
     """A stored catalog in a folder: a table per version, the newest of which is named in a pointer file.
 

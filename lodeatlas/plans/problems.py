@@ -41,7 +41,41 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p3_found, p3_positions,
 _KEY = """trim({r}.family) || CASE WHEN coalesce(trim({r}.variant), '') <> '' THEN '/' || trim({r}.variant) ELSE '' END
  || CASE WHEN coalesce(trim({r}.version), '') <> '' THEN '@' || trim({r}.version) ELSE '' END"""
 
+#: A member of a JSON object by its key, and the text in which equal values are written equally.
+_AT = """json_extract({o}, '$."' || {k} || '"')"""
+_TEXT = "CASE WHEN json_type({v}) IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(CAST({v} AS DOUBLE) AS VARCHAR) ELSE CAST({v} AS VARCHAR) END"
+
 ORACLES = {
+    "p1_found": f"""
+WITH ok AS (SELECT feed, file_no, provider, CAST(payload AS JSON) AS p FROM wire_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+keys AS (SELECT feed, file_no, provider, p->>'$.id' AS id, unnest(json_keys(p)) AS k, p FROM ok),
+top AS (SELECT feed, file_no, provider, id, '' AS parent, k AS path, {_AT.format(o="p", k="k")} AS v FROM keys),
+inner_keys AS (SELECT feed, file_no, provider, id, path AS parent, unnest(json_keys(v)) AS k, v FROM top WHERE json_type(v) = 'OBJECT'),
+members AS (SELECT feed, file_no, provider, id, parent, parent || '.' || k AS path, {_AT.format(o="v", k="k")} AS v FROM inner_keys),
+fields AS (
+  SELECT feed, file_no, provider, id, parent, path,
+    CASE json_type(v) WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS kind,
+    CASE WHEN json_type(v) = 'OBJECT' THEN array_to_string(list_sort(list_transform(json_keys(v), lambda k: k || '=' || {_TEXT.format(v=_AT.format(o="v", k="k"))})), ',')
+         ELSE {_TEXT.format(v="v")} END AS value
+  FROM (SELECT * FROM top UNION ALL SELECT * FROM members) WHERE json_type(v) <> 'NULL'),
+prof AS (SELECT feed, file_no, parent, path, list_sort(list(DISTINCT kind)) AS kinds FROM fields GROUP BY ALL),
+steps AS (SELECT feed, file_no, lag(file_no) OVER (PARTITION BY feed ORDER BY file_no) AS older FROM (SELECT DISTINCT feed, file_no FROM wire_records)),
+n AS (SELECT p.* FROM prof p JOIN steps s USING (feed, file_no) WHERE s.older IS NOT NULL),
+o AS (SELECT p.feed, s.file_no, p.parent, p.path, p.kinds FROM prof p JOIN steps s ON p.feed = s.feed AND p.file_no = s.older),
+both_ AS (SELECT coalesce(o.feed, n.feed) AS feed, coalesce(o.file_no, n.file_no) AS file_no, coalesce(o.parent, n.parent) AS parent, coalesce(o.path, n.path) AS path, o.kinds AS ok, n.kinds AS nk
+          FROM o FULL JOIN n ON o.feed = n.feed AND o.file_no = n.file_no AND o.parent = n.parent AND o.path = n.path),
+objects AS (SELECT feed, file_no, path FROM both_ WHERE parent = '' AND list_contains(ok, 'object') AND list_contains(nk, 'object')),
+c AS (SELECT * FROM both_ b WHERE parent = '' OR EXISTS (SELECT 1 FROM objects x WHERE x.feed = b.feed AND x.file_no = b.file_no AND x.path = b.parent)),
+ov AS (SELECT DISTINCT f.feed, s.file_no, f.provider, f.id, f.parent, f.path, f.value FROM fields f JOIN steps s ON f.feed = s.feed AND f.file_no = s.older
+       JOIN c ON c.feed = f.feed AND c.file_no = s.file_no AND c.path = f.path AND c.nk IS NULL),
+nv AS (SELECT DISTINCT f.feed, f.file_no, f.provider, f.id, f.parent, f.path, f.value FROM fields f JOIN c ON c.feed = f.feed AND c.file_no = f.file_no AND c.path = f.path AND c.ok IS NULL),
+renamed AS (SELECT ov.feed, ov.file_no, ov.path AS old_field, nv.path AS new_field FROM ov JOIN nv USING (feed, file_no, provider, id, parent)
+            GROUP BY ALL HAVING avg(CASE WHEN ov.value = nv.value THEN 1.0 ELSE 0.0 END) >= 0.9)
+SELECT feed, file_no, 'retyped' AS change_kind, path AS old_field, path AS new_field FROM c WHERE ok <> nk
+UNION ALL SELECT feed, file_no, 'renamed', old_field, new_field FROM renamed
+UNION ALL SELECT feed, file_no, 'removed', path, '' FROM c WHERE nk IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.feed = c.feed AND r.file_no = c.file_no AND r.old_field = c.path)
+UNION ALL SELECT feed, file_no, 'added', '', path FROM c WHERE ok IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.feed = c.feed AND r.file_no = c.file_no AND r.new_field = c.path)
+""",
     "p3_found": f"""
 WITH RECURSIVE rows_ AS (
   SELECT lower(coalesce({_KEY.format(r="child_ref")}, '')

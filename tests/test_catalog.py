@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodeatlas.functions import columns as C
 from lodeatlas.functions import vocabulary as V
 from lodeatlas.functions.decompose import decompose, host_of, last_segment, modifier_class, order_modifiers, without_date
-from lodeatlas.functions.enums import InputFormat, Scheme, is_known_family, parse_modality, parse_modifier_class
+from lodeatlas.functions.enums import InputFormat, Scheme, is_known_family, parse_modality, parse_modifier_class, validate_vocabulary
 from lodeatlas.operators import analysis, entities, lineage, lookup, merge, migrate, naming, normalize
 from lodeatlas.operators.errors import Ambiguous, CacheMiss, CatalogError, NotFound, Unavailable
 from lodeatlas.operators.resolve import Asked, asked, detect, resolve, resolve_batch, show
@@ -167,9 +167,10 @@ def test_normalize(models):
 
 def test_normalize_edges(spark):
     data = [(None, None), ("", ""), (None, "x" * 100_000), ("glm", None), ("qwen", "qwen3"), ("qwen", "qwen3")]
-    df = spark.createDataFrame(data, "raw_family string, model_id string").withColumns({"_raw": F.lit(1), "reason": F.lit("old")})
-    assert normalize.normalize(df.drop("_raw")).count() == 6
-    assert normalize.normalize(df.drop("_raw").limit(0)).count() == 0
+    df = spark.createDataFrame(data, "raw_family string, model_id string").withColumns({"reason": F.lit("old"), "clean_id": F.lit(1)})
+    got = normalize.normalize(df).collect()
+    assert len(got) == 6 and all(r.clean_id == 1 and r.reason != "old" for r in got)
+    assert normalize.normalize(df.limit(0)).count() == 0
 
 
 def test_entities(models):
@@ -198,6 +199,8 @@ def test_lookup(models):
     assert lookup.scan(models, only=["zhost"]).count() == 2 and lookup.scan(models, without=["zhost"]).count() == 5
     with pytest.raises(CatalogError):
         lookup.scan(models, only=["a"], without=["b"])
+    with pytest.raises(CatalogError):
+        lookup.scan(models, only=["nobody"], required=True)
     assert lookup.by_provider_and_id(models, "rehost", "qwen3-max").count() == 1 and lookup.reference(models).columns[-1] == "host"
 
 
@@ -215,7 +218,7 @@ def test_merge(spark, rows):
 
 def test_store(spark, tmp_path):
     store = merge.CatalogStore(spark, str(tmp_path / "store"))
-    assert store.read() is None
+    assert store.read() is None and merge.default_store_path().endswith("lodeatlas/models")
     schema = "model_id string, provider string, v string"
     store.upsert(spark.createDataFrame([("a", "p", "1"), ("b", "p", "1")], schema), "t1")
     store.upsert(spark.createDataFrame([("a", "p", "0"), ("c", "p", "2")], schema), "t0")
@@ -379,7 +382,7 @@ def test_render(models, tmp_path):
 
 
 def test_vocabulary_is_sound():
-    known = {f.lower() for f in V.FAMILIES}
-    assert set(V.MEMBERS) <= known and set(V.FAMILY_ALIASES.values()) <= known and set(V.SERIES_LETTER) <= set(V.MEMBERS)
+    validate_vocabulary()
+    assert set(V.SERIES_LETTER) <= set(V.MEMBERS)
     assert len(V.FAMILIES) == len(set(V.FAMILIES)) and len(V.PROVIDERS) == len(set(V.PROVIDERS)) and list(V.PROVIDERS) == sorted(V.PROVIDERS)
     assert all(decompose("", i).family for i in ("qwen3", "o1", "glm-5"))
