@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodeatlas.functions.decompose import family_known, order_modifiers
 from lodeatlas.functions.enums import is_enforced_family
+from lodeatlas.plans.session import ship_package
 
 TUPLE = ("family", "variant", "version")
 
@@ -215,6 +216,7 @@ def diff_decompositions(before: DataFrame, after: DataFrame, allowed: DataFrame
 
     The decompositions of all providers of an identifier are made distinct before they are listed.
     """
+    ship_package(before.sparkSession)
     parts = F.struct("family", "variant", "version", F.coalesce("modifier", F.array().cast("array<string>")).alias("modifier"))
     b, a = (df.select("provider", "model_id", parts.alias(n)) for df, n in ((before, "b"), (after, "a")))
     changed = b.join(a, ["provider", "model_id"]).where(F.col("a") != F.col("b"))

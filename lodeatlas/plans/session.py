@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -36,15 +38,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make the package importable on executors that do not share the driver's file system."""
+    """Make the package importable in Python workers, wherever they run and whatever their path is.
+
+    The archive is written where the driver runs and handed out by Spark; no executor reads a folder
+    of another machine.
+    """
     sc = spark.sparkContext
-    if sc.master.startswith("local") or getattr(sc, "_lodeatlas_shipped", False):
+    if getattr(sc, "_lodeatlas_shipped", False):
         return
     path = Path(tempfile.mkdtemp(prefix="lodeatlas-ship-")) / "lodeatlas.zip"
     with zipfile.ZipFile(path, "w") as z:
         for p in _PACKAGE.rglob("*.py"):
             z.write(p, p.relative_to(_PACKAGE.parent))
     sc.addPyFile(str(path))
+    atexit.register(shutil.rmtree, path.parent, ignore_errors=True)
     sc._lodeatlas_shipped = True
 
 
