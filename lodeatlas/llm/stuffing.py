@@ -74,8 +74,33 @@ _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _RUNS = re.compile(r"[ぁ-ゟ]+|[ァ-ヿ]+|[一-鿿々]+|[^ぁ-ヿ一-鿿々]+")
 
 
-def terms_of(text: str) -> tuple[list[str], np.ndarray]:
-    """The terms of a text and the kind of each: 0 content, 1 function word, 2 link, 3 code or table."""
+class _Numbers(dict):
+    """A number for each term; function words have the smallest. Started afresh when it has grown large."""
+
+    def __init__(self):
+        super().__init__((w, i) for i, w in enumerate(sorted(FUNCTION_WORDS)))
+
+    def __missing__(self, term: str) -> int:
+        self[term] = n = len(self)
+        return n
+
+
+#: Terms that a task numbers before it starts afresh; numbers only need to agree within a text.
+REMEMBERED = 500_000
+_numbers: list[_Numbers] = []
+
+
+def numbered(terms: list[str]) -> np.ndarray:
+    if not _numbers or len(_numbers[0]) > REMEMBERED:
+        _numbers[:] = [_Numbers()]
+    return np.fromiter(map(_numbers[0].__getitem__, terms), np.int64, len(terms))
+
+
+def terms_of(text: str) -> tuple[list[str], np.ndarray | None]:
+    """The terms of a text and the kind of each: 0 content, 1 function word, 2 link, 3 code or table.
+
+    Without the kinds if there are only words, which are function words or content by themselves.
+    """
     if "&" in text:
         text = html.unescape(text)
     text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text)) if not text.isascii() else text
@@ -84,8 +109,7 @@ def terms_of(text: str) -> tuple[list[str], np.ndarray]:
     text = text.casefold()
     quiet = sorted(m.span() for p in (_FENCE, _TABLE_ROW) for m in p.finditer(text)) if "|" in text or "```" in text else []
     if not quiet and "#" not in text and "http" not in text and "www." not in text and text.isascii():
-        terms = _TERM.findall(text)
-        return terms, np.fromiter((t in FUNCTION_WORDS for t in terms), np.int8, len(terms))
+        return _WORD.findall(text), None
     terms, kinds, q = [], [], 0
     for m in _TERM.finditer(text):
         word = m[0]
@@ -166,8 +190,8 @@ def stuffed(text: str | None) -> tuple[int, int, float]:
     n = len(terms)
     if not n:
         return 0, 0, 0.0
-    index: dict[str, int] = {}
-    codes = np.fromiter((index.setdefault(t, len(index)) for t in terms), np.int64, n)
+    codes = numbered(terms)
+    kinds = (codes < len(FUNCTION_WORDS)).astype(np.int8) if kinds is None else kinds
     recurs = _recurring(codes)
     # Sentences have different function words; a keyword such as "en ligne" brings the same one again and again.
     function = _varied(kinds == 1, codes, REACH)
