@@ -315,3 +315,32 @@ def test_beliefs_are_exact_on_trees(spark):
     got = {(r.listing_id, r.class_id): r.belief for r in entities.propagate(df).collect()}
     for k, v in exact_beliefs(pairs).items():
         assert got[k] == pytest.approx(v, abs=2e-3)
+
+
+def test_matching_held_out(spark):
+    """Offers typed from known rows in other spellings: how many are matched, and how many of these rightly."""
+    rng = random.Random(11)
+    mods = {"vision": ["vision", "vis."], "preview": ["preview", "prev", "(Preview)"], "exp": ["exp", "experimental"], "chat": ["chat"]}
+    models, truth, listings = [], {}, []
+    seen = set()
+    while len(models) < 90:
+        (f, v), version, size, chosen, p = rng.choice(FAMILIES), f"{rng.randrange(1, 10)}.{rng.randrange(1, 10)}", rng.choice(["7", "72", "0.6", "405"]), rng.sample(sorted(mods), rng.randrange(3)), rng.choice(PROVIDERS)
+        key = (f, v, version, size, tuple(sorted(chosen)), p)
+        if key in seen:
+            continue
+        seen.add(key)
+        i = len(models) + 1
+        ident = "-".join(filter(None, [f, v, version, f"{size}b", *chosen]))
+        models.append((i, ident, p, ident.replace("-", " ").title(), "", "", "", "", 1000, 1.0, "2024-06-01"))
+        words_ = [typo(rng, f) if rng.random() < 0.5 else f, v, rng.choice([version, "v" + version, version.replace(".", "p"), version.replace(".", "-")]), rng.choice([f"{size}b", f"{size} B", f"{size} billion"]), *[rng.choice(mods[m]) for m in chosen]]
+        words_ = [w for w in words_ if w]
+        rng.shuffle(words_)
+        typed = rng.choice([str.upper, str.title, str])(" ".join(words_)) + rng.choice(["", " | hosted", " (API access)"])
+        vendor = rng.choice([p, p.title(), p.split("-")[0] + ".example", typo(rng, p)])
+        listings.append((1000 + i, typed, vendor, None, None, None, None))
+        truth[1000 + i] = i
+        # The same offer in a version that nobody has.
+        listings.append((5000 + i, typed.replace(words_[0], words_[0]) + " 99.9", "nobody at all", None, None, None, None))
+    got = {r.listing_id: r.row_id for r in entities.match_offers(*tables(spark, models, listings)).collect()}
+    right = sum(truth.get(k) == v for k, v in got.items())
+    assert right >= 0.9 * len(truth) and right >= 0.97 * len(got)
