@@ -28,9 +28,15 @@ def count_providers(models: DataFrame) -> DataFrame:
 
 
 def version_duplicates(models: DataFrame) -> DataFrame:
-    """(provider, family, variant, version, n_ids, ids): versions that a provider lists more than once."""
-    counted = models.where("version <> ''").groupBy("provider", *TUPLE)
-    return counted.agg(F.count("*").alias("n_ids"), F.array_sort(F.collect_list("model_id")).alias("ids")).where("n_ids > 1")
+    """(provider, family, variant, version, n_ids, model_id): the rows of versions that a provider lists more than once.
+
+    Groups are counted before they are shuffled and no list is made of their rows, so one version may
+    hold any share of the table.
+    """
+    group = ["provider", *TUPLE]
+    rows = models.where("version <> ''").select(*group, "model_id")
+    counted = rows.groupBy(*group).agg(F.count("*").alias("n_ids")).where("n_ids > 1")
+    return rows.join(counted, group)
 
 
 def dotted_versions(models: DataFrame) -> DataFrame:

@@ -358,12 +358,11 @@ def count_providers(spark, d):
 
 @query(
     """
-SELECT provider, family, variant, version, count(*) AS n_ids, array_to_string(list_sort(list(model_id)), ' ') AS ids FROM models
-WHERE version <> '' GROUP BY ALL HAVING count(*) > 1"""
+WITH c AS (SELECT provider, family, variant, version, model_id, count(*) OVER (PARTITION BY provider, family, variant, version) AS n_ids FROM models WHERE version <> '')
+SELECT * FROM c WHERE n_ids > 1"""
 )
 def version_duplicates(spark, d):
-    v = analysis.version_duplicates(table(spark, d, "models"))
-    return v.withColumn("ids", F.array_join("ids", " "))
+    return analysis.version_duplicates(table(spark, d, "models"))
 
 
 @query("SELECT provider, model_id, version FROM models WHERE contains(version, '.')")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import threading
 from datetime import datetime, timezone
@@ -10,6 +11,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 from pyspark.sql import functions as F
 
+from lodeatlas.__main__ import main
 from lodeatlas.functions import columns as C
 from lodeatlas.functions import vocabulary as V
 from lodeatlas.functions.decompose import decompose, host_of, last_segment, modifier_class, order_modifiers, without_date
@@ -386,3 +388,32 @@ def test_vocabulary_is_sound():
     assert set(V.SERIES_LETTER) <= set(V.MEMBERS)
     assert len(V.FAMILIES) == len(set(V.FAMILIES)) and len(V.PROVIDERS) == len(set(V.PROVIDERS)) and list(V.PROVIDERS) == sorted(V.PROVIDERS)
     assert all(decompose("", i).family for i in ("qwen3", "o1", "glm-5"))
+
+
+# --- command line -----------------------------------------------------------------------------------------------------------
+
+
+def test_command_line(spark, tmp_path, server):
+    answers, url = server
+    path, store = tmp_path / "catalog.json", str(tmp_path / "store")
+    path.write_text(json.dumps(DOCUMENT))
+
+    def run(*arguments):
+        out, err = io.StringIO(), io.StringIO()
+        code = main([*arguments, "--catalog", str(path), "--store", store], spark, out, err)
+        return code, out.getvalue(), err.getvalue()
+
+    code, text, _ = run("list", "--provider", "zhost", "--output", "table")
+    assert code == 0 and len(text.splitlines()) == 4
+    answers[:] = [(200, json.dumps({"zhost": {"models": {"e": {"id": "azure-gpt-4o-mini", "name": "Newer", "family": "gpt-mini"}}}}).encode())]
+    assert run("sync", "--url", url)[0] == 0
+    names = {d["ID"]: d["DisplayName"] for d in json.loads(run("list")[1])}
+    assert len(names) == 6 and names["azure-gpt-4o-mini"] == "Newer"
+    assert json.loads(run("show", "azure-gpt-4o-mini")[1])[0]["DisplayName"] == "Newer"
+    assert json.loads(run("show", "qwen3-max", "--format", "raw")[1])[0]["Provider"] == "rehost"
+    code, text, err = run("show", "claude")
+    assert code == 1 and text == "" and "matched multiple canonicals" in err
+    assert run("show", "nothing")[0] == 1 and run("show")[0] == 1 and run("list", "--output", "xml")[0] == 1
+    assert "Providers (2): anthropic, rehost" in run("show", "--by-entity", "claude/opus@4.5", "--output", "table")[1]
+    assert run("providers", "claude/opus/4.5", "--output", "table")[1].splitlines()[1] == "Instances (2):"
+    assert len(json.loads(run("providers", "claude-opus-4-5-20251101")[1])) == 2 and run("providers", "x", "--output", "yaml")[0] == 1
