@@ -53,6 +53,14 @@ def lineage_edges(lineage: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def _spread(key: str, own: str) -> Column:
+    """A key that may be null, for a left join: nulls become negative numbers of their own instead of one hot key.
+
+    Node ids are never negative, so these match nothing.
+    """
+    return F.coalesce(F.col(key), -1 - F.col(own))
+
+
 @dataclass
 class Forest:
     """The forest and what hangs on it; ``x`` and other letters are node ids."""
@@ -75,7 +83,7 @@ def _heavy_chains(nodes: DataFrame, single: DataFrame) -> tuple[DataFrame, DataF
         jump = state.where("ptr is not null").select(F.col("x").alias("j"), F.col("ptr").alias("next"))
         state = cut(
             state.join(below, F.col("x") == F.col("b"), "left")
-            .join(jump, F.col("ptr") == F.col("j"), "left")
+            .join(jump, _spread("ptr", "x") == F.col("j"), "left")
             .select("x", F.col("next").alias("ptr"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
         )
         before, live = live, state.where("ptr is not null").count()
@@ -109,7 +117,7 @@ def _climb(links: DataFrame) -> DataFrame:
         if not links.join(nxt, F.col("up") == F.col("t"), "left_semi").limit(1).count():
             return links.select("top", F.coalesce("up", "top").alias("anchor"), F.col("add").alias("base"))
         links = cut(
-            links.join(nxt, F.col("up") == F.col("t"), "left").select("top", F.coalesce("u2", "up").alias("up"), (F.col("add") + F.coalesce("a2", F.lit(0))).alias("add"))
+            links.join(nxt, _spread("up", "top") == F.col("t"), "left").select("top", F.coalesce("u2", "up").alias("up"), (F.col("add") + F.coalesce("a2", F.lit(0))).alias("add"))
         )
 
 
@@ -124,7 +132,7 @@ def build_forest(nodes: DataFrame, edges: DataFrame) -> Forest:
     roots = cut(ids.select("x").join(numbered.select(F.col("c").alias("x")), "x", "left_anti"))
     chains, endless = _heavy_chains(ids.select("x"), single)
     at = chains.select(F.col("x").alias("pp"), F.col("top").alias("up"), (F.col("off") + 1).alias("add"))
-    links = chains.where("off = 0").join(at, F.col("parent") == F.col("pp"), "left").select("top", "up", F.coalesce("add", F.lit(0)).cast("bigint").alias("add"))
+    links = chains.where("off = 0").join(at, _spread("parent", "x") == F.col("pp"), "left").select("top", "up", F.coalesce("add", F.lit(0)).cast("bigint").alias("add"))
     return Forest(ids, proper, loops, roots, chains, _climb(links), endless)
 
 
@@ -266,12 +274,12 @@ def tree_positions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     sums = prefix_sums(light, ["parent"], ["size", "x"], F.col("size"), "before")
     delta = sums.join(heavy, F.col("parent") == F.col("hp"), "left").select(F.col("x").alias("top"), "parent", (1 + F.coalesce("hsize", F.lit(0)) + F.col("before")).alias("delta"))
     links = (
-        ch.where("off = 0").select("top").join(delta, "top", "left").join(at, F.col("parent") == F.col("pp"), "left")
+        ch.where("off = 0").select("top").join(delta, "top", "left").join(at, _spread("parent", "top") == F.col("pp"), "left")
         .select("top", "up", (F.coalesce("poff", F.lit(0)) + F.coalesce("delta", F.lit(0))).alias("add"))
     )
     starts = _climb(links).select("top", F.col("base").alias("start"))
     key = lambda x, out: f.ids.select(F.col("x").alias(x), F.col("node_key").alias(out))
-    heads = cut(ch.where("off = 0").select("top", "parent").join(at, F.col("parent") == F.col("pp"), "left").join(key("top", "top_key"), "top").select("top", "up", "poff", "top_key"))
+    heads = cut(ch.where("off = 0").select("top", "parent").join(at, _spread("parent", "top") == F.col("pp"), "left").join(key("top", "top_key"), "top").select("top", "up", "poff", "top_key"))
     none = F.array().cast("array<struct<chain:string,n:bigint>>")
     paths = level = cut(heads.where("up is null").select("top", "top_key", none.alias("above")))
     while not level.isEmpty():
@@ -282,7 +290,7 @@ def tree_positions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     last = F.struct(F.col("top_key").alias("chain"), (F.col("off") + 1).cast("bigint").alias("n"))
     return (
         ch.join(f.tops, "top").join(starts, "top").join(paths, "top")
-        .join(key("x", "node_key"), "x").join(key("anchor", "tree_key"), "anchor").join(key("parent", "parent_key"), "parent", "left")
+        .join(key("x", "node_key"), "x").join(key("anchor", "tree_key"), "anchor").join(key("up_", "parent_key"), _spread("parent", "x") == F.col("up_"), "left")
         .select("node_key", "tree_key", F.coalesce("parent_key", F.lit("")).alias("parent_key"), (F.col("base") + F.col("off")).alias("depth"), (F.col("start") + F.col("off")).alias("pos"), (F.col("size") - 1).alias("n_below"), F.concat("above", F.array(last)).alias("segments"))
     )
 
