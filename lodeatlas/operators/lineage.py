@@ -49,7 +49,8 @@ def attach(models: DataFrame, lineage: DataFrame, payload: str = "parents") -> D
     low = F.lower("model_id")
     # Of several records of a child the smallest counts.
     records = lineage.groupBy(F.lower("child_id").alias("_key")).agg(F.min(payload).alias(payload))
-    keyed = models.withColumn("_tail", F.when(F.instr(low, "/") > 0, C.last_segment(low)))
+    # Identifiers without a slash get a second key of their own that matches nothing, instead of one null for all.
+    keyed = models.withColumn("_tail", F.when(F.instr(low, "/") > 0, C.last_segment(low)).otherwise(F.concat(F.lit("\x00"), low)))
     full = keyed.join(records.withColumnsRenamed({"_key": "_k1", payload: "_p1"}), low == F.col("_k1"), "left")
     both = full.join(records.withColumnsRenamed({"_key": "_k2", payload: "_p2"}), F.col("_k1").isNull() & (F.col("_tail") == F.col("_k2")), "left")
     return both.withColumn(payload, F.coalesce("_p1", "_p2")).drop("_tail", "_k1", "_p1", "_k2", "_p2")

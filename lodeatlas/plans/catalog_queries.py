@@ -207,6 +207,39 @@ def decompose_inverse(spark, d):
     return normalize.normalize(rows).select("ref_id", "family", "variant", "version")
 
 
+@query(
+    """
+SELECT o_orderkey, 'claude' AS family, 'opus' AS variant, (1 + o_orderkey % 9) || '.' || (o_custkey % 10) AS version, strftime(o_orderdate, '%Y-%m-%d') AS date,
+  CASE WHEN o_orderstatus = 'F' THEN 'thinking' ELSE '' END AS modifiers
+FROM orders"""
+)
+def decompose_dated(spark, d):
+    """Identifiers with a version, a date and sometimes a modifier, put together from orders and taken apart again."""
+    version = F.concat_ws("-", 1 + F.col("o_orderkey") % 9, F.col("o_custkey") % 10)
+    mark = F.when(F.col("o_orderstatus") == "F", "-thinking").otherwise("")
+    ident = F.concat(F.lit("claude-opus-"), version, F.lit("-"), F.date_format("o_orderdate", "yyyyMMdd"), mark)
+    rows = table(spark, d, "orders").select("o_orderkey", ident.alias("model_id"), F.lit("claude-opus").alias("raw_family"))
+    n = normalize.normalize(rows)
+    return n.select("o_orderkey", "family", "variant", "version", "date", C.modifier_key(F.col("modifier")).alias("modifiers"))
+
+
+@query(
+    """
+SELECT p_partkey, unnest(['qwen', 'kimi', 'minimax', 'gpt', 'glm']) AS family, unnest(['max', 'k', 'm', 'o', 'v']) AS variant,
+  CAST(p_size AS VARCHAR) AS version, unnest(['instruct', 'thinking,turbo', 'highspeed', 'pro', 'turbo']) AS modifiers
+FROM part"""
+)
+def decompose_series(spark, d):
+    """Generations, series and product lines by the size of parts, without a label."""
+    n = F.col("p_size").cast("string")
+    idents = F.array(
+        F.concat(F.lit("qwen"), n, F.lit("-max-instruct")), F.concat(F.lit("moonshotai/kimi-k"), n, F.lit("-thinking-turbo")), F.concat(F.lit("MiniMaxAI/MiniMax-M"), n, F.lit("-highspeed")),
+        F.concat(F.lit("openai/o"), n, F.lit("-pro")), F.concat(F.lit("glm-"), n, F.lit("v-turbo")),
+    )
+    rows = table(spark, d, "part").select("p_partkey", F.explode(idents).alias("model_id")).withColumn("raw_family", F.lit(""))
+    return normalize.normalize(rows).select("p_partkey", "family", "variant", "version", C.modifier_key(F.col("modifier")).alias("modifiers"))
+
+
 # --- entities -----------------------------------------------------------------------------------------
 
 
@@ -392,7 +425,14 @@ def divergence_category(spark, d):
     return v.select("model_id", analysis.divergence_category(F.col("families")).alias("category"))
 
 
-@query()
+@query(
+    _DIVERGENT
+    + """, s AS (SELECT model_id, families, list_transform(families, lambda f: lower(f)) AS low, list_transform(families, lambda f: rtrim(lower(f), '0123456789.-')) AS cut FROM v),
+d AS (SELECT model_id, families FROM s WHERE len(families) > 1 AND len(list_distinct(low)) > 1 AND NOT (len(list_distinct(cut)) = 1 AND cut[1] <> '')
+      AND len(list_filter(low, lambda a: len(list_filter(low, lambda b: starts_with(a, b || '-'))) > 0)) = 0),
+e AS (SELECT model_id, unnest(families) AS f FROM d)
+SELECT a.f AS family_a, b.f AS family_b, count(*) AS n_ids FROM e a JOIN e b ON a.model_id = b.model_id AND a.f < b.f GROUP BY ALL"""
+)
 def mislabel_pairs(spark, d):
     return analysis.mislabel_pairs(analysis.divergence(table(spark, d, "models")))
 
