@@ -7,7 +7,7 @@ import re
 import unicodedata
 
 #: Invisible characters that may stand inside a word.
-INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿]")
+INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)\b[^<>]*>|<!--.*?-->", re.S)
 #: Tags that set the look of letters and don't end a word.
 _INLINE = frozenset("b big em font i ins mark s small span strong sub sup tt u wbr".split())
