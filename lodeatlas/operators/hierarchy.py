@@ -10,6 +10,11 @@ much smaller graph of merges is then walked level by level to find the roots abo
 Circles are separated first: one-parent circles are the image of the parent function iterated often
 enough, circles through merges are strongly connected components of the graph of merges, and the
 nodes between two merges of a circle are prefixes of chains.
+
+For paths and descendants each one-parent circle is opened at one of its nodes, which tops a tree like
+a merge does. So every node has a place in a tree, and all that crosses trees hangs on the edges above
+their tops: a node reaches whole trees through the tops that hang at or below it, and the tops reached
+from a top are a closure over tops only.
 """
 
 from __future__ import annotations
@@ -121,7 +126,19 @@ def _climb(links: DataFrame) -> DataFrame:
         )
 
 
-def build_forest(nodes: DataFrame, edges: DataFrame) -> Forest:
+def _circle_heads(endless: DataFrame, single: DataFrame) -> DataFrame:
+    """(x): the smallest node of each one-parent circle; the least of the next 2^k nodes, doubling."""
+    state = cut(_endless_circles(endless).join(single, "x").select("x", F.col("parent").alias("ptr"), F.least("x", "parent").alias("low")))
+    while True:
+        jump = state.select(F.col("x").alias("j"), F.col("ptr").alias("next"), F.col("low").alias("far"))
+        state = cut(state.join(jump, F.col("ptr") == F.col("j")).select("x", F.col("next").alias("ptr"), F.least("low", "far").alias("low"), (F.col("far") < F.col("low")).alias("moved")))
+        if state.where("moved").isEmpty():
+            return state.where("x = low").select("x")
+        state = state.drop("moved")
+
+
+def build_forest(nodes: DataFrame, edges: DataFrame, open_circles: bool = False) -> Forest:
+    """The forest of the one-parent nodes; with ``open_circles`` those of endless circles are in it too."""
     ids = cut(nodes.select("node_key").distinct().withColumn("x", F.monotonically_increasing_id()))
     c, p = (ids.select(F.col("node_key").alias(k), F.col("x").alias(v)) for k, v in (("child", "c"), ("parent", "p")))
     numbered = cut(edges.join(c, "child").join(p, "parent").select("c", "p"))
@@ -131,6 +148,9 @@ def build_forest(nodes: DataFrame, edges: DataFrame) -> Forest:
     single = cut(degree.where("n = 1").select("x", "parent"))
     roots = cut(ids.select("x").join(numbered.select(F.col("c").alias("x")), "x", "left_anti"))
     chains, endless = _heavy_chains(ids.select("x"), single)
+    if open_circles and not endless.isEmpty():
+        opened, _ = _heavy_chains(endless.select("x"), single.join(_circle_heads(endless, single), "x", "left_anti"))
+        chains = cut(chains.unionByName(opened))
     at = chains.select(F.col("x").alias("pp"), F.col("top").alias("up"), (F.col("off") + 1).alias("add"))
     links = chains.where("off = 0").join(at, _spread("parent", "x") == F.col("pp"), "left").select("top", "up", F.coalesce("add", F.lit(0)).cast("bigint").alias("add"))
     return Forest(ids, proper, loops, roots, chains, _climb(links), endless)
@@ -265,7 +285,11 @@ def tree_positions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     the chain's first node and how many nodes of the chain the path takes. Nodes of endless circles
     are left out; a merge is the top of its own tree.
     """
-    f = build_forest(nodes, edges)
+    return _positions(build_forest(nodes, edges)).drop("x", "anchor")
+
+
+def _positions(f: Forest) -> DataFrame:
+    """The rows of ``tree_positions`` with the node ids ``x`` and, of the tree's top, ``anchor``."""
     ch = f.chains
     at = ch.select(F.col("x").alias("pp"), F.col("top").alias("up"), F.col("off").alias("poff"))
     light = ch.where("off = 0 and parent is not null").select("x", "size", "parent")
@@ -291,7 +315,7 @@ def tree_positions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return (
         ch.join(f.tops, "top").join(starts, "top").join(paths, "top")
         .join(key("x", "node_key"), "x").join(key("anchor", "tree_key"), "anchor").join(key("up_", "parent_key"), _spread("parent", "x") == F.col("up_"), "left")
-        .select("node_key", "tree_key", F.coalesce("parent_key", F.lit("")).alias("parent_key"), (F.col("base") + F.col("off")).alias("depth"), (F.col("start") + F.col("off")).alias("pos"), (F.col("size") - 1).alias("n_below"), F.concat("above", F.array(last)).alias("segments"))
+        .select("x", "anchor", "node_key", "tree_key", F.coalesce("parent_key", F.lit("")).alias("parent_key"), (F.col("base") + F.col("off")).alias("depth"), (F.col("start") + F.col("off")).alias("pos"), (F.col("size") - 1).alias("n_below"), F.concat("above", F.array(last)).alias("segments"))
     )
 
 
@@ -312,3 +336,105 @@ def descendants(positions: DataFrame, keys: DataFrame) -> DataFrame:
     asked = positions.join(keys.select("node_key").distinct(), "node_key", "left_semi").select("node_key", "tree_key", "pos", "n_below").alias("a")
     inside = (F.col("a.tree_key") == F.col("d.tree_key")) & (F.col("d.pos") > F.col("a.pos")) & (F.col("d.pos") <= F.col("a.pos") + F.col("a.n_below"))
     return asked.join(positions.alias("d"), inside).select("a.node_key", F.col("d.node_key").alias("descendant_key"))
+
+
+def _hanging(f: Forest, at: DataFrame) -> DataFrame:
+    """(m, v, w, via): as in ``_merge_graph``, for every tree top ``m`` that has parents."""
+    tops = f.chains.where("off = 0 and parent is null").select("x")
+    up = f.edges.join(tops, F.col("c") == F.col("x"), "left_semi")
+    where = at.select(F.col("x").alias("p"), F.col("anchor").alias("v"), (F.col("depth") + 1).alias("w"))
+    return cut(up.join(where, "p").select(F.col("c").alias("m"), "v", "w", F.col("p").alias("via")))
+
+
+def _on_paths(at: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The place of each node on its chain (x, node_key, chain, at) and the chain prefixes of its tree path (x, node_key, chain, n)."""
+    last = F.element_at("segments", -1)
+    return (
+        at.select("x", "node_key", last["chain"].alias("chain"), last["n"].alias("at")),
+        at.select("x", "node_key", F.explode("segments").alias("s")).select("x", "node_key", F.col("s.chain").alias("chain"), F.col("s.n").alias("n")),
+    )
+
+
+def _trees_below(at: DataFrame, graph: DataFrame) -> DataFrame:
+    """(x, m): the tops ``m`` of the trees that are reached from each node through an edge above a top."""
+    direct = graph.select("v", "m").distinct()
+    closure = fresh = cut(direct.join(graph.select(F.col("m").alias("v")).distinct(), "v", "left_semi"))
+    while not fresh.isEmpty():  # the newest pairs are as long as all older ones, so lengths double
+        found = fresh.join(closure.select(F.col("v").alias("m"), F.col("m").alias("far")), "m").select("v", F.col("far").alias("m")).distinct()
+        fresh = cut(found.join(closure, ["v", "m"], "left_anti"))
+        closure = cut(closure.union(fresh))
+    place, prefix = _on_paths(at)
+    vias = graph.select("m", "via").join(prefix.select(F.col("x").alias("via"), "chain", "n"), "via")
+    near = cut(vias.join(place.select("x", "chain", "at"), "chain").where("at <= n").select("x", "m").distinct())
+    far = near.join(closure.select(F.col("v").alias("m"), F.col("m").alias("far")), "m").select("x", F.col("far").alias("m"))
+    return cut(near.union(far).distinct())
+
+
+def _rooted_paths(f: Forest, at: DataFrame, graph: DataFrame) -> DataFrame:
+    """(x, root, depth, path): a path of the fewest steps from each root above a node, through merges.
+
+    Of several such paths into a merge the one over the parent with the smallest key is taken.
+    """
+    placed = cut(at.select("x", "anchor", "depth", "node_key").join(full_paths(at), "node_key"))
+    merged = cut(_roots_of_merges(graph, f.roots))
+    own = f.roots.select(F.col("x").alias("m"), F.col("x").alias("root"), F.lit(0).cast("bigint").alias("d"))
+    reach = merged.unionByName(own)
+    via = placed.select(F.col("x").alias("via"), F.col("node_key").alias("via_key"), F.col("path").alias("via_path"))
+    above = graph.join(reach.select(F.col("m").alias("v"), "root", F.col("d").alias("dv")), "v")
+    shortest = above.join(merged, ["m", "root"]).where("dv + w = d").join(via.select("via", "via_key"), "via")
+    best = shortest.groupBy("m", "root").agg(F.min_by(F.struct("v", "via"), "via_key").alias("b")).select("m", "root", "b.v", "b.via")
+    steps = cut(best.join(via, "via").select("m", "root", "v", "via_path"))
+    known = level = cut(f.roots.select(F.col("x").alias("m"), F.col("x").alias("root"), F.lit("").alias("lead")))
+    while not level.isEmpty():
+        level = cut(steps.join(level.withColumnRenamed("m", "v"), ["v", "root"]).select("m", "root", F.concat("lead", "via_path", F.lit(" > ")).alias("lead")))
+        known = cut(known.union(level))
+    leads = known.join(reach, ["m", "root"]).withColumnRenamed("m", "anchor")
+    return placed.join(leads, "anchor").select("x", "root", (F.col("depth") + F.col("d")).alias("depth"), F.concat("lead", "path").alias("path"))
+
+
+def node_positions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_key, root_key, depth, path, n_below, tree_key, parent_key, tree_depth, pos, n_tree) of every node.
+
+    Nodes, roots and depths are those of ``node_roots``; ``path`` holds the keys of a shortest path from
+    the root to the node, joined by " > ", and is "" in the rows of circles and of nodes without a
+    root. ``n_below`` counts all descendants, through merges too; a node on a circle is its own
+    descendant. The other columns are those of ``tree_positions``, in which the smallest node id of a
+    one-parent circle tops a tree as a merge does; ``n_tree`` counts the descendants within the tree.
+    """
+    f = build_forest(nodes, edges, open_circles=True)
+    at = cut(_positions(f))
+    graph = _hanging(f, at)
+    rooted = cut(_rooted_paths(f, at, graph))
+    circle = _on_circles(f, graph)
+    lost = f.ids.select("x").join(rooted.select("x"), "x", "left_anti").join(circle, "x", "left_anti")
+    odd = lambda df, n: df.select("x", F.lit("").alias("root_key"), F.lit(n).cast("bigint").alias("depth"), F.lit("").alias("path"))
+    names = f.ids.select(F.col("x").alias("root"), F.col("node_key").alias("root_key"))
+    found = rooted.join(names, "root").select("x", "root_key", "depth", "path").union(odd(circle, -1)).union(odd(lost, -2))
+    sizes = at.where("x = anchor").select(F.col("x").alias("m"), (F.col("n_below") + 1).alias("n"))
+    across = _trees_below(at, graph).join(sizes, "m").groupBy("x").agg(F.sum("n").alias("n_across"), F.collect_set("m").alias("tops"))
+    loops = f.loops.withColumn("loop", F.lit(1))
+    around = F.coalesce(F.array_contains("tops", F.col("anchor")), F.lit(False))
+    n_below = F.coalesce("n_across", F.lit(0)) + F.when(around, 0).otherwise(F.col("n_below") + F.coalesce("loop", F.lit(0)))
+    counted = at.join(across, "x", "left").join(loops, "x", "left").select(
+        "x", "node_key", n_below.cast("bigint").alias("n_below"), "tree_key", "parent_key", F.col("depth").alias("tree_depth"), "pos", F.col("n_below").alias("n_tree")
+    )
+    return found.join(counted, "x").select("node_key", "root_key", "depth", "path", "n_below", "tree_key", "parent_key", "tree_depth", "pos", "n_tree")
+
+
+def all_descendants(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_key, descendant_key): every descendant of every node, each once, through merges and circles.
+
+    A node on a circle is its own descendant. Pairs within a tree come from chain segments, the others
+    from whole trees; a node whose own tree is reached again has that tree from there.
+    """
+    f = build_forest(nodes, edges, open_circles=True)
+    at = cut(_positions(f))
+    below = _trees_below(at, _hanging(f, at))
+    around = cut(below.join(at.select("x", F.col("anchor").alias("m")), ["x", "m"], "left_semi").select("x"))
+    place, prefix = _on_paths(at)
+    above = place.join(around, "x", "left_anti").select(F.col("x").alias("a"), F.col("node_key").alias("above_key"), "chain", "at")
+    inside = above.join(prefix, "chain").where("at <= n and a <> x").select(F.col("above_key").alias("node_key"), F.col("node_key").alias("descendant_key"))
+    members = at.select(F.col("anchor").alias("m"), F.col("node_key").alias("descendant_key"))
+    across = below.join(f.ids, "x").join(members, "m").select("node_key", "descendant_key")
+    loops = f.loops.join(around, "x", "left_anti").join(f.ids, "x").select("node_key", F.col("node_key").alias("descendant_key"))
+    return inside.union(across).union(loops)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeatlas.operators import hierarchy, schema_drift, snapshot_diff
-from lodeatlas.plans.session import cut, table
+from lodeatlas.plans.session import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,16 +27,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every node of the one-parent forest with its path and the interval of its descendants."""
-    at = cut(hierarchy.tree_positions(*hierarchy.lineage_edges(table(spark, sf_dir, "lineage"))))
-    return at.drop("segments").join(hierarchy.full_paths(at), "node_key")
+    """Every node with its roots, the paths and depths from them, and its place among the descendants of others."""
+    return hierarchy.node_positions(*hierarchy.lineage_edges(table(spark, sf_dir, "lineage")))
+
+
+def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of every node."""
+    return hierarchy.all_descendants(*hierarchy.lineage_edges(table(spark, sf_dir, "lineage")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_diff.diff_snapshots(table(spark, sf_dir, "model_snapshots"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p3_found, p3_positions, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p3_found, p3_positions, p3_descendants, p5_found)}
 
 _KEY = """trim({r}.family) || CASE WHEN coalesce(trim({r}.variant), '') <> '' THEN '/' || trim({r}.variant) ELSE '' END
  || CASE WHEN coalesce(trim({r}.version), '') <> '' THEN '@' || trim({r}.version) ELSE '' END"""

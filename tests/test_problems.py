@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeatlas.operators.assignment import best_assignment
-from lodeatlas.operators.hierarchy import descendants, full_paths, lineage_edges, node_roots, tree_positions
+from lodeatlas.operators.hierarchy import all_descendants, descendants, full_paths, lineage_edges, node_positions, node_roots, tree_positions
 from lodeatlas.operators.schema_drift import name_similarity, schema_changes, unify
 from lodeatlas.operators.snapshot_diff import diff_snapshots
 from lodeatlas.plans.prefix import prefix_sums
@@ -198,6 +198,43 @@ def test_tree_positions(spark, rows):
     assert rows(descendants(at, spark.createDataFrame([("d",)], "node_key string"))) == [("d", "e"), ("d", "f"), ("d", "g")]
 
 
+def test_positions_and_descendants_brute_force(spark, rows):
+    rng = random.Random(11)
+    edges = {(f"n{i}", f"n{rng.randrange(max(1, i - 6), i) if i > 1 else 0}") for i in range(1, 45)}
+    edges |= {(f"n{rng.randrange(20, 45)}", f"n{rng.randrange(0, 30)}") for _ in range(6)}
+    edges |= {("n5", "n40"), ("n9", "n9"), ("s", "s"), ("t", "s")}
+    edges |= {(f"x{i}", f"x{(i + 1) % 5}") for i in range(5)} | {("y", "x1"), ("z", "y"), ("z", "n3"), ("zz", "z")}
+    nodes, links = graph_rows(spark, edges, ["alone"])
+    down, keys = defaultdict(set), {x for e in edges for x in e} | {"alone"}
+    for c, p in edges:
+        down[p].add(c)
+    below = {}
+    for x in keys:
+        seen, queue = set(), deque([x])
+        while queue:
+            fresh = down[queue.popleft()] - seen
+            seen |= fresh
+            queue.extend(fresh)
+        below[x] = seen
+    pairs = rows(all_descendants(nodes, links))
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(x, d) for x in keys for d in below[x]}
+    got = node_positions(nodes, links).collect()
+    assert sorted((r.node_key, r.root_key, r.depth) for r in got) == sorted(brute_roots(edges, ["alone"]))
+    for r in got:
+        assert r.n_below == len(below[r.node_key])
+        steps = r.path.split(" > ")
+        if r.depth < 0:
+            assert r.path == ""
+        else:
+            assert steps[0] == r.root_key and steps[-1] == r.node_key and len(steps) == r.depth + 1 and all((c, p) in edges for p, c in zip(steps, steps[1:]))
+    trees = {r.node_key: r for r in got}.values()
+    for r in trees:
+        inside = {d.node_key for d in trees if d.tree_key == r.tree_key and r.pos < d.pos <= r.pos + r.n_tree}
+        assert len(inside) == r.n_tree and inside <= below[r.node_key]
+    empty = lineage_edges(spark.createDataFrame([], LINE))
+    assert rows(node_positions(*empty)) == [] and rows(all_descendants(*empty)) == []
+
+
 def test_hierarchy_edges(spark, rows):
     assert rows(node_roots(*lineage_edges(spark.createDataFrame([], LINE)))) == []
     assert rows(tree_positions(*lineage_edges(spark.createDataFrame([], LINE)))) == []
