@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,8 @@ from lodeatlas.sources.json_lines import open_fields
 LANES = 16
 #: Least share of equal values among the records that have both fields of a rename.
 EQUAL_SHARE = 0.9
+#: Least likeness of the names, or share of common members, of fields of different feeds without a rename between them.
+ALIKE = 0.6
 
 
 def file_steps(records: DataFrame) -> DataFrame:
@@ -169,31 +172,128 @@ def _canonical_names(chains: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["feed", "from_file", "field", "unified"]).astype({"from_file": "int64"})
 
 
+def _clusters(names: dict[str, tuple], votes: dict[tuple, int], apart: set[tuple], like: dict[tuple, float]) -> dict[str, str]:
+    """Each name's common name; ``names`` gives how widely a name is used.
+
+    Names are put together by renames seen inside feeds, the most frequent first, then by likeness, but
+    never if any two of them stand side by side in a file: those are different fields.
+    """
+    group = {n: {n} for n in names}
+    order = sorted(votes, key=lambda p: (-votes[p], p)) + sorted(like, key=lambda p: (-like[p], p))
+    for a, b in order:
+        if a in group and b in group and group[a] is not group[b]:
+            if not any((x, y) in apart or (y, x) in apart for x in group[a] for y in group[b]):
+                group[a] |= group[b]
+                for x in group[b]:
+                    group[x] = group[a]
+    return {n: min(g, key=lambda x: ([-u for u in names[x]], x)) for n, g in group.items()}
+
+
+def _common_names(facts: pd.DataFrame) -> pd.DataFrame:
+    """(top, leaf, common_top, common_leaf) of all names of all feeds; a field at the top has leaf ""."""
+    split = lambda path, parent: (parent, path[len(parent) + 1 :]) if parent else (path, "")
+    used = {split(r.a, r.parent): r for r in facts[facts["fact"] == "used"].itertuples()}
+    pairs = [(r.fact, split(r.a, r.parent), split(r.b, r.parent), int(r.n)) for r in facts[facts["fact"] != "used"].itertuples()]
+    leaves: dict[str, dict[str, set]] = defaultdict(dict)
+    for (top, leaf), r in used.items():
+        if leaf:
+            leaves[top][leaf] = set(r.kinds)
+
+    def likeness(a: str, b: str, ra: tuple, rb: tuple, members: float = 0.0) -> float:
+        if not set(ra.kinds) & set(rb.kinds):
+            return 0.0
+        name = max(name_similarity(a, b), members)
+        return name + sum(x == y for x, y in zip(ra.sketch, rb.sketch)) / LANES if name >= ALIKE else 0.0
+
+    def members(a: str, b: str) -> float:
+        both = [x for x in leaves[a].keys() & leaves[b].keys() if leaves[a][x] & leaves[b][x]]
+        return len(both) / max(1, len(leaves[a].keys() | leaves[b].keys()))
+
+    tops = sorted(t for t, leaf in used if not leaf)
+    level = lambda fact: [(x[0], y[0], n) for f, x, y, n in pairs if f == fact and not x[1]]
+    like = {(a, b): w for i, a in enumerate(tops) for b in tops[i + 1 :] if (w := likeness(a, b, used[a, ""], used[b, ""], members(a, b)))}
+    common = _clusters({t: (used[t, ""].n, used[t, ""].n_first) for t in tops}, {x[:2]: x[2] for x in level("renamed")}, {x[:2] for x in level("together")}, like)
+    out = [(t, "", common[t], "") for t in tops]
+    for head in sorted(set(common.values())):
+        mine = sorted(k for k in used if k[1] and common.get(k[0]) == head)
+        counts: dict[str, list] = defaultdict(lambda: [0, 0])
+        some: dict[str, tuple] = {}
+        for k in mine:
+            counts[k[1]][0] += used[k].n
+            counts[k[1]][1] += used[k].n_first
+            some[k[1]] = max(some.get(k[1], used[k]), used[k], key=lambda r: r.n)
+        votes: dict[tuple, int] = defaultdict(int)
+        apart = set()
+        for fact, x, y, n in pairs:
+            if x[1] and common.get(x[0]) == head:
+                if fact == "together":
+                    apart.add((x[1], y[1]))
+                else:
+                    votes[x[1], y[1]] += n
+        names = sorted(counts)
+        like = {(a, b): w for i, a in enumerate(names) for b in names[i + 1 :] if (w := likeness(a, b, some[a], some[b]))}
+        leaf = _clusters({n: tuple(c) for n, c in counts.items()}, votes, apart, like)
+        out += [(k[0], k[1], head, leaf[k[1]]) for k in mine]
+        # A member may get a top under which it never stood, when the object was renamed inside its feed.
+        out += [(t, n, head, leaf[n]) for t in tops if common[t] == head for n in names if (t, n) not in used]
+    return pd.DataFrame(out, columns=["top", "leaf", "common_top", "common_leaf"])
+
+
 def unify(records: DataFrame) -> DataFrame:
     """All readable records in one shape: (feed, file_no, line_no, provider, id, fields map<string, string>).
 
-    A field has the name under which its feed first delivered it; the values are JSON text, so a field
-    whose type changed keeps each value as it came. A name that is used again for another field after
-    a rename keeps the latest mapping at that file. Members of a renamed object go with the object.
+    Inside a feed a field is followed through its renames to its first name; the names of all feeds are
+    then matched to common ones, of which the name that most feeds use stands for the others. The
+    values are JSON text, so a field whose type changed keeps each value as it came. A name that is
+    used again for another field after a rename keeps the latest mapping at that file. Members of a
+    renamed object go with the object. If two fields of a file get one name, the second is kept as
+    name~path.
     """
     fields = cut(open_fields(records))
-    renames = schema_changes(records, fields).where("change_kind = 'renamed'")
+    renames = cut(schema_changes(records, fields).where("change_kind = 'renamed'"))
     keyed = renames.select(F.coalesce("feed", F.lit("")).alias("feed_key"), "feed", "file_no", "old_field", "new_field")
     names = cut(keyed.groupBy("feed_key").applyInPandas(_canonical_names, "feed string, from_file bigint, field string, unified string"))
-    per_file = fields.select("feed", "file_no", "parent", "path").distinct()
+    raw = cut(fields.select("feed", "file_no", "parent", "path").distinct())
 
     def mapped(df: DataFrame, field: str, out: str) -> DataFrame:
         n = names.select(F.col("feed").alias("nf"), "from_file", "field", "unified")
         hit = df.join(n, F.col("feed").eqNullSafe(F.col("nf")) & (F.col(field) == F.col("field")) & (F.col("from_file") <= F.col("file_no")), "left")
         return hit.groupBy(*df.columns).agg(F.max_by("unified", "from_file").alias(out))
 
-    top = F.when(F.col("parent") == "", F.col("path")).otherwise(F.col("parent"))
-    member = F.when(F.col("parent") == "", F.lit(None)).otherwise(F.col("path"))
-    per_file = mapped(mapped(per_file.withColumns({"top": top, "member": member}), "top", "top_name"), "member", "member_name")
-    leaf = F.regexp_extract(F.coalesce("member_name", "member"), r"([^.]*)$", 1)
-    unified = F.concat(F.coalesce("top_name", "top"), F.when(F.col("member").isNull(), "").otherwise(F.concat(F.lit("."), leaf)))
-    lookup = per_file.select(F.col("feed").alias("lf"), F.col("file_no").alias("ln"), F.col("path").alias("lp"), unified.alias("unified"))
-    named = fields.join(lookup, F.col("feed").eqNullSafe(F.col("lf")) & (F.col("file_no") == F.col("ln")) & (F.col("path") == F.col("lp")))
+    inner = F.col("parent") != ""
+    top = F.when(inner, F.col("parent")).otherwise(F.col("path"))
+    member = F.when(inner, F.col("path"))
+    per_file = mapped(mapped(raw.withColumns({"top": top, "member": member}), "top", "top_name"), "member", "member_name")
+    # The name of a member may hold points itself, so only the name of its object is taken off.
+    own_leaf = F.when(inner, F.expr("substr(path, length(parent) + 2)")).otherwise("")
+    old_leaf = F.when(F.col("member_name").isNull(), own_leaf).otherwise(F.regexp_extract("member_name", r"([^.]*)$", 1))
+    per_file = cut(per_file.select("feed", "file_no", "parent", "path", F.coalesce("top_name", "top").alias("top"), old_leaf.alias("leaf")))
+
+    feed = F.coalesce("feed", F.lit(""))
+    first = F.when((F.col("top") == F.when(inner, F.col("parent")).otherwise(F.col("path"))) & (F.col("leaf") == own_leaf), feed)
+    use = per_file.groupBy("parent", "path").agg(F.count_distinct(feed).alias("n"), F.count_distinct(first).alias("n_first"))
+    lanes = [F.min(F.xxhash64(F.lit(i), "value")).alias(f"lane{i}") for i in range(LANES)]
+    seen = fields.groupBy("parent", "path").agg(F.collect_set("kind").alias("kinds"), *lanes)
+    used = use.join(seen, ["parent", "path"]).select(
+        F.lit("used").alias("fact"), "parent", F.col("path").alias("a"), F.lit("").alias("b"), "n", "n_first", "kinds", F.array(*[f"lane{i}" for i in range(LANES)]).alias("sketch")
+    )
+    none = [F.lit(0).cast("bigint").alias("n_first"), F.array().cast("array<string>").alias("kinds"), F.array().cast("array<bigint>").alias("sketch")]
+    parents = raw.select("parent", F.col("path").alias("new_field")).distinct()
+    renamed = renames.join(parents, "new_field").groupBy("parent", F.col("old_field").alias("a"), F.col("new_field").alias("b")).agg(F.count_distinct(feed).alias("n"))
+    schemas = raw.groupBy("feed", "file_no", "parent").agg(F.array_sort(F.collect_set("path")).alias("paths")).select("parent", "paths").distinct()
+    together = schemas.select("parent", "paths", F.explode("paths").alias("a")).select("parent", "a", F.explode("paths").alias("b")).where("a < b").distinct()
+    pairs = lambda df, fact, n: df.select(F.lit(fact).alias("fact"), "parent", "a", "b", n.cast("bigint").alias("n"), *none)
+    facts = used.unionByName(pairs(renamed, "renamed", F.col("n"))).unionByName(pairs(together, "together", F.lit(1)))
+    # Names, not records: as many rows as the feeds have different fields and pairs of them.
+    common = facts.groupBy().applyInPandas(_common_names, "top string, leaf string, common_top string, common_leaf string")
+    named = per_file.join(F.broadcast(cut(common)), ["top", "leaf"], "left")
+    base_top, base_leaf = F.coalesce("common_top", "top"), F.coalesce("common_leaf", "leaf")
+    named = named.withColumn("unified", F.when(inner, F.concat(base_top, F.lit("."), base_leaf)).otherwise(base_top))
+    twice = Window.partitionBy("feed", "file_no", "unified").orderBy((F.col("path") == F.col("unified")).desc(), "path")
+    unified = F.when(F.row_number().over(twice) == 1, F.col("unified")).otherwise(F.concat("unified", F.lit("~"), "path"))
+    lookup = named.select(F.col("feed").alias("lf"), F.col("file_no").alias("ln"), F.col("parent").alias("lq"), F.col("path").alias("lp"), unified.alias("unified"))
+    same = F.col("feed").eqNullSafe(F.col("lf")) & F.col("file_no").eqNullSafe(F.col("ln")) & (F.col("parent") == F.col("lq")) & (F.col("path") == F.col("lp"))
+    named = fields.join(cut(lookup), same)
     # The number of fields of one record is bounded by its line, so this list is too.
     entries = F.array_sort(F.collect_list(F.struct("unified", "text")))
     return (

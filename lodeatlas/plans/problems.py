@@ -14,11 +14,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with all its fields under the common names; some of them as columns too."""
     one = schema_drift.unify(table(spark, sf_dir, "wire_records"))
     pick = lambda k: F.element_at("fields", k)
     return one.select(
         "feed", "file_no", "line_no", "provider", F.col("id").alias("model_id"), F.size("fields").cast("bigint").alias("n_fields"),
         pick("reasoning").alias("reasoning"), pick("interleaved").alias("interleaved"), pick("cost.input").alias("cost_input"), pick("cost.output").alias("cost_output"),
+        "fields",
     )
 
 

@@ -126,6 +126,25 @@ def test_unify_follows_renames(spark):
     assert all(got[(f, i)]["cost.input"] == i for f in (1, 2, 3) for i in ids)
 
 
+def test_unify_matches_feeds(spark):
+    ids = [str(i) for i in range(5)]
+    record = lambda i, cost, flag, size: {"id": i, cost: {"input": int(i), "out": 1}, flag: i != "0", size: 7, "extra": "e"}
+    data = wire(1, [record(i, "price", "is_reasoning", "limit") for i in ids], "a") + wire(2, [record(i, "cost", "reasoning", "limit") for i in ids], "a")
+    for feed, cost in (("b", "cost"), ("c", "cost"), ("d", "pricing")):
+        data += wire(1, [record(i, cost, "reasoning", "limits" if feed == "d" else "limit") for i in ids], feed)
+    got = unify(spark.createDataFrame(data, WIRE)).collect()
+    assert len(got) == len(data)
+    for r in got:
+        assert set(r.fields) == {"id", "cost", "cost.input", "cost.out", "reasoning", "limit", "extra"}
+        assert r.fields["cost.input"] == r.id and r.fields["reasoning"] == ("false" if r.id == "0" else "true")
+
+
+def test_unify_keeps_fields_apart_that_stand_side_by_side(spark):
+    data = wire(1, [{"id": "1", "open_weights": 1}], "a") + wire(1, [{"id": "2", "weights_open": 2}], "b") + wire(1, [{"id": "3", "open_weights": 3, "weights_open": 4}], "c")
+    got = {r.id: r.fields for r in unify(spark.createDataFrame(data, WIRE)).collect()}
+    assert got["2"]["weights_open"] == "2" and (got["3"]["open_weights"], got["3"]["weights_open"]) == ("3", "4")
+
+
 def test_values_compare_by_value():
     assert canonical({"b": 1.0, "a": [1, True, None]}) == {"b": 1, "a": [1, True, None]}
     assert canonical(True) is True and canonical("1") == "1"
