@@ -464,9 +464,16 @@ def unreached_entries(spark, d):
 
 @query("SELECT count(*) AS n_rows, count(*) FILTER (version <> '') AS n_versioned, CAST(0 AS BIGINT) AS n_reported FROM models")
 def quality_counters(spark, d):
+    """The stored rows, which keep no reason: nothing is reported here, see ``normalized_quality_counters``."""
     return analysis.quality_counters(table(spark, d, "models").withColumn("reason", F.lit("")), V.RESIDUAL)
 
 
+@query()
+def normalized_quality_counters(spark, d):
+    """The counters over newly decomposed rows, with the residual failures."""
+    return analysis.quality_counters(normalize.normalize(table(spark, d, "models")), V.RESIDUAL)
+
+
 @query()
 def reason_counts(spark, d):
     return analysis.reason_counts(normalize.failures(normalize.normalize(table(spark, d, "models"))))

@@ -326,6 +326,16 @@ def test_divergence(spark):
     assert [tuple(r) for r in analysis.mislabel_pairs(v).collect()] == [("aion", "llama", 1)]
 
 
+def test_quality_counters(spark, tmp_path):
+    from lodeatlas.plans.catalog_queries import QUERIES
+
+    pairs = [("nova", "nova-2-lite-v1"), ("text-embedding", "text-embedding-3-large"), ("gpt", "gpt-4"), ("", "")]
+    rows = [(raw, ident, "p", "", "") for raw, ident in pairs]
+    spark.createDataFrame(rows, "raw_family string, model_id string, provider string, release_date string, version string").write.parquet(str(tmp_path / "models.parquet"))
+    got = QUERIES["normalized_quality_counters"](spark, str(tmp_path)).first()
+    assert (got.n_rows, got.n_reported) == (4, 2) and got.n_versioned >= 1
+
+
 def test_classify_change():
     P = analysis.Parts
     change = lambda i, b, a, bs=None, as_=None, ok=None: analysis.classify_change(i, b, a, bs or [b], as_ or [a], ok)
