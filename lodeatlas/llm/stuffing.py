@@ -184,8 +184,11 @@ def _correlation(codes: np.ndarray) -> np.ndarray:
     return np.repeat(best, LAG_WINDOW)[:n]
 
 
-def stuffed(text: str | None) -> tuple[int, int, float]:
-    """(terms, terms in stuffing, largest autocorrelation) of a text; zeros for null and empty texts."""
+def stuffed(text: str | None, measure: bool = True) -> tuple[int, int, float]:
+    """(terms, terms in stuffing, largest autocorrelation) of a text; zeros for null and empty texts.
+
+    Without ``measure`` the correlation is 0 where it can't make a term count as stuffing.
+    """
     terms, kinds = terms_of(text or "")
     n = len(terms)
     if not n:
@@ -196,11 +199,9 @@ def stuffed(text: str | None) -> tuple[int, int, float]:
     # Sentences have different function words; a keyword such as "en ligne" brings the same one again and again.
     function = _varied(kinds == 1, codes, REACH)
     dry = function < MOST_FUNCTION
-    if not dry.any():
-        return n, 0, 0.0
     content = (kinds == 0) | (kinds == 2)
-    if not (content & dry).any():
-        return n, 0, 0.0
+    if not dry.any() or not (content & dry).any():
+        return n, 0, float(_correlation(codes).max()) if measure else 0.0
     recurring = _around(recurs & (kinds == 0), REACH) / np.maximum(_around(kinds == 0, REACH), 1e-9)
     links = _around(kinds == 2, REACH)
     at = np.arange(n)
@@ -214,7 +215,7 @@ def stuffed(text: str | None) -> tuple[int, int, float]:
     return n, int(mask.sum()), float(correlation.max())
 
 
-def stuffing(documents: DataFrame) -> DataFrame:
+def stuffing(documents: DataFrame, measure: bool = True) -> DataFrame:
     """(doc_id, n_terms, n_stuffed, correlation) of every document; a null text has no terms.
 
     Repeated rows of an id give repeated rows. Other columns are ignored, whatever their names.
@@ -223,7 +224,7 @@ def stuffing(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [stuffed(t) for t in batch.column(1).to_pylist()]
+            got = [stuffed(t, measure) for t in batch.column(1).to_pylist()]
             columns = [np.array(c) for c in zip(*got)] or [[], [], []]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
@@ -236,4 +237,4 @@ def stuffing(documents: DataFrame) -> DataFrame:
 
 def stuffed_pages(documents: DataFrame) -> DataFrame:
     """(doc_id): documents with more than half of their terms in stuffing, each once."""
-    return stuffing(documents).where(F.col("n_stuffed") > MOST_STUFFED * F.col("n_terms")).select("doc_id").where("doc_id is not null").distinct()
+    return stuffing(documents, measure=False).where(F.col("n_stuffed") > MOST_STUFFED * F.col("n_terms")).select("doc_id").where("doc_id is not null").distinct()

@@ -183,6 +183,13 @@ def test_leaks_in_several_passes(spark, monkeypatch):
 SENTENCE = "The provider answered within {} hours and admitted that the price sheet was slow, because nobody in the team had looked at it for a week. "
 
 
+def test_correlation_of_sentences():
+    text = "it is what we have and this is not all of it for you, " * 30
+    n, stuffed, correlation = stuffing.stuffed(text)
+    assert stuffed == 0 and correlation > 0.9
+    assert stuffing.stuffed(text, measure=False) == (n, 0, 0.0)
+
+
 @pytest.mark.parametrize(
     "text,found",
     [
