@@ -1,16 +1,22 @@
 """Keyword-stuffed and link-list pages.
 
-A page is read as a sequence of terms. Three signals are measured in windows around every term:
-
-* recurrence gaps: how many content terms stand within a short gap of their next or last occurrence;
-* positional autocorrelation: the largest share of terms that equal the term a fixed lag before them,
-  over all lags of a lag window, which is high for lists made by a template;
-* function words: sentences have them, lists of nouns, links, tags and products do not.
-
-A term belongs to stuffing if its neighbourhood has hardly any function words and recurs unnaturally,
-is made of links, or is a long run of distinct nouns. Code blocks and table rows are no stuffing.
-Pages with more than half of their terms in stuffing are the result. Each page is judged from its own
-text, so the operator is one pass without a shuffle.
+A page is read as a sequence of terms with the breaks (punctuation, line ends, tags) between them. What
+makes a term count as stuffing is measured around it, and each signal is enough by itself:
+
+* recurrence gaps: nearly every word near it stands within a gap shorter than a sentence of its next or last
+  occurrence (numbers aside, as in lists of prices; within a longer gap where nothing looks like sentences), or
+  most pairs of neighbouring terms do; sentences repeat some words, but hardly any pairs of words;
+* positional autocorrelation: in its lag window many terms equal the term a fixed lag before them, which
+  is the mark of a template;
+* links: a large share of the terms near it are words of links;
+* noun lists: it stands in a long run of terms without any function word, and the run is written as a
+  list, in items of a few terms or without any break at all, and is no list of quantities.
+
+Only the last signal needs function words. They are those of the corpus itself: the short words that
+occur in a large share of all documents of a language. Keywords may be repeated very often, but in few
+documents. A language too rare to have learned words is still told apart by the form of its text. Code
+and table rows are no stuffing. The statistics are one aggregation that combines before it shuffles;
+after it every page is judged in one pass.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,215 +32,261 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeatlas.llm.words import INVISIBLE
-from lodeatlas.plans.session import ship_package
-
-# Frequent function words of English, German, Spanish and French.
-FUNCTION_WORDS = frozenset(
-    """
-    a about above after all an and any are as at be because been before below between both but by can could did do does
-    each few for from had has have he her his how i if in into is it its just many may more most my never no nobody not
-    of on once only or other our out over own per she should since so some such than that the their them then there these
-    they this those through to under until up us very was we were what when where which while who why will with would yet
-    you your anyone everyone anything says said
-    aber als am auch auf aus bei beim bis bleibt das dass dem den der des die doch ein eine einem einen einer er es für hat
-    haben ich ihr im in ist kann keine mit nach nicht noch nur oder ohne sich sie sind so sodass um und uns unsere vom von
-    vor war waren was wenn wer wie wir wird zu zum zur
-    al algo ante así aunque como con contra cuando de del desde donde dos e el ella en entre era es esta este esto fue ha
-    hasta hay la las le lo los mi muy más nadie ni nos o otra otro para pero por porque que quien se ser si sin sobre su
-    sus también tras un una y ya
-    au aux avec ce ces cette comme d dans depuis deux donc du elle elles est et été il ils je jusqu l leur leurs lui là ma
-    mais mes même n ne nous on ont ou où par pas pour qu que qui s sa sans ses si son sont sous sur sera tout très une
-    vous à
-    """.split()
-)
+from lodeatlas.plans.session import cut, ship_package
 
 #: Terms on each side of a term that make its neighbourhood.
 REACH = 12
-#: Largest gap at which an occurrence counts as recurring, and largest lag of the autocorrelation.
-GAP, LAGS = 60, 40
+#: Largest gap at which an occurrence counts as recurring, and largest lag of the autocorrelation: keywords
+#: come back within the length of a sentence, a sentence that is repeated comes back later.
+GAP, LAGS = 20, 20
+#: The gap where nothing looks like sentences: items of other numbers of words than these, hardly any function word.
+FAR_GAP, SENTENCE_WORDS, MOST_FUNCTION = 60, (9, 47), 0.1
 #: Terms of one lag window.
 LAG_WINDOW = 96
-#: A neighbourhood with a larger share of different function words is made of sentences.
-MOST_FUNCTION = 0.10
-#: Share of recurring content terms, and autocorrelation, from which repetition is unnatural.
-LEAST_RECURRING, LEAST_CORRELATION = 0.5, 0.3
+#: Share of recurring terms, and of recurring pairs of neighbours, from which repetition is unnatural.
+LEAST_RECURRING, LEAST_PAIRS = 0.75, 0.5
+#: Autocorrelation that shows a template, and the equal terms it must rest on.
+LEAST_CORRELATION, LEAST_EQUAL = 0.3, 6
 #: Share of words of links in a neighbourhood that makes it a list of links.
 LEAST_LINKS = 0.35
-#: Terms in a row without any function word that make a list of nouns.
-NOUN_RUN = 24
+#: Terms in a row without a function word that may be a list of nouns; most terms of one item of a list;
+#: terms without any break that are no sentence; least share of such terms around, most share of numbers.
+NOUN_RUN, ITEM_TERMS, UNBROKEN, LEAST_LISTED, MOST_NUMBERS = 24, 3, 48, 0.7, 0.2
+#: Characters whose terms are judged at once, and terms that a task numbers before it starts afresh.
+BLOCK_CHARACTERS, REMEMBERED = 1_000_000, 500_000
 #: A page with a larger share of stuffing is found.
 MOST_STUFFED = 0.5
 
-_TERM = re.compile(r"(?:https?://|www\.)[^\s\"'<>)\]]+|#[^\W_]\w*|[^\W_]+")
+#: Letters of a function word at most, and the share of a language's documents that have it at least.
+FUNCTION_LETTERS, FUNCTION_SHARE = 5, 0.1
+#: A language is learned from so many documents at least, and from this share of all documents.
+LEAST_DOCUMENTS, LEAST_LANGUAGE = 20, 0.001
+
+_MARKS = "".join(chr(c) for c in range(0x300, 0x10000) if unicodedata.category(chr(c)).startswith("M"))
+# What ends an item or sentence, and the marks put around links and code.
+BREAKS = ",;:!?|#•·…。、！？，；：।؟،؛\n."
+LINK_ON, LINK_OFF, CODE_ON, CODE_OFF = "\x01", "\x02", "\x03", "\x04"
+_MARKERS = LINK_ON + LINK_OFF + CODE_ON + CODE_OFF
+_PLAIN = re.compile(rf"[^\W_]+|[{_MARKERS}]|[{re.escape(BREAKS[:-1])}]|\.(?=\s|\Z)")
+_MARKED = re.compile(rf"(?:[^\W_]|[{_MARKS}])+|[{_MARKERS}]|[{re.escape(BREAKS[:-1])}]|\.(?=\s|\Z)")
+_CONTROL = re.compile(rf"[{_MARKERS}]")
 _WORD = re.compile(r"[^\W_]+")
-_FENCE = re.compile(r"^```.*?^```[^\n]*$", re.M | re.S)
+_URL = re.compile(r"(?:https?://|www\.)[^\s\"'<>)\]\x01-\x04]+")
+_FENCE = re.compile(r"^```.*?(?:^```[^\n]*$|\Z)", re.M | re.S)
 _TABLE_ROW = re.compile(r"^[ \t]*\|.*\|[ \t]*$", re.M)
+#: A line of a program: an assignment, call, block or statement. Lines with links are none.
+_CODE_LINE = re.compile(
+    r"""^(?!.*(?:https?://|www\.))[ \t]*(?:
+      [\w.\[\]"']+[ ]?(?:[-+*/|&]?=|:=|->|=>)[ ]?\S.*
+      | (?:[\w.]+[ ])*[\w.]+\(.*\)?[:;{,)\]]*
+      | (?:def|class|if|elif|else|for|while|try|except|finally|with|switch|case|func|fn)\b.*[:{]
+      | (?:return|import|from|raise|yield|var|let|const|public|private|include|package|using)\b[^.?!]*;?
+      | ["'\w.-]+["']?:[ ]*["'\[{\d].*
+      | [\[\]{}();,]+
+      | (?://|\#!|/\*|\*/|<\?|@)\S.*
+    )[ \t]*$""",
+    re.M | re.X,
+)
+_CODE_SIGN = re.compile(r"[=(){}\[\];]")
 _HREF = re.compile(r"<a\b[^<>]*?href\s*=\s*[\"']?([^\"'<>\s]+)[^<>]*>", re.I)
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
-_RUNS = re.compile(r"[ぁ-ゟ]+|[ァ-ヿ]+|[一-鿿々]+|[^ぁ-ヿ一-鿿々]+")
+#: Runs of scripts that put no spaces between words; they are read as pairs of neighbouring letters.
+_UNSPACED = re.compile("[฀-໿က-႟ក-៿ぁ-ヿ㐀-䶿一-鿿ｦ-ﾝ々]+")
 
 
-class _Numbers(dict):
-    """A number for each term; function words have the smallest. Started afresh when it has grown large."""
+def _pairs(m: re.Match) -> str:
+    run = m[0]
+    return " " + " ".join(run[i : i + 2] for i in range(max(1, len(run) - 1))) + " "
 
-    def __init__(self):
-        super().__init__((w, i) for i, w in enumerate(sorted(FUNCTION_WORDS)))
+
+def tokens_of(text: str | None) -> list[str]:
+    """The terms of a text in order, with breaks and the marks around links and code between them."""
+    if not text:
+        return []
+    if "&" in text:
+        text = html.unescape(text)
+    plain = text.isascii()
+    if not plain:
+        text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+    text = _CONTROL.sub(" ", text).casefold()
+    if "```" in text:
+        text = _FENCE.sub(lambda m: f"{CODE_ON}{m[0].replace('`', ' ')}{CODE_OFF}", text)
+    if "|" in text:
+        text = _TABLE_ROW.sub(lambda m: f"{CODE_ON}{m[0]}{CODE_OFF}", text)
+    if "<" in text:
+        text = _TAG.sub(" ", _HREF.sub(r" \1 ", text))
+    if "\n" in text and _CODE_SIGN.search(text):
+        text = _CODE_LINE.sub(lambda m: f"{CODE_ON}{m[0]}{CODE_OFF}", text)
+    if "http" in text or "www." in text:
+        # A link counts with all of its words.
+        text = _URL.sub(lambda m: f" {LINK_ON}{' '.join(_WORD.findall(m[0]))}{LINK_OFF} ", text)
+    if plain:
+        return _PLAIN.findall(text)
+    return _MARKED.findall(_UNSPACED.sub(_pairs, text))
+
+
+class Numbers(dict):
+    """A number for each term: breaks and marks first, then function words, then others; numerals are odd."""
+
+    def __init__(self, function_words: Sequence[str] = ()):
+        super().__init__((c, i) for i, c in enumerate(_MARKERS + BREAKS))
+        self.n_breaks = len(self)
+        for w in sorted(set(function_words)):
+            self.setdefault(w, len(self))
+        self.n_known = len(self)
 
     def __missing__(self, term: str) -> int:
-        self[term] = n = len(self)
+        self[term] = n = 2 * len(self) + term[0].isdecimal()
         return n
 
 
-#: Terms that a task numbers before it starts afresh; numbers only need to agree within a text.
-REMEMBERED = 500_000
-_numbers: list[_Numbers] = []
+def _near(key: np.ndarray, gap: int) -> np.ndarray:
+    """Whether each place stands within ``gap`` of the next or last place of the same key."""
+    order = np.argsort(key, kind="stable")
+    again = (key[order][1:] == key[order][:-1]) & (np.diff(order) <= gap)
+    out = np.zeros(len(key), bool)
+    out[order[1:][again]] = True
+    out[order[:-1][again]] = True
+    return out
 
 
-def numbered(terms: list[str]) -> np.ndarray:
-    if not _numbers or len(_numbers[0]) > REMEMBERED:
-        _numbers[:] = [_Numbers()]
-    return np.fromiter(map(_numbers[0].__getitem__, terms), np.int64, len(terms))
+def judge(texts: Sequence[str | None], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, terms in stuffing, largest share of recurring terms, largest autocorrelation) of each text."""
+    lists = [tokens_of(t) for t in texts]
+    sizes = np.array([len(x) for x in lists])
+    code = np.fromiter((numbers[t] for x in lists for t in x), np.int64, int(sizes.sum()))
+    doc = np.repeat(np.arange(len(lists)), sizes)
+    is_link = np.cumsum((code == 0).astype(np.int32) - (code == 1)) > 0
+    is_code = np.cumsum((code == 2).astype(np.int32) - (code == 3)) > 0
+    word = code >= numbers.n_breaks
+    # Marks around links are breaks too: a link is an item of its own.
+    segment = np.cumsum(~word)[word]
+    code, doc, is_link, is_code = code[word], doc[word], is_link[word], is_code[word]
+    n = np.bincount(doc, minlength=len(lists))
+    if not len(code):
+        return n, n * 0, n * 0.0, n * 0.0
+    end = np.cumsum(n)
+    low_of, high_of = (end - n)[doc], end[doc]
+    at = np.arange(len(code))
+    low, high = np.maximum(at - REACH, low_of), np.minimum(at + REACH + 1, high_of)
+
+    def around(flags: np.ndarray) -> np.ndarray:
+        total = np.r_[0, np.cumsum(flags)]
+        return (total[high] - total[low]) / (high - low)
+
+    counted = ~is_code
+    key = (doc.astype(np.int64) << 40) + code
+    pair = np.zeros(len(key), bool)
+    twins = (key[:-1].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ key[1:].astype(np.uint64)
+    again = _near(twins, GAP) & (doc[:-1] == doc[1:])
+    pair[:-1] |= again
+    pair[1:] |= again
+    # Short texts don't repeat enough to be judged by it.
+    enough = high - low > REACH
+    wordy = counted & ((code < numbers.n_known) | (code % 2 == 0))
+    words = np.maximum(around(wordy), 4 / (2 * REACH + 1))
+    recurring = around(_near(key, GAP) & wordy) / words * enough
+    pairs = around(pair & counted) * enough
+    links = around(is_link)
+
+    function = (code >= numbers.n_breaks) & (code < numbers.n_known)
+    stop = function | is_code
+    last = np.maximum(np.maximum.accumulate(np.where(stop, at, -1)), low_of - 1)
+    following = np.minimum(np.minimum.accumulate(np.where(stop, at, len(at))[::-1])[::-1], high_of)
+    where = np.unique(segment.astype(np.int64) + (doc.astype(np.int64) << 32), return_inverse=True)[1]
+    items = np.bincount(where)[where]
+    listed = around((items <= ITEM_TERMS) | ((items >= UNBROKEN) & ~np.isin(doc, [i for i, t in enumerate(texts) if t and _UNSPACED.search(t)])))
+    spoken = np.bincount(where, weights=wordy)[where]
+    sentences = around((spoken >= SENTENCE_WORDS[0]) & (spoken <= SENTENCE_WORDS[1]))
+    apart = (around(function) < MOST_FUNCTION) & (sentences < 0.5)
+    recurring = np.maximum(recurring, around(_near(key, FAR_GAP) & wordy) / words * enough * apart)
+    numerals = around((code >= numbers.n_known) & (code % 2 == 1))
+    nouns = (following - last - 1 >= NOUN_RUN) & (listed >= LEAST_LISTED) & (numerals <= MOST_NUMBERS)
+
+    starts = np.concatenate([np.arange(e - k, e, LAG_WINDOW) for e, k in zip(end, n)])
+    width = np.diff(np.r_[starts, len(code)])
+    best = np.zeros(len(starts))
+    for lag in range(1, min(LAGS, len(key) - 1) + 1):
+        same = np.zeros(len(key), np.int64)
+        same[lag:] = (key[lag:] == key[:-lag]) & counted[lag:]
+        best = np.maximum(best, np.add.reduceat(same, starts))
+    best = np.where(best >= LEAST_EQUAL, best, 0) / width
+    correlation = np.repeat(best, width)
+
+    mask = counted & ((recurring >= LEAST_RECURRING) | (pairs >= LEAST_PAIRS) | (links >= LEAST_LINKS) | (correlation >= LEAST_CORRELATION) | nouns)
+    filled = n > 0
+    first = (end - n)[filled]
+    most = lambda x: _spread(np.maximum.reduceat(x, first), filled)
+    return n, np.bincount(doc, weights=mask, minlength=len(lists)).astype(np.int64), most(recurring), most(correlation)
+
+
+def _spread(values: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(filled))
+    out[filled] = values
+    return out
 
 
-def terms_of(text: str) -> tuple[list[str], np.ndarray | None]:
-    """The terms of a text and the kind of each: 0 content, 1 function word, 2 link, 3 code or table.
+def stuffed(text: str | None, function_words: Sequence[str] = ()) -> tuple[int, int, float]:
+    """(terms, terms in stuffing, largest autocorrelation) of one text; zeros for null and empty texts."""
+    n, m, _, c = judge([text], Numbers(function_words))
+    return int(n[0]), int(m[0]), float(c[0])
 
-    Without the kinds if there are only words, which are function words or content by themselves.
-    """
-    if "&" in text:
-        text = html.unescape(text)
-    text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text)) if not text.isascii() else text
-    if "<" in text:
-        text = _TAG.sub(" ", _HREF.sub(r" \1 ", text))
-    text = text.casefold()
-    quiet = sorted(m.span() for p in (_FENCE, _TABLE_ROW) for m in p.finditer(text)) if "|" in text or "```" in text else []
-    if not quiet and "#" not in text and "http" not in text and "www." not in text and text.isascii():
-        return _WORD.findall(text), None
-    terms, kinds, q = [], [], 0
-    for m in _TERM.finditer(text):
-        word = m[0]
-        while q < len(quiet) and quiet[q][1] <= m.start():
-            q += 1
-        if q < len(quiet) and quiet[q][0] <= m.start():
-            terms.append(word)
-            kinds.append(3)
-        elif word.startswith(("http://", "https://", "www.")):
-            # A link counts with all of its words.
-            parts = _WORD.findall(word)
-            terms += parts
-            kinds += [2] * len(parts)
-        elif word[0] == "#":
-            # The words of a tag are never those of a sentence.
-            parts = _WORD.findall(word)
-            terms += parts
-            kinds += [0] * len(parts)
-        elif word.isascii():
-            terms.append(word)
-            kinds.append(1 if word in FUNCTION_WORDS else 0)
-        else:
-            # Scripts without spaces: hiragana carries the grammar, as function words do elsewhere.
-            for part in _RUNS.findall(word):
-                terms.append(part)
-                kinds.append(1 if part in FUNCTION_WORDS or "ぁ" <= part[0] <= "ゟ" else 0)
-    return terms, np.array(kinds, np.int8)
-
-
-def _around(flags: np.ndarray, reach: int) -> np.ndarray:
-    """Mean of ``flags`` within ``reach`` terms of each term."""
-    total = np.r_[0.0, np.cumsum(flags)]
-    at = np.arange(len(flags))
-    low, high = np.maximum(at - reach, 0), np.minimum(at + reach + 1, len(flags))
-    return (total[high] - total[low]) / (high - low)
-
-
-def _recurring(codes: np.ndarray) -> np.ndarray:
-    """Whether each term stands within GAP terms of the same term."""
-    order = np.argsort(codes, kind="stable")
-    near = (codes[order][1:] == codes[order][:-1]) & (np.diff(order) <= GAP)
-    out = np.zeros(len(codes), bool)
-    out[order[1:][near]] = True
-    out[order[:-1][near]] = True
-    return out
 
+def function_words(documents: DataFrame) -> list[str]:
+    """The function words of the corpus: short words in a large share of the documents of some language.
 
-def _varied(flags: np.ndarray, codes: np.ndarray, reach: int) -> np.ndarray:
-    """Different flagged terms within ``reach`` terms of each term, as a share of the terms there."""
-    n = len(codes)
-    order = np.argsort(codes, kind="stable")
-    before = np.full(n, -1)
-    again = codes[order][1:] == codes[order][:-1]
-    before[order[1:][again]] = order[:-1][again]
-    # An occurrence counts for the terms that reach it, but not the one before it.
-    i = np.flatnonzero(flags)
-    start, end = np.maximum(np.maximum(i - reach, np.where(before[i] >= 0, before[i] + reach + 1, 0)), 0), np.minimum(i + reach + 1, n)
-    counted = start < end
-    steps = np.bincount(start[counted], minlength=n + 1) - np.bincount(end[counted], minlength=n + 1)
-    at = np.arange(n)
-    return np.cumsum(steps)[:n] / (np.minimum(at + reach + 1, n) - np.maximum(at - reach, 0))
-
-
-def _correlation(codes: np.ndarray) -> np.ndarray:
-    """For each term, the largest autocorrelation of its lag window over all lags."""
-    n = len(codes)
-    best = np.zeros(-(-n // LAG_WINDOW))
-    for lag in range(1, min(LAGS, n - 1) + 1):
-        same = np.zeros(n)
-        same[lag:] = codes[lag:] == codes[:-lag]
-        best = np.maximum(best, np.add.reduceat(same, np.arange(0, n, LAG_WINDOW)) / np.minimum(LAG_WINDOW, n - np.arange(0, n, LAG_WINDOW)))
-    return np.repeat(best, LAG_WINDOW)[:n]
-
-
-def stuffed(text: str | None, measure: bool = True) -> tuple[int, int, float]:
-    """(terms, terms in stuffing, largest autocorrelation) of a text; zeros for null and empty texts.
-
-    Without ``measure`` the correlation is 0 where it can't make a term count as stuffing.
+    Languages are the labels as they are; wrong ones blur the shares a little, and labels of too few
+    documents are not learned from. As there are at most 1 / LEAST_LANGUAGE languages, with at most
+    (short words of a mean document) / FUNCTION_SHARE words each, what is gathered is bounded.
     """
-    terms, kinds = terms_of(text or "")
-    n = len(terms)
-    if not n:
-        return 0, 0, 0.0
-    codes = numbered(terms)
-    kinds = (codes < len(FUNCTION_WORDS)).astype(np.int8) if kinds is None else kinds
-    recurs = _recurring(codes)
-    # Sentences have different function words; a keyword such as "en ligne" brings the same one again and again.
-    function = _varied(kinds == 1, codes, REACH)
-    dry = function < MOST_FUNCTION
-    content = (kinds == 0) | (kinds == 2)
-    if not dry.any() or not (content & dry).any():
-        return n, 0, float(_correlation(codes).max()) if measure else 0.0
-    recurring = _around(recurs & (kinds == 0), REACH) / np.maximum(_around(kinds == 0, REACH), 1e-9)
-    links = _around(kinds == 2, REACH)
-    at = np.arange(n)
-    stop = (kinds == 1) | (kinds == 3)
-    last = np.maximum.accumulate(np.where(stop, at, -1))
-    following = np.minimum.accumulate(np.where(stop, at, n)[::-1])[::-1]
-    nouns = (following - last - 1) >= NOUN_RUN
-    mask = content & dry & ((recurring >= LEAST_RECURRING) | (links >= LEAST_LINKS) | nouns)
-    correlation = _correlation(codes)
-    mask |= content & dry & (correlation >= LEAST_CORRELATION)
-    return n, int(mask.sum()), float(correlation.max())
-
-
-def stuffing(documents: DataFrame, measure: bool = True) -> DataFrame:
-    """(doc_id, n_terms, n_stuffed, correlation) of every document; a null text has no terms.
-
-    Repeated rows of an id give repeated rows. Other columns are ignored, whatever their names.
+    lang = F.lower(F.regexp_extract(F.coalesce("lang", F.lit("")), r"^\s*([A-Za-z]*)", 1)) if "lang" in documents.columns else F.lit("")
+    rows = documents.where("text is not null").select(lang.alias("lang"), F.lower("text").alias("text"))
+    short = F.regexp_extract_all("text", F.lit(rf"(?<![\p{{L}}\p{{M}}\p{{N}}_])[\p{{L}}\p{{M}}]{{1,{FUNCTION_LETTERS}}}(?![\p{{L}}\p{{M}}\p{{N}}_])"), F.lit(0))
+    # "" stands for the document itself.
+    words = rows.select("lang", F.explode(F.array_append(F.array_distinct(short), F.lit(""))).alias("word"))
+    counts = cut(words.groupBy("lang", "word").agg(F.count("*").alias("n")))
+    totals = counts.where("word = ''").select("lang", F.col("n").alias("docs"))
+    least = max(LEAST_DOCUMENTS, LEAST_LANGUAGE * (totals.agg(F.sum("docs")).first()[0] or 0))
+    learned = counts.where("word <> ''").join(totals.where(F.col("docs") >= least), "lang").where(F.col("n") >= FUNCTION_SHARE * F.col("docs"))
+    return [r.word for r in learned.select("word").distinct().toLocalIterator()]
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """Ids and texts in blocks of a bounded number of characters; a longer text is a block of its own."""
+    texts = batch.column(1).to_pylist()
+    start = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t or "") > BLOCK_CHARACTERS:
+            yield batch.column(0).slice(start, i - start), texts[start:i]
+            start, size = i, 0
+        size += len(t or "")
+    if start < len(texts):
+        yield batch.column(0).slice(start), texts[start:]
+
+
+def stuffing(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_terms, n_stuffed, recurring, correlation) of every document; a null text has no terms.
+
+    Repeated rows of an id give repeated rows. Columns other than doc_id, text and lang are ignored,
+    whatever their names; lang may be missing.
     """
     ship_package(documents.sparkSession)
+    known = documents.sparkSession.sparkContext.broadcast(function_words(documents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers(known.value)
         for batch in batches:
-            got = [stuffed(t, measure) for t in batch.column(1).to_pylist()]
-            columns = [np.array(c) for c in zip(*got)] or [[], [], []]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
-                names=["doc_id", "n_terms", "n_stuffed", "correlation"],
-            )
+            for ids, texts in _blocks(batch):
+                if len(numbers) > REMEMBERED:
+                    numbers = Numbers(known.value)
+                n, m, r, c = judge(texts, numbers)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(r, pa.float64()), pa.array(c, pa.float64())], names=["doc_id", "n_terms", "n_stuffed", "recurring", "correlation"])
 
     rows = documents.select(F.col("doc_id").cast("bigint"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, n_terms bigint, n_stuffed bigint, correlation double")
+    return rows.mapInArrow(run, "doc_id bigint, n_terms bigint, n_stuffed bigint, recurring double, correlation double")
 
 
 def stuffed_pages(documents: DataFrame) -> DataFrame:
     """(doc_id): documents with more than half of their terms in stuffing, each once."""
-    return stuffing(documents, measure=False).where(F.col("n_stuffed") > MOST_STUFFED * F.col("n_terms")).select("doc_id").where("doc_id is not null").distinct()
+    found = stuffing(documents).where(F.col("n_stuffed") > MOST_STUFFED * F.col("n_terms"))
+    return found.select("doc_id").where("doc_id is not null").distinct()
