@@ -9,12 +9,11 @@ makes a term count as stuffing is measured around it, and each signal is enough
 * positional autocorrelation: in its lag window many terms equal the term a fixed lag before them, which
   is the mark of a template;
 * links: a large share of the terms near it are words of links;
-* noun lists: it stands in a long run of terms without any function word, and the run is written as a
-  list, in items of a few terms or without any break at all, and is no list of quantities.
+* noun lists: hardly any function word stands near it, and what stands there is written as a list, in items of a few terms or without any break at all, and is no list of quantities.
 
-Only the last signal needs function words. They are those of the corpus itself: the short words that
-occur in a large share of all documents of a language. Keywords may be repeated very often, but in few
-documents. A language too rare to have learned words is still told apart by the form of its text. Code
+Only the last signal needs function words. They are those of the corpus itself: the short words that stand
+between two words in a large share of all documents of a language. Keywords may be repeated very often, but
+in few documents, and parts of names stand beside numbers and breaks. A language too rare to have learned words is still told apart by the form of its text. Code
 and table rows are no stuffing. The statistics are one aggregation that combines before it shuffles;
 after it every page is judged in one pass.
 """
@@ -49,16 +48,16 @@ LEAST_RECURRING, LEAST_PAIRS = 0.75, 0.5
 LEAST_CORRELATION, LEAST_EQUAL = 0.3, 6
 #: Share of words of links in a neighbourhood that makes it a list of links.
 LEAST_LINKS = 0.35
-#: Terms in a row without a function word that may be a list of nouns; most terms of one item of a list;
+#: Terms with one function word at most that may be a list of nouns; most terms of one item of a list;
 #: terms without any break that are no sentence; least share of such terms around, most share of numbers.
-NOUN_RUN, ITEM_TERMS, UNBROKEN, LEAST_LISTED, MOST_NUMBERS = 24, 3, 48, 0.7, 0.2
+NOUN_RUN, ITEM_TERMS, UNBROKEN, LEAST_LISTED, MOST_NUMBERS = 24, 3, 30, 0.7, 0.2
 #: Characters whose terms are judged at once, and terms that a task numbers before it starts afresh.
 BLOCK_CHARACTERS, REMEMBERED = 1_000_000, 500_000
 #: A page with a larger share of stuffing is found.
 MOST_STUFFED = 0.5
 
 #: Letters of a function word at most, and the share of a language's documents that have it at least.
-FUNCTION_LETTERS, FUNCTION_SHARE = 5, 0.1
+FUNCTION_LETTERS, FUNCTION_SHARE = 5, 0.2
 #: A language is learned from so many documents at least, and from this share of all documents.
 LEAST_DOCUMENTS, LEAST_LANGUAGE = 20, 0.001
 
@@ -190,18 +189,16 @@ def judge(texts: Sequence[str | None], numbers: Numbers) -> tuple[np.ndarray, np
     links = around(is_link)
 
     function = (code >= numbers.n_breaks) & (code < numbers.n_known)
-    stop = function | is_code
-    last = np.maximum(np.maximum.accumulate(np.where(stop, at, -1)), low_of - 1)
-    following = np.minimum(np.minimum.accumulate(np.where(stop, at, len(at))[::-1])[::-1], high_of)
     where = np.unique(segment.astype(np.int64) + (doc.astype(np.int64) << 32), return_inverse=True)[1]
     items = np.bincount(where)[where]
-    listed = around((items <= ITEM_TERMS) | ((items >= UNBROKEN) & ~np.isin(doc, [i for i, t in enumerate(texts) if t and _UNSPACED.search(t)])))
+    unspaced = np.array([bool(t and _UNSPACED.search(t)) for t in texts])
+    listed, unbroken = around(items <= ITEM_TERMS), around((items >= UNBROKEN) & ~unspaced[doc])
     spoken = np.bincount(where, weights=wordy)[where]
     sentences = around((spoken >= SENTENCE_WORDS[0]) & (spoken <= SENTENCE_WORDS[1]))
     apart = (around(function) < MOST_FUNCTION) & (sentences < 0.5)
     recurring = np.maximum(recurring, around(_near(key, FAR_GAP) & wordy) / words * enough * apart)
     numerals = around((code >= numbers.n_known) & (code % 2 == 1))
-    nouns = (following - last - 1 >= NOUN_RUN) & (listed >= LEAST_LISTED) & (numerals <= MOST_NUMBERS)
+    nouns = (around(function | is_code) <= 1 / NOUN_RUN) & (n[doc] >= NOUN_RUN) & ((listed + unbroken >= LEAST_LISTED) & (numerals <= MOST_NUMBERS) | (unbroken >= LEAST_LISTED))
 
     starts = np.concatenate([np.arange(e - k, e, LAG_WINDOW) for e, k in zip(end, n)])
     width = np.diff(np.r_[starts, len(code)])
@@ -233,7 +230,7 @@ def stuffed(text: str | None, function_words: Sequence[str] = ()) -> tuple[int,
 
 
 def function_words(documents: DataFrame) -> list[str]:
-    """The function words of the corpus: short words in a large share of the documents of some language.
+    """The function words of the corpus: short words between words in a large share of the documents of a language.
 
     Languages are the labels as they are; wrong ones blur the shares a little, and labels of too few
     documents are not learned from. As there are at most 1 / LEAST_LANGUAGE languages, with at most
@@ -241,7 +238,7 @@ def function_words(documents: DataFrame) -> list[str]:
     """
     lang = F.lower(F.regexp_extract(F.coalesce("lang", F.lit("")), r"^\s*([A-Za-z]*)", 1)) if "lang" in documents.columns else F.lit("")
     rows = documents.where("text is not null").select(lang.alias("lang"), F.lower("text").alias("text"))
-    short = F.regexp_extract_all("text", F.lit(rf"(?<![\p{{L}}\p{{M}}\p{{N}}_])[\p{{L}}\p{{M}}]{{1,{FUNCTION_LETTERS}}}(?![\p{{L}}\p{{M}}\p{{N}}_])"), F.lit(0))
+    short = F.regexp_extract_all("text", F.lit(rf"(?<=[\p{{L}}\p{{M}}][ \t])[\p{{L}}\p{{M}}]{{1,{FUNCTION_LETTERS}}}(?=[ \t]\p{{L}})"), F.lit(0))
     # "" stands for the document itself.
     words = rows.select("lang", F.explode(F.array_append(F.array_distinct(short), F.lit(""))).alias("word"))
     counts = cut(words.groupBy("lang", "word").agg(F.count("*").alias("n")))
