@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from lodeatlas.llm.names import NameDictionary, Similar, fold
+from lodeatlas.llm.names import NameDictionary, Similar, fold, squeeze
 
 # Modifiers of model names and the ways they are written.
 MODIFIERS = {
@@ -76,7 +76,7 @@ def read_model(model_id: str | None, display_name: str | None, family: str | Non
     if b.family == a.family and "." in b.version and "." not in v and b.version.replace(".", "") == v:
         v = b.version
     if family and family.strip():
-        return Offer(fold(family.strip()), fold((variant or "").strip()), plain_number((version or "").strip()), a.size or b.size, a.modifiers or b.modifiers)
+        return Offer(squeeze(family), squeeze(variant or ""), plain_number((version or "").strip()), a.size or b.size, a.modifiers or b.modifiers)
     return Offer(a.family, a.variant or (b.variant if b.family == a.family else ""), v or b.version, a.size or b.size, a.modifiers or b.modifiers, a.edits)
 
 

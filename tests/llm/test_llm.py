@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeatlas.llm import canonical, copies, entities, leaks, mixing, stuffing
-from lodeatlas.llm.names import NameDictionary, Similar, distance, fold
+from lodeatlas.llm.names import NameDictionary, Similar, distance, fillers_beside, fold, frequent_words
 from lodeatlas.llm.offers import Vendors, read_context, read_model, read_month, read_offer, read_price
 from lodeatlas.llm.words import WORD, words
 
@@ -84,10 +84,50 @@ def test_canonical_values_in_several_passes(spark, rows, monkeypatch):
     entries = spark.createDataFrame(ENTRIES, "ref_id long, family string, variant string, x string")
     makers = spark.createDataFrame([(p,) for p in PROVIDERS], "provider string")
     values = spark.createDataFrame([(1, "Gladraed Ultra"), (2, "fistin"), (3, "mechalt nano"), (4, "nobody")], "row_id long, value string")
-    monkeypatch.setattr(canonical, "ENTRIES_PER_PASS", 4)
+    monkeypatch.setattr(canonical, "NAMES_PER_PART", 4)
     assert rows(canonical.resolve_values(values, entries, makers).select("row_id", "ref_id")) == [(1, 3), (2, 4), (3, 7), (4, 0)]
 
 
+CITIES = [("new york city", ""), ("new york", "state"), ("san francisco", ""), ("st. john's", ""), ("gpt-4o", ""), ("gpt-4o", "mini"), ("phi 3", ""), ("phi 4", "")]
+
+
+@pytest.mark.parametrize(
+    "text,family,variant",
+    [
+        ("New-York City", "newyorkcity", ""), ("city of york, new", "newyorkcity", ""), ("Fransisco (San)", "sanfrancisco", ""), ("GPT 4o mini", "gpt4o", "mini"), ("gpt4o-mini api", "gpt4o", "mini"),
+        ("phi-4", "phi4", ""), ("phi-3!", "phi3", ""), ("John's, St", "stjohns", ""), ("York", "", ""), ("", "", ""),
+    ],
+)
+def test_token_sets(text, family, variant):
+    got = NameDictionary(CITIES).read(text)
+    assert (got.family, got.variants[0] if got.variants and got.family else "") == (family, variant)
+
+
+def test_parts_of_a_dictionary_answer_as_the_whole(spark, rows, monkeypatch):
+    rng = random.Random(5)
+    entries = [(i, f, v, "x") for i, (f, v) in enumerate([*FAMILIES, *CITIES, ("gladraet", ""), ("fistim", "coder")], 1)]
+    typed = []
+    for i in range(150):
+        _, f, v, _ = rng.choice(entries)
+        parts = [typo(rng, f) if rng.random() < 0.5 else f, *([typo(rng, v) if rng.random() < 0.3 else v] if v else []), *([rng.choice(PROVIDERS)] if rng.random() < 0.3 else [])]
+        rng.shuffle(parts)
+        typed.append((i, rng.choice(["", " "]).join(parts) + rng.choice(["", " v3", " series"])))
+    values = spark.createDataFrame(typed, "row_id long, value string")
+    entries = spark.createDataFrame(entries, "ref_id long, family string, variant string, x string")
+    makers = spark.createDataFrame([(p,) for p in PROVIDERS], "provider string")
+    whole = rows(canonical.resolve_values(values, entries, makers))
+    for n in (3, 7):
+        monkeypatch.setattr(canonical, "NAMES_PER_PART", n)
+        assert rows(canonical.resolve_values(values, entries, makers)) == whole
+    assert sum(r[1] > 0 for r in whole) > 90
+
+
+def test_fillers_are_learned(spark):
+    typed = [f"{w} line {i}" for i in range(30) for w in ("gladraed", "fistin")] + ["sofa"] * 50
+    often = frequent_words(spark.createDataFrame([(t,) for t in typed], "value string"), "value")
+    assert fillers_beside(often, NameDictionary(FAMILIES, PROVIDERS)) == {"line"}
+
+
 def typo(rng: random.Random, word: str) -> str:
     i = rng.randrange(1, len(word) - 1)
     return rng.choice([word[:i] + word[i + 1 :], word[:i] + word[i + 1] + word[i] + word[i + 2 :], word[:i] + rng.choice("aeiou") + word[i:]])
