@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from lodeatlas.llm.names import NameDictionary, Similar, fold, squeeze
@@ -81,21 +82,29 @@ def read_model(model_id: str | None, display_name: str | None, family: str | Non
 
 
 class Vendors:
-    """Providers by the name a vendor was typed with."""
+    """Providers by the name a vendor was typed with.
 
-    LEGAL = frozenset("gmbh ltd limited inc llc sa sas ag co corp plc bv the example com io net org".split())
+    ``around`` are words that stand in a share of all vendors' names; of them those that no provider has
+    say nothing. What follows the name in a host name (``name.tld``) says nothing either.
+    """
+
+    _HOST = re.compile(r"^\s*(?:https?://)?(?:www\.)?([^\s./]+)(?:\.[^\s./]+)+/?\s*$", re.I)
 
-    def __init__(self, providers: list[str]):
+    def __init__(self, providers: list[str], around: Iterable[str] = ()):
         self.by: dict[str, set[str]] = {}
+        own: set[str] = set()
         for p in providers:
             words = _WORD.findall(fold(p))
+            own |= set(words)
             for n in {"".join(words), words[0] if words else ""} - {""}:
                 self.by.setdefault(n, set()).add(p)
+        self.around = set(around) - own
         self.similar = Similar(set(self.by), skeletons=False)
 
     def find(self, typed: str | None) -> list[str]:
         """The providers meant, closest spelling first; empty for null, blank and unknown vendors."""
-        words = [w for w in _WORD.findall(fold(typed or "")) if w not in self.LEGAL and len(w) > 1]
+        host = self._HOST.match(typed or "")
+        words = [w for w in _WORD.findall(fold(host[1] if host else typed or "")) if w not in self.around and len(w) > 1]
         for word in ("".join(words), words[0] if words else ""):
             hit = self.similar.find(word) if len(word) >= 3 else None
             if hit:

@@ -9,16 +9,17 @@ from lodeatlas.llm import canonical, copies, entities, leaks, mixing, stuffing
 from lodeatlas.plans.session import table
 
 
-def _offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities.match_offers(*(table(spark, sf_dir, t) for t in ("listings", "models", "families", "providers")))
+_OFFERS = ("listings", "models", "families", "providers")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _offers(spark, sf_dir).select("row_id", "listing_id")
+    return entities.match_offers(*(table(spark, sf_dir, t) for t in _OFFERS)).select("row_id", "listing_id")
 
 
 def p2_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _offers(spark, sf_dir).withColumn("belief", F.round("belief", 6))
+    """Every candidate pair with its belief."""
+    pairs = entities.pair_beliefs(*(table(spark, sf_dir, t) for t in _OFFERS))
+    return pairs.select("row_id", "listing_id", F.round("belief", 6).alias("belief"), (F.col("residual") < entities.SETTLED).alias("settled"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

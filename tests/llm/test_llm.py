@@ -14,6 +14,7 @@ from lodeatlas.llm import canonical, copies, entities, leaks, mixing, stuffing
 from lodeatlas.llm.names import NameDictionary, Similar, distance, fillers_beside, fold, frequent_words
 from lodeatlas.llm.offers import Vendors, read_context, read_model, read_month, read_offer, read_price
 from lodeatlas.llm.words import WORD, words
+from lodeatlas.plans import skew
 
 FAMILIES = [("gladraed", ""), ("gladraed", "large"), ("gladraed", "ultra"), ("fistin", ""), ("fistin", "coder"), ("mechalt", ""), ("mechalt", "nano"), ("thijitaen", ""), ("thijitaen", "medium")]
 ENTRIES = [(i, f, v, "x") for i, (f, v) in enumerate(FAMILIES, 1)]
@@ -418,6 +419,38 @@ def test_beliefs_are_exact_on_trees(spark):
         assert got[k] == pytest.approx(v, abs=2e-3)
 
 
+def test_beliefs_on_circles_settle(spark):
+    """Two offers that fit two classes alike, a third that claims one: messages go round and still settle."""
+    pairs = [(1, 10, 3.0), (1, 11, 3.0), (2, 10, 3.0), (2, 11, 3.0), (3, 10, 6.0)]
+    df = spark.createDataFrame(pairs, "listing_id long, class_id long, weight double")
+    got = entities.propagate(df).collect()
+    assert all(r.residual < entities.SETTLED for r in got)
+    exact = exact_beliefs(pairs)
+    assert all(abs(r.belief - exact[(r.listing_id, r.class_id)]) < 0.1 for r in got)
+    assert any(r.residual >= entities.SETTLED for r in entities.propagate(df, rounds=1).collect())
+
+
+def test_propagation_decides(spark, rows):
+    """An offer that fits two rows alike goes to the one that no other offer claims; nothing but the messages tells."""
+    m = lambda i, ident: (i, ident, "zikria", ident, "fistin", "fistin", "", ident.split("-")[1], 1000, 1.0, "2024-06-01")
+    o = lambda i, title: (i, title, "Zikria", None, None, None, None)
+    t = tables(spark, [m(1, "fistin-1.12-7b"), m(2, "fistin-11.2-7b")], [o(101, "fistin 112 7b"), o(102, "Fistin 1.12 7B")])
+    alone = tables(spark, [m(1, "fistin-1.12-7b"), m(2, "fistin-11.2-7b")], [o(101, "fistin 112 7b")])
+    assert rows(entities.match_offers(*t).select("listing_id", "row_id")) == [(101, 2), (102, 1)]
+    b = {r.row_id: r.belief for r in entities.pair_beliefs(*alone).collect()}
+    assert b[1] == pytest.approx(b[2]) and b[1] < 0.5 and rows(entities.match_offers(*alone)) == []
+
+
+def test_a_hot_block_is_spread(spark, rows, monkeypatch):
+    rng = random.Random(3)
+    m = lambda i: (i, f"fistin-{i % 4}b", "zikria", None, "fistin", "fistin", "", "", 1000, 1.0, None)
+    o = lambda i: (100 + i, f"fistin {rng.randrange(5)}b", "Zikria", None, None, None, None)
+    t = tables(spark, [m(i) for i in range(1, 30)], [o(i) for i in range(60)])
+    plain = rows(entities.match_offers(*t).select("listing_id", "row_id"))
+    monkeypatch.setattr(skew.salted_join, "__defaults__", ("inner", 5, 4))
+    assert rows(entities.match_offers(*t).select("listing_id", "row_id")) == plain and len(plain) > 30
+
+
 def test_matching_held_out(spark):
     """Offers typed from known rows in other spellings: how many are matched, and how many of these rightly."""
     rng = random.Random(11)
