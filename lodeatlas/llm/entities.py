@@ -120,21 +120,21 @@ def candidate_pairs(offers: DataFrame, rows: DataFrame) -> DataFrame:
     """
     digits = F.replace("version", F.lit("."), F.lit(""))
     same = ["provider", "family", "digits", "variant", "modifiers"]
-    classes = (
-        rows.withColumn("digits", digits)
-        .groupBy(*same, "size")
-        .agg(
-            F.min("row_id").alias("class_id"), F.max("version").alias("class_version"), F.min("price").alias("low"), F.max("price").alias("high"),
-            F.min("context").alias("least"), F.max("context").alias("most"), F.min("month").alias("first"), F.max("month").alias("last"),
-        )
-    )
-    # Classes, not rows: as many as there are different sizes of one model of one provider.
-    sizes = classes.groupBy(*same).agg(F.count("*").alias("n_sizes"), F.array_sort(F.collect_list(F.struct("size", "class_id", "class_version", "low", "high", "least", "most", "first", "last"))).alias("each"))
-    classes = cut(sizes.select(*same, "n_sizes", F.inline("each")))
+    summed = {"class_id": ("min", "row_id"), "low": ("min", "price"), "high": ("max", "price"), "least": ("min", "context"), "most": ("max", "context"), "first": ("min", "month"), "last": ("max", "month")}
+    fine = rows.withColumn("digits", digits).groupBy(*same, "size", "version").agg(*[getattr(F, f)(c).alias(n) for n, (f, c) in summed.items()])
+    # As many as one model of one provider has sizes and ways to set the dot of its version.
+    each = fine.groupBy(*same).agg(F.array_sort(F.collect_list(F.struct("size", "version", *summed))).alias("each"))
+    # A version whose dot was lost belongs to the dotted one, if there is only one.
+    dotted = F.size(F.array_distinct(F.transform(F.filter("each", lambda x: (x["size"] == F.col("size")) & x["version"].contains(".")), lambda x: x["version"])))
+    one = each.select(*same, "each", F.size(F.array_distinct(F.transform("each", lambda x: x["size"]))).alias("n_sizes"), F.explode("each").alias("x")).select(*same, "each", "n_sizes", "x.*")
+    apart = one.withColumn("apart", F.when(dotted > 1, F.col("version")).otherwise("")).drop("each")
+    classes = apart.groupBy(*same, "size", "n_sizes", "apart").agg(F.max("version").alias("class_version"), *[getattr(F, f)(n).alias(n) for n, (f, _) in summed.items()])
+    asked = offers.select("provider", "family", digits.alias("digits")).distinct()
+    classes = cut(classes.join(asked, ["provider", "family", "digits"], "left_semi"))
     # The key of a pair of attributes that may agree; a size that was left out agrees with any.
     keys = lambda size: F.array(F.concat_ws("\x00", F.lit("vm"), "variant", "modifiers"), F.concat_ws("\x00", F.lit("vs"), "variant", size), F.concat_ws("\x00", F.lit("ms"), "modifiers", size))
     o = offers.select("listing_id", "provider", "family", digits.alias("digits"), *[F.col(c).alias(f"o_{c}") for c in ("variant", "version", "size", "modifiers", "edits", "context", "price", "month")], F.explode(keys(F.col("size"))).alias("key"))
-    c = classes.withColumn("key", F.explode(F.array_union(keys(F.col("size")), keys(F.lit("")))))
+    c = classes.withColumn("key", F.explode(F.array_distinct(F.concat(keys(F.col("size")), keys(F.lit(""))))))
     joined = salted_join(o, c, ["provider", "family", "digits", "key"], ["listing_id"])
     said = lambda a: F.when(F.col(f"o_{a}") == F.col(a), AGREE[a]).otherwise(DIFFER[a])
     left_out = (F.col("o_size") == "") & (F.col("size") != "")
