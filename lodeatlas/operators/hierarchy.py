@@ -4,8 +4,8 @@ A node with exactly one parent hangs below it in a forest; a node with none is a
 several (a merge) is the top of a tree of its own. Subtree sizes of the forest come from pointer
 doubling, which takes a number of rounds logarithmic in the depth. The child with the largest subtree
 continues the chain of its parent (heavy path), so a path to the top of a tree crosses a logarithmic
-number of chains: tops, depths, paths and positions are put together from chain segments. Only the
-much smaller graph of merges is then walked level by level to find the roots above each merge.
+number of chains: tops, depths, paths and positions are put together from chain segments. The much
+smaller graph of merges then gives the roots above each merge (``merge_graph.py``).
 
 Circles are separated first: one-parent circles are the image of the parent function iterated often
 enough, circles through merges are strongly connected components of the graph of merges, and the
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeatlas.operators.merge_graph import solve
 from lodeatlas.plans.prefix import prefix_sums
 from lodeatlas.plans.session import cut
 
@@ -156,67 +157,19 @@ def build_forest(nodes: DataFrame, edges: DataFrame, open_circles: bool = False)
     return Forest(ids, proper, loops, roots, chains, _climb(links), endless)
 
 
-def _merge_graph(f: Forest, places: DataFrame) -> DataFrame:
-    """(m, v, w, via): merge ``m`` has a parent ``via`` that is w - 1 steps below the tree top ``v``."""
-    merges = f.edges.groupBy(F.col("c").alias("m")).agg(F.count("*").alias("n")).where("n > 1").select("m")
-    up = f.edges.join(merges, F.col("c") == F.col("m"), "left_semi")
-    where = places.select(F.col("x").alias("p"), F.col("anchor").alias("v"), (F.col("depth") + 1).alias("w"))
-    return cut(up.join(where, "p").select(F.col("c").alias("m"), "v", "w", F.col("p").alias("via")))
-
-
-def _roots_of_merges(graph: DataFrame, roots: DataFrame) -> DataFrame:
-    """(m, root, d): the fewest steps from each merge to each root above it; semi-naive rounds."""
-    steps = graph.groupBy("m", "v").agg(F.min("w").alias("w"))
-    fresh = cut(steps.join(roots.select(F.col("x").alias("v")), "v", "left_semi").select("m", F.col("v").alias("root"), F.col("w").alias("d")))
-    inner = cut(steps.join(roots.select(F.col("x").alias("v")), "v", "left_anti"))
-    best = fresh
-    while not fresh.isEmpty():
-        reached = fresh.select(F.col("m").alias("v"), "root", "d").join(inner, "v").groupBy("m", "root").agg(F.min(F.col("d") + F.col("w")).alias("d"))
-        old = best.select("m", "root", F.col("d").alias("known"))
-        fresh = cut(reached.join(old, ["m", "root"], "left").where("known is null or d < known").select("m", "root", "d"))
-        best = cut(best.union(fresh).groupBy("m", "root").agg(F.min("d").alias("d")))
-    return best
-
-
-def _trim(graph: DataFrame) -> tuple[DataFrame, int]:
-    """Drop edges that can't be on a circle: nothing arrives at their child or leaves their parent."""
-    graph = cut(graph)
-    n = graph.count()
-    while n:
-        kept = cut(
-            graph.join(graph.select(F.col("m").alias("v")).distinct(), "v", "left_semi").join(graph.select(F.col("v").alias("m")).distinct(), "m", "left_semi")
-        )
-        before, n, graph = n, kept.count(), kept
-        if n == before:
-            break
-    return graph, n
+def _edges_above(f: Forest, places: DataFrame, tops: DataFrame, keys: bool = False) -> DataFrame:
+    """(m, v, w, via, via_key, is_root): the edges above ``tops`` (m), as ``merge_graph.solve`` wants them."""
+    up = f.edges.join(tops, F.col("c") == F.col("m"), "left_semi")
+    where = places.select(F.col("x").alias("p"), F.col("anchor").alias("v"), (F.col("depth") + 1).cast("bigint").alias("w"))
+    roots = f.roots.select(F.col("x").alias("v"), F.lit(True).alias("is_root"))
+    found = up.join(where, "p").join(roots, "v", "left").select(F.col("c").alias("m"), "v", "w", F.col("p").alias("via"), F.coalesce("is_root", F.lit(False)).alias("is_root"))
+    if not keys:
+        return cut(found.withColumn("via_key", F.lit("")))
+    return cut(found.join(f.ids.select(F.col("x").alias("via"), F.col("node_key").alias("via_key")), "via"))
 
 
-def _circle_edges(graph: DataFrame) -> DataFrame | None:
-    """The edges (m, v) inside a strongly connected component; colouring by the largest node above."""
-    found = None
-    rest, n = _trim(graph.select("m", "v").distinct())
-    while n:
-        color = cut(rest.select(F.col("m").alias("x")).union(rest.select("v")).distinct().withColumn("c", F.col("x")))
-        while True:
-            above = rest.join(color.select(F.col("x").alias("v"), F.col("c").alias("cv")), "v").groupBy(F.col("m").alias("x")).agg(F.max("cv").alias("cv"))
-            nxt = cut(color.join(above, "x", "left").select("x", F.greatest("c", F.coalesce("cv", "c")).alias("c"), (F.col("cv") > F.col("c")).alias("moved")))
-            color = nxt.select("x", "c")
-            if not nxt.where("moved").limit(1).count():
-                break
-        tinted = cut(
-            rest.join(color.select(F.col("x").alias("m"), F.col("c").alias("cm")), "m").join(color.select(F.col("x").alias("v"), F.col("c").alias("cv")), "v").where("cm = cv").select("m", "v", F.col("cm").alias("c"))
-        )
-        members = frontier = cut(color.where("x = c"))
-        while not frontier.isEmpty():
-            up = frontier.join(tinted.select(F.col("m").alias("x"), F.col("v").alias("y"), "c"), ["x", "c"]).select(F.col("y").alias("x"), "c").distinct()
-            frontier = cut(up.join(members, ["x", "c"], "left_anti"))
-            members = cut(members.union(frontier))
-        inside = tinted.join(members.select(F.col("x").alias("m"), "c"), ["m", "c"], "left_semi").join(members.select(F.col("x").alias("v"), "c"), ["v", "c"], "left_semi").select("m", "v")
-        found = inside if found is None else found.union(inside)
-        gone = members.select("x")
-        rest, n = _trim(rest.join(gone.withColumnRenamed("x", "m"), "m", "left_anti").join(gone.withColumnRenamed("x", "v"), "v", "left_anti"))
-    return None if found is None else cut(found)
+def _merges(f: Forest) -> DataFrame:
+    return f.edges.groupBy(F.col("c").alias("m")).agg(F.count("*").alias("n")).where("n > 1").select("m")
 
 
 def _endless_circles(endless: DataFrame) -> DataFrame:
@@ -232,11 +185,10 @@ def _endless_circles(endless: DataFrame) -> DataFrame:
     return state.select(F.col("ptr").alias("x")).distinct()
 
 
-def _on_circles(f: Forest, graph: DataFrame) -> DataFrame:
-    """(x): every node on a circle."""
+def _on_circles(f: Forest, graph: DataFrame, edges: DataFrame) -> DataFrame:
+    """(x): every node on a circle; ``edges`` are those of the graph that are on circles."""
     found = f.loops.union(_endless_circles(f.endless))
-    edges = _circle_edges(graph.where("m is not null"))
-    if edges is not None:
+    if not edges.isEmpty():
         via = graph.join(edges, ["m", "v"], "left_semi")
         place = f.chains.select(F.col("x").alias("y"), "top", "off", "parent")
         marks = front = cut(via.select(F.col("via").alias("y")).distinct().join(place, "y").groupBy("top").agg(F.max("off").alias("upto")))
@@ -264,12 +216,12 @@ def node_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     f = build_forest(nodes, edges)
     places = cut(_places(f))
-    graph = _merge_graph(f, places)
-    merged = _roots_of_merges(graph, f.roots)
+    graph = _edges_above(f, places, _merges(f))
+    merged, circle_edges = solve(graph)
     direct = places.join(f.roots.select(F.col("x").alias("anchor")), "anchor", "left_semi").select("x", F.col("anchor").alias("root"), "depth")
-    through = places.select("x", F.col("anchor").alias("m"), "depth").join(merged, "m").select("x", "root", (F.col("depth") + F.col("d")).alias("depth"))
+    through = places.select("x", F.col("anchor").alias("m"), "depth").join(merged.drop("vias"), "m").select("x", "root", (F.col("depth") + F.col("d")).alias("depth"))
     rooted = cut(direct.unionByName(through))
-    circle = _on_circles(f, graph)
+    circle = _on_circles(f, graph, circle_edges)
     lost = f.ids.select("x").join(rooted.select("x"), "x", "left_anti").join(circle, "x", "left_anti")
     root_names = f.ids.select(F.col("x").alias("root"), F.col("node_key").alias("root_key"))
     odd = circle.select("x", F.lit("").alias("root_key"), F.lit(-1).cast("bigint").alias("depth")).union(lost.select("x", F.lit(""), F.lit(-2).cast("bigint")))
@@ -338,12 +290,9 @@ def descendants(positions: DataFrame, keys: DataFrame) -> DataFrame:
     return asked.join(positions.alias("d"), inside).select("a.node_key", F.col("d.node_key").alias("descendant_key"))
 
 
-def _hanging(f: Forest, at: DataFrame) -> DataFrame:
-    """(m, v, w, via): as in ``_merge_graph``, for every tree top ``m`` that has parents."""
-    tops = f.chains.where("off = 0 and parent is null").select("x")
-    up = f.edges.join(tops, F.col("c") == F.col("x"), "left_semi")
-    where = at.select(F.col("x").alias("p"), F.col("anchor").alias("v"), (F.col("depth") + 1).alias("w"))
-    return cut(up.join(where, "p").select(F.col("c").alias("m"), "v", "w", F.col("p").alias("via")))
+def _tops(f: Forest) -> DataFrame:
+    """(m): the top of every tree; those of merges and opened circles have parents."""
+    return f.chains.where("off = 0 and parent is null").select(F.col("x").alias("m"))
 
 
 def _on_paths(at: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -370,26 +319,19 @@ def _trees_below(at: DataFrame, graph: DataFrame) -> DataFrame:
     return cut(near.union(far).distinct())
 
 
-def _rooted_paths(f: Forest, at: DataFrame, graph: DataFrame) -> DataFrame:
+def _rooted_paths(f: Forest, at: DataFrame, merged: DataFrame) -> DataFrame:
     """(x, root, depth, path): a path of the fewest steps from each root above a node, through merges.
 
-    Of several such paths into a merge the one over the parent with the smallest key is taken.
+    Of several such paths into a merge the one over the parent with the smallest key is taken. A path
+    is put together from the tree paths of the parents through which it enters merge after merge.
     """
     placed = cut(at.select("x", "anchor", "depth", "node_key").join(full_paths(at), "node_key"))
-    merged = cut(_roots_of_merges(graph, f.roots))
-    own = f.roots.select(F.col("x").alias("m"), F.col("x").alias("root"), F.lit(0).cast("bigint").alias("d"))
-    reach = merged.unionByName(own)
-    via = placed.select(F.col("x").alias("via"), F.col("node_key").alias("via_key"), F.col("path").alias("via_path"))
-    above = graph.join(reach.select(F.col("m").alias("v"), "root", F.col("d").alias("dv")), "v")
-    shortest = above.join(merged, ["m", "root"]).where("dv + w = d").join(via.select("via", "via_key"), "via")
-    best = shortest.groupBy("m", "root").agg(F.min_by(F.struct("v", "via"), "via_key").alias("b")).select("m", "root", "b.v", "b.via")
-    steps = cut(best.join(via, "via").select("m", "root", "v", "via_path"))
-    known = level = cut(f.roots.select(F.col("x").alias("m"), F.col("x").alias("root"), F.lit("").alias("lead")))
-    while not level.isEmpty():
-        level = cut(steps.join(level.withColumnRenamed("m", "v"), ["v", "root"]).select("m", "root", F.concat("lead", "via_path", F.lit(" > ")).alias("lead")))
-        known = cut(known.union(level))
-    leads = known.join(reach, ["m", "root"]).withColumnRenamed("m", "anchor")
-    return placed.join(leads, "anchor").select("x", "root", (F.col("depth") + F.col("d")).alias("depth"), F.concat("lead", "path").alias("path"))
+    pieces = merged.select("m", "root", "d", F.posexplode("vias").alias("i", "via")).join(placed.select(F.col("x").alias("via"), "path"), "via")
+    # As many pieces as the path has merges; the path itself is part of the result.
+    joined = pieces.groupBy("m", "root", "d").agg(F.array_sort(F.collect_list(F.struct("i", "path"))).alias("ps"))
+    leads = joined.select(F.col("m").alias("anchor"), "root", "d", F.concat(F.array_join(F.transform("ps", lambda p: p["path"]), " > "), F.lit(" > ")).alias("lead"))
+    own = f.roots.select(F.col("x").alias("anchor"), F.col("x").alias("root"), F.lit(0).cast("bigint").alias("d"), F.lit("").alias("lead"))
+    return placed.join(leads.unionByName(own), "anchor").select("x", "root", (F.col("depth") + F.col("d")).alias("depth"), F.concat("lead", "path").alias("path"))
 
 
 def node_positions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -403,9 +345,10 @@ def node_positions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     f = build_forest(nodes, edges, open_circles=True)
     at = cut(_positions(f))
-    graph = _hanging(f, at)
-    rooted = cut(_rooted_paths(f, at, graph))
-    circle = _on_circles(f, graph)
+    graph = _edges_above(f, at, _tops(f), keys=True)
+    merged, circle_edges = solve(graph, paths=True)
+    rooted = cut(_rooted_paths(f, at, merged))
+    circle = _on_circles(f, graph, circle_edges)
     lost = f.ids.select("x").join(rooted.select("x"), "x", "left_anti").join(circle, "x", "left_anti")
     odd = lambda df, n: df.select("x", F.lit("").alias("root_key"), F.lit(n).cast("bigint").alias("depth"), F.lit("").alias("path"))
     names = f.ids.select(F.col("x").alias("root"), F.col("node_key").alias("root_key"))
@@ -429,7 +372,7 @@ def all_descendants(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     f = build_forest(nodes, edges, open_circles=True)
     at = cut(_positions(f))
-    below = _trees_below(at, _hanging(f, at))
+    below = _trees_below(at, _edges_above(f, at, _tops(f)))
     around = cut(below.join(at.select("x", F.col("anchor").alias("m")), ["x", "m"], "left_semi").select("x"))
     place, prefix = _on_paths(at)
     above = place.join(around, "x", "left_anti").select(F.col("x").alias("a"), F.col("node_key").alias("above_key"), "chain", "at")

@@ -29,8 +29,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every node with its roots, the paths and depths from them, and its place among the descendants of others."""
-    return hierarchy.node_positions(*hierarchy.lineage_edges(table(spark, sf_dir, "lineage")))
+    """Every node with its roots, the depths and shortest paths from them, and the number of its descendants."""
+    at = hierarchy.node_positions(*hierarchy.lineage_edges(table(spark, sf_dir, "lineage")))
+    # The place inside its tree depends on how nodes are numbered.
+    return at.select("node_key", "root_key", "depth", "path", "n_below")
 
 
 def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +53,19 @@ _KEY = """trim({r}.family) || CASE WHEN coalesce(trim({r}.variant), '') <> '' TH
 _AT = """json_extract({o}, '$."' || {k} || '"')"""
 _TEXT = "CASE WHEN json_type({v}) IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(CAST({v} AS DOUBLE) AS VARCHAR) ELSE CAST({v} AS VARCHAR) END"
 
+#: Nodes, edges and every pair (x, a) with the numbers n of steps in which a lies above x.
+_WALK = f"""
+WITH RECURSIVE rows_ AS (
+  SELECT lower(coalesce({_KEY.format(r="child_ref")}, '')
+           || CASE WHEN len(child_ref.modifier) > 0 THEN '{{' || array_to_string(list_transform(child_ref.modifier, lambda m: trim(m)), ',') || '}}' ELSE '' END) AS c, parents FROM lineage),
+opened AS (SELECT c, unnest(parents) AS p FROM rows_),
+e AS (SELECT DISTINCT c, lower({_KEY.format(r="p")}) AS p FROM opened WHERE lower(trim(coalesce(p.kind, ''))) <> 'none'),
+nodes AS (SELECT c AS x FROM rows_ UNION SELECT p FROM e),
+roots AS (SELECT x FROM nodes WHERE x NOT IN (SELECT c FROM e)),
+w AS (SELECT x, x AS a, 0 AS n FROM nodes UNION SELECT w.x, e.p, n + 1 FROM w JOIN e ON w.a = e.c WHERE n < 150),
+rooted AS (SELECT x, a, min(n) AS n FROM w WHERE a IN (SELECT x FROM roots) GROUP BY x, a),
+circle AS (SELECT DISTINCT x FROM w WHERE x = a AND n > 0)"""
+
 ORACLES = {
     "p1_found": f"""
 WITH ok AS (SELECT feed, file_no, provider, CAST(payload AS JSON) AS p FROM wire_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
@@ -82,20 +97,22 @@ UNION ALL SELECT feed, file_no, 'renamed', old_field, new_field FROM renamed
 UNION ALL SELECT feed, file_no, 'removed', path, '' FROM c WHERE nk IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.feed = c.feed AND r.file_no = c.file_no AND r.old_field = c.path)
 UNION ALL SELECT feed, file_no, 'added', '', path FROM c WHERE ok IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.feed = c.feed AND r.file_no = c.file_no AND r.new_field = c.path)
 """,
-    "p3_found": f"""
-WITH RECURSIVE rows_ AS (
-  SELECT lower(coalesce({_KEY.format(r="child_ref")}, '')
-           || CASE WHEN len(child_ref.modifier) > 0 THEN '{{' || array_to_string(list_transform(child_ref.modifier, lambda m: trim(m)), ',') || '}}' ELSE '' END) AS c, parents FROM lineage),
-opened AS (SELECT c, unnest(parents) AS p FROM rows_),
-e AS (SELECT DISTINCT c, lower({_KEY.format(r="p")}) AS p FROM opened WHERE lower(trim(coalesce(p.kind, ''))) <> 'none'),
-nodes AS (SELECT c AS x FROM rows_ UNION SELECT p FROM e),
-roots AS (SELECT x FROM nodes WHERE x NOT IN (SELECT c FROM e)),
-w AS (SELECT x, x AS a, 0 AS n FROM nodes UNION SELECT w.x, e.p, n + 1 FROM w JOIN e ON w.a = e.c WHERE n < 150),
-rooted AS (SELECT x, a, min(n) AS n FROM w WHERE a IN (SELECT x FROM roots) GROUP BY x, a),
-circle AS (SELECT DISTINCT x FROM w WHERE x = a AND n > 0)
+    "p3_found": f"""{_WALK}
 SELECT x AS node_key, a AS root_key, CAST(n AS BIGINT) AS depth FROM rooted
 UNION ALL SELECT x, '', -1 FROM circle
 UNION ALL SELECT x, '', -2 FROM nodes WHERE x NOT IN (SELECT x FROM rooted) AND x NOT IN (SELECT x FROM circle)
+""",
+    "p3_positions": f"""{_WALK},
+steps AS (SELECT r.x, r.a, r.n, min(e.p) AS above FROM rooted r JOIN e ON e.c = r.x JOIN rooted q ON q.x = e.p AND q.a = r.a AND q.n = r.n - 1 GROUP BY ALL),
+paths AS (SELECT x, a, n, x AS path FROM rooted WHERE n = 0
+          UNION ALL SELECT s.x, s.a, s.n, p.path || ' > ' || s.x FROM paths p JOIN steps s ON s.above = p.x AND s.a = p.a),
+below AS (SELECT a AS x, count(DISTINCT x) AS n FROM w WHERE n > 0 GROUP BY a),
+found AS (SELECT x, a, CAST(n AS BIGINT) AS depth, path FROM paths UNION ALL SELECT x, '', -1, '' FROM circle
+          UNION ALL SELECT x, '', -2, '' FROM nodes WHERE x NOT IN (SELECT x FROM rooted) AND x NOT IN (SELECT x FROM circle))
+SELECT f.x AS node_key, a AS root_key, depth, path, coalesce(n, 0) AS n_below FROM found f LEFT JOIN below USING (x)
+""",
+    "p3_descendants": f"""{_WALK}
+SELECT DISTINCT a AS node_key, x AS descendant_key FROM w WHERE n > 0
 """,
     "p5_found": """
 WITH ranked AS (

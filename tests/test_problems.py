@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodeatlas.operators import merge_graph
 from lodeatlas.operators.assignment import best_assignment
 from lodeatlas.operators.hierarchy import all_descendants, descendants, full_paths, lineage_edges, node_positions, node_roots, tree_positions
 from lodeatlas.operators.schema_drift import name_similarity, schema_changes, unify
@@ -197,9 +198,11 @@ def brute_roots(edges, extra=()):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_roots_brute_force(spark, rows, seed):
+@pytest.mark.parametrize("seed", range(4))
+def test_roots_brute_force(spark, rows, seed, monkeypatch):
     rng = random.Random(seed)
+    if seed == 3:  # the graph of merges in rounds
+        monkeypatch.setattr(merge_graph, "EDGES_OF_ONE_TASK", 0)
     edges = {(f"n{i}", f"n{rng.randrange(max(1, i - 6), i) if i > 1 else 0}") for i in range(1, 45)}
     edges |= {(f"n{rng.randrange(20, 45)}", f"n{rng.randrange(0, 30)}") for _ in range(6)}
     edges |= {("x1", "x2"), ("x2", "x3"), ("x3", "x1"), ("y", "x1"), ("s", "s"), ("t", "s"), ("n9", "n9"), ("n5", "n40")}
@@ -217,7 +220,9 @@ def test_tree_positions(spark, rows):
     assert rows(descendants(at, spark.createDataFrame([("d",)], "node_key string"))) == [("d", "e"), ("d", "f"), ("d", "g")]
 
 
-def test_positions_and_descendants_brute_force(spark, rows):
+@pytest.mark.parametrize("held", [0, 1000])
+def test_positions_and_descendants_brute_force(spark, rows, held, monkeypatch):
+    monkeypatch.setattr(merge_graph, "EDGES_OF_ONE_TASK", held)
     rng = random.Random(11)
     edges = {(f"n{i}", f"n{rng.randrange(max(1, i - 6), i) if i > 1 else 0}") for i in range(1, 45)}
     edges |= {(f"n{rng.randrange(20, 45)}", f"n{rng.randrange(0, 30)}") for _ in range(6)}
@@ -254,6 +259,19 @@ def test_positions_and_descendants_brute_force(spark, rows):
     assert rows(node_positions(*empty)) == [] and rows(all_descendants(*empty)) == []
 
 
+def test_depth_of_merges_takes_no_more_jobs(spark, rows):
+    """A ladder, in which each node has the two nodes before it as parents, of 20 and of 400 levels."""
+    jobs = []
+    for n in (20, 400):
+        edges = [(f"n{i:04}", f"n{i - k:04}") for i in range(2, n) for k in (1, 2)] + [("n0001", "n0000")]
+        spark.sparkContext.setJobGroup(f"ladder{n}", "")
+        got = rows(node_roots(*graph_rows(spark, edges)))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"ladder{n}")))
+        assert got == [(f"n{i:04}", "n0000", (i + 1) // 2) for i in range(n)]
+    spark.sparkContext.setJobGroup("tests", "")
+    assert jobs[1] <= jobs[0] + 4
+
+
 def test_hierarchy_edges(spark, rows):
     assert rows(node_roots(*lineage_edges(spark.createDataFrame([], LINE)))) == []
     assert rows(tree_positions(*lineage_edges(spark.createDataFrame([], LINE)))) == []
