@@ -1,32 +1,36 @@
 """What changed between full snapshots.
 
-Every key gets an ordinal that stays the same in all snapshots. Ordinals are contiguous inside a
-partition, so a run of ordinals is one bitmap container. Per container the presence of the keys in a
-snapshot is a packed bitmap and each compared column a vector aligned by ordinal. Consecutive
-snapshots are compared by ``new AND NOT old`` (added), ``old AND NOT new`` (removed) and a vector
-comparison under ``old AND new`` (changed). Empty containers are never built, which is the compression
-of a run-length or roaring bitmap at container level.
-
-The comparison itself moves no data: it runs over the ordinal table in place. The two shuffles before
-it are aggregations that combine on the map side, keyed by the full record key, so neither a hot
-provider nor a key that was delivered very often fills one task.
+Every key has a persistent ordinal, kept in a table: a key that was seen once keeps its number, new keys
+get new ones. The rows of a snapshot are put together in containers of neighbouring ordinals; a container
+holds a compressed bitmap of the keys that are there and, for each compared column, a vector of values in
+the order of the ordinals. Two snapshots are compared container by container: ``new AND NOT old`` are the
+added, ``old AND NOT new`` the removed keys, and under ``old AND new`` the aligned vectors show the
+changed ones.
+
+``diff_snapshots`` does this for all snapshots of a table at once; ``SnapshotLog`` keeps ordinals and
+the containers of the last snapshot between deliveries, so that a new one is compared without reading any
+older delivery. Rows are aggregated per snapshot and full key with a combine before the shuffle, so
+neither a hot provider nor a key delivered very often fills one task; a container is bounded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeatlas.functions.instants import instant_micros
+from lodeatlas.operators.bitmaps import CONTAINER, compress, packed, places
 from lodeatlas.plans.session import cut, ship_package
 
-#: Ordinals of one bitmap container.
-CONTAINER = 8192
+#: Bits of an ordinal below the number of the delivery in which the key was new.
+DELIVERY_BITS = 48
 
 
 def latest_per_snapshot(
@@ -55,67 +59,82 @@ def snapshot_steps(rows: DataFrame, snapshot: str) -> DataFrame:
     return numbers.withColumn("step", F.row_number().over(Window.orderBy("snap")) - 1)
 
 
-def _compare(n_keys: int, n_values: int, schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, CONTAINER):
-                yield from _container(batch.slice(at, CONTAINER), n_keys, n_values, schema)
-
-    return run
-
-
-def _container(batch: pa.RecordBatch, n_keys: int, n_values: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    n = batch.num_rows
-    cells = batch.column(batch.schema.get_field_index("cells"))
-    ordinal = np.repeat(np.arange(n), np.diff(cells.offsets.to_numpy()))
-    flat = cells.flatten()
-    step = flat.field("step").to_numpy(zero_copy_only=False)
-    slot = np.lexsort((ordinal, step))
-    ordinal, step = ordinal[slot], step[slot]
-    vectors = []
-    for i in range(n_values):
-        col = flat.field(f"v{i}")
-        code = col.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        vectors.append(code[slot])
-    starts = np.flatnonzero(np.r_[True, step[1:] != step[:-1]]) if len(step) else np.array([], int)
-    ends = np.r_[starts[1:], len(step)]
-    present = {int(step[a]): (a, b) for a, b in zip(starts, ends)}
-
-    def bitmap(s: int) -> np.ndarray:
-        bits = np.zeros(n, bool)
-        if s in present:
-            a, b = present[s]
-            bits[ordinal[a:b]] = True
-        return np.packbits(bits)
-
-    def vector(s: int, i: int) -> np.ndarray:
-        out = np.full(n, -2)
-        a, b = present[s]
-        out[ordinal[a:b]] = vectors[i][a:b]
-        return out
-
-    where = {0: [], 1: [], 2: []}
-    for s in sorted({x for p in present for x in (p, p + 1)}):
-        old, new = bitmap(s - 1), bitmap(s)
-        ones = lambda packed: np.flatnonzero(np.unpackbits(packed, count=n))
-        if s > 0:
-            where[0].append((s, ones(new & ~old)))
-        where[1].append((s, ones(old & ~new)))
-        if s in present and s - 1 in present:
-            both = np.unpackbits(old & new, count=n).astype(bool)
-            differs = np.zeros(n, bool)
-            for i in range(n_values):
-                differs |= vector(s - 1, i) != vector(s, i)
-            where[2].append((s, np.flatnonzero(both & differs)))
-    for kind, found in where.items():
-        for s, at in found:
-            if len(at):
-                take = pa.array(at)
-                keys = [batch.column(batch.schema.get_field_index(f"k{i}")).take(take) for i in range(n_keys)]
-                label = ("added", "removed", "changed")[kind]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), s), pa.int32()), *keys, pa.array([label] * len(at))], schema=schema
-                )
+def _equal(a: str, b: str, names: Sequence[str]):
+    return reduce(lambda x, n: x & F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")), names, F.lit(True))
+
+
+def new_ordinals(keys: DataFrame, names: Sequence[str], known: DataFrame | None, delivery: int) -> DataFrame:
+    """(names..., ordinal) of the keys that are not in ``known``; neighbours within a task get neighbouring numbers."""
+    if known is not None:
+        keys = keys.alias("n").join(known.alias("k"), _equal("n", "k", names), "left_anti")
+    return keys.withColumn("ordinal", F.lit(delivery << DELIVERY_BITS) + F.monotonically_increasing_id())
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        slots = batch.column(2)
+        bounds = slots.offsets.to_numpy()
+        flat = slots.flatten().to_numpy()
+        base = bounds[0]
+        held = [compress(flat[a - base : b - base]) for a, b in zip(bounds, bounds[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.binary()), batch.column(3)], names=["container", "step", "present", "vectors"])
+
+
+def containers(numbered: DataFrame, n_values: int) -> DataFrame:
+    """(container, step, present, vectors) of rows (ordinal, step, v0...): a bitmap, and the values in its order."""
+    vector = F.struct(*[F.col(f"v{i}") for i in range(n_values)])
+    cell = F.struct((F.col("ordinal") % CONTAINER).cast("int").alias("slot"), vector.alias("v"))
+    grouped = numbered.groupBy(F.floor(F.col("ordinal") / CONTAINER).cast("bigint").alias("container"), "step").agg(F.array_sort(F.collect_list(cell), lambda x, y: x["slot"] - y["slot"]).alias("cells"))
+    aligned = grouped.select("container", "step", F.transform("cells", lambda c: c["slot"]).alias("slots"), F.transform("cells", lambda c: c["v"]).alias("vectors"))
+    schema = T.StructType([T.StructField("container", T.LongType()), T.StructField("step", T.IntegerType()), T.StructField("present", T.BinaryType()), aligned.schema["vectors"]])
+    return aligned.mapInArrow(_pack, schema)
+
+
+def _differs(old: pa.Array, new: pa.Array) -> np.ndarray:
+    """Where two aligned vectors differ; null equals null only, NaN equals NaN."""
+    codes = pa.concat_arrays([old, new]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    return codes[: len(old)] != codes[len(old) :]
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        container, step, old_set, old_values, new_set, new_values = (batch.column(i) for i in range(6))
+        out_step, out_ordinal, out_kind = [], [], []
+        for i in range(batch.num_rows):
+            old, new = packed(old_set[i].as_py()), packed(new_set[i].as_py())
+            both = old & new
+            changed = places(both)
+            if len(changed):
+                # The values of a key stand where its bit stands among the bits that are set.
+                in_old, in_new = (pa.array(np.flatnonzero(np.unpackbits(both)[places(x)])) for x in (old, new))
+                a, b = old_values[i].values.take(in_old), new_values[i].values.take(in_new)
+                differs = reduce(np.logical_or, (_differs(x, y) for x, y in zip(a.flatten(), b.flatten())), np.zeros(len(changed), bool))
+                changed = changed[differs]
+            for kind, found in (("added", places(new & ~old)), ("removed", places(old & ~new)), ("changed", changed)):
+                if len(found):
+                    out_step.append(np.full(len(found), step[i].as_py(), np.int32))
+                    out_ordinal.append(found + container[i].as_py() * CONTAINER)
+                    out_kind += [kind] * len(found)
+        if out_step:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_step)), pa.array(np.concatenate(out_ordinal)), pa.array(out_kind)], names=["step", "ordinal", "change_kind"])
+
+
+def compare(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(step, ordinal, change_kind) between containers ``old`` and ``new`` of the same (container, step)."""
+    o, n = old.alias("o"), new.alias("n")
+    pairs = o.join(n, (F.col("o.container") == F.col("n.container")) & (F.col("o.step") == F.col("n.step")), "full")
+    laid = pairs.select(F.coalesce("o.container", "n.container"), F.coalesce("o.step", "n.step"), "o.present", "o.vectors", "n.present", "n.vectors").toDF("container", "step", "op", "ov", "np", "nv")
+    return laid.mapInArrow(_compare, "step int, ordinal bigint, change_kind string")
+
+
+def _prepared(rows: DataFrame, values: Sequence[str]) -> DataFrame:
+    """0.0 and -0.0 are the same value."""
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    return rows.withColumns({v: F.col(v) + F.lit(0.0) for v in values if isinstance(kinds[v], (T.DoubleType, T.FloatType))})
+
+
+def _numbered(latest: DataFrame, ordinals: DataFrame, names: Sequence[str], n_values: int) -> DataFrame:
+    return latest.alias("l").join(ordinals.alias("o"), _equal("l", "o", names)).select("o.ordinal", "l.step", *[F.col(f"l.row.v{i}").alias(f"v{i}") for i in range(n_values)])
 
 
 def diff_snapshots(
@@ -133,27 +152,52 @@ def diff_snapshots(
     named ones are ignored, whatever their names. NaN equals NaN; 0.0 equals -0.0.
     """
     ship_package(rows.sparkSession)
-    kinds = {f.name: f.dataType for f in rows.schema.fields}
-    float_like = {v for v in values if isinstance(kinds[v], (T.DoubleType, T.FloatType))}
-    rows = rows.withColumns({v: F.col(v) + F.lit(0.0) for v in float_like})
+    rows = _prepared(rows, values)
     steps = cut(snapshot_steps(rows, snapshot))
-    latest = latest_per_snapshot(rows, snapshot, keys, values, recency).join(steps, "snap")
     names = [f"k{i}" for i in range(len(keys))]
-    cell = F.struct("step", *[F.col(f"row.v{i}").alias(f"v{i}") for i in range(len(values))])
-    ordinals = cut(
-        latest.groupBy(*names)
-        .agg(F.collect_list(cell).alias("cells"))
-        .withColumn("ordinal", F.monotonically_increasing_id())
-    )
-    out = T.StructType(
-        [T.StructField("step", T.IntegerType())]
-        + [T.StructField(n, kinds[k]) for n, k in zip(names, keys)]
-        + [T.StructField("change_kind", T.StringType())]
-    )
-    from pyspark.sql.pandas.types import to_arrow_schema
+    latest = cut(latest_per_snapshot(rows, snapshot, keys, values, recency).join(F.broadcast(steps), "snap"))
+    ordinals = cut(new_ordinals(latest.select(*names).distinct(), names, None, 0))
+    held = cut(containers(_numbered(latest, ordinals, names, len(values)), len(values)))
+    following = held.withColumn("step", F.col("step") + 1).join(F.broadcast(steps.select("step")), "step", "left_semi").select(*held.columns)
+    changes = compare(following, held.where("step > 0"))
+    named = changes.join(ordinals, "ordinal").join(F.broadcast(steps), "step")
+    return named.select(F.col("snap").alias(snapshot), *[F.col(n).alias(k) for n, k in zip(names, keys)], "change_kind")
 
-    changes = ordinals.mapInArrow(_compare(len(keys), len(values), to_arrow_schema(out)), out)
-    named = changes.join(steps, "step").select(
-        F.col("snap").alias(snapshot), *[F.col(n).alias(k) for n, k in zip(names, keys)], "change_kind"
-    )
-    return named
+
+class SnapshotLog:
+    """Ordinals and the last snapshot's containers, kept in a folder between deliveries.
+
+    Every delivery adds a folder of its own with the ordinals of its new keys and its containers, and a
+    mark when it is whole; a delivery that broke off is written again. There is one writer.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str] = ("provider", "model_id"), values: Sequence[str] = ("cost_input", "cost_output", "context_window", "display_name"), recency: str = "last_synced"):
+        self.spark, self.path, self.keys, self.values, self.recency = spark, path.rstrip("/"), list(keys), list(values), recency
+        self.names = [f"k{i}" for i in range(len(self.keys))]
+
+    def deliveries(self) -> list[int]:
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(root):
+            return []
+        whole = [s.getPath() for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath().toString() + "/held/_SUCCESS"))]
+        return sorted(int(p.getName()) for p in whole)
+
+    def deliver(self, rows: DataFrame) -> DataFrame:
+        """(keys..., change_kind) of a whole snapshot against the one delivered before it; nothing for the first."""
+        ship_package(self.spark)
+        done = self.deliveries()
+        n = done[-1] + 1 if done else 0
+        rows = _prepared(rows, self.values).withColumn("_one", F.lit(n))
+        latest = cut(latest_per_snapshot(rows, "_one", self.keys, self.values, self.recency).withColumn("step", F.lit(n)))
+        known = self.spark.read.parquet(*[f"{self.path}/{k}/ordinals" for k in done]) if done else None
+        here = f"{self.path}/{n}"
+        new_ordinals(latest.select(*self.names).distinct(), self.names, known, n).write.mode("overwrite").parquet(f"{here}/ordinals")
+        fresh = self.spark.read.parquet(f"{here}/ordinals")
+        ordinals = fresh if known is None else known.unionByName(fresh)
+        containers(_numbered(latest, ordinals, self.names, len(self.values)), len(self.values)).write.mode("overwrite").parquet(f"{here}/held")
+        held = self.spark.read.parquet(f"{here}/held")
+        old = self.spark.read.parquet(f"{self.path}/{done[-1]}/held").withColumn("step", F.lit(n)) if done else held
+        changes = compare(old.select(*held.columns), held)
+        return changes.join(ordinals, "ordinal").select(*[F.col(k).alias(o) for k, o in zip(self.names, self.keys)], "change_kind")

@@ -14,7 +14,8 @@ from lodeatlas.operators import merge_graph
 from lodeatlas.operators.assignment import best_assignment
 from lodeatlas.operators.hierarchy import all_descendants, descendants, full_paths, lineage_edges, node_positions, node_roots, tree_positions
 from lodeatlas.operators.schema_drift import name_similarity, schema_changes, unify
-from lodeatlas.operators.snapshot_diff import diff_snapshots
+from lodeatlas.operators.bitmaps import compress, packed, places
+from lodeatlas.operators.snapshot_diff import SnapshotLog, diff_snapshots
 from lodeatlas.plans.prefix import prefix_sums
 from lodeatlas.sources.json_lines import canonical, parse_record
 
@@ -83,6 +84,36 @@ def test_snapshot_brute_force(spark, rows):
     assert set(rows(diff_snapshots(spark.createDataFrame(data, SNAP)))) == expected
 
 
+def test_bitmaps_round_trip():
+    rng = np.random.default_rng(1)
+    sets = [np.array([], int), np.arange(8192), np.array([0, 8191]), np.arange(100, 7000), np.sort(rng.choice(8192, 3000, replace=False)), np.arange(0, 8192, 2)]
+    for s in sets:
+        assert (places(packed(compress(s))) == s).all()
+    assert [compress(s)[:1] for s in sets] == [b"a", b"r", b"a", b"r", b"b", b"b"] and max(len(compress(s)) for s in sets) == 1025
+    for a in sets:
+        for b in sets:
+            x, y = packed(compress(a)), packed(compress(b))
+            assert set(places(x & ~y)) == set(a) - set(b) and set(places(x & y)) == set(a) & set(b)
+    assert not packed(None).any()
+
+
+def test_deliveries_one_by_one(spark, rows, tmp_path):
+    rng = random.Random(9)
+    data = [snap(s, f"m{rng.randrange(60)}", rng.choice("ab"), rng.choice([None, 0.0, 1.0]), f"2025-01-0{rng.randrange(1, 9)}T00:00:00Z", rng.choice(["p", None])) for s in range(1, 5) for _ in range(80)]
+    log, got = SnapshotLog(spark, str(tmp_path / "log")), []
+    for s in range(1, 5):
+        got += [(s, *r) for r in rows(log.deliver(spark.createDataFrame([r for r in data if r[0] == s], SNAP)))]
+        if s == 2:  # a third delivery needs the last one's containers only
+            import shutil
+
+            shutil.rmtree(tmp_path / "log" / "0" / "held")
+            (tmp_path / "log" / "0" / "held").mkdir()
+            (tmp_path / "log" / "0" / "held" / "_SUCCESS").touch()
+    assert sorted(got, key=repr) == rows(diff_snapshots(spark.createDataFrame(data, SNAP)))
+    ordinals = spark.read.parquet(*[str(tmp_path / "log" / str(k) / "ordinals") for k in range(4)])
+    assert ordinals.count() == ordinals.select("ordinal").distinct().count() == len({r[1:3] for r in data})
+
+
 # --- schema drift ---------------------------------------------------------------------------------
 
 
