@@ -132,6 +132,27 @@ def canonical_provider(family: Column) -> Column:
     return lookup(V.CANONICAL_PROVIDERS, family, "")
 
 
+def is_known_provider(provider: Column) -> Column:
+    return provider.isin(V.PROVIDERS)
+
+
+def is_known_host(name: Column) -> Column:
+    return name.isin(V.HOSTS)
+
+
+def is_known_harness(name: Column) -> Column:
+    return name.isin(V.HARNESSES)
+
+
+def is_known_family(family: Column, curated: bool = True) -> Column:
+    """With ``curated`` exact letter case counts and the curated families are known; without, neither."""
+    return family.isin([*V.FAMILIES, *V.CURATED_FAMILIES]) if curated else F.lower(family).isin(sorted({f.lower() for f in V.FAMILIES}))
+
+
+def is_enforced_family(family: Column) -> Column:
+    return F.lower(family).isin(V.ENFORCED_FAMILIES)
+
+
 # --- dates and versions ----------------------------------------------------------------------------
 
 

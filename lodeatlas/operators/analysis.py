@@ -242,15 +242,37 @@ def diff_decompositions(before: DataFrame, after: DataFrame, allowed: DataFrame
     return wide.mapInPandas(run, "provider string, model_id string, change string")
 
 
+#: Characters that would end a cell or line, and how they are written.
+_ESCAPES = (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))
+_TABBED = {"sep": "\t", "header": True, "emptyValue": "", "quote": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def _escaped(text: Column) -> Column:
+    for plain, written in _ESCAPES:
+        text = F.replace(text, F.lit(plain), F.lit(written))
+    return text
+
+
+def _unescaped(text: Column) -> Column:
+    """An escaped backslash must not be read as the start of another escape, so it steps aside first."""
+    text = F.replace(text, F.lit("\\\\"), F.lit("\x00"))
+    for plain, written in _ESCAPES[1:]:
+        text = F.replace(text, F.lit(written), F.lit(plain))
+    return F.replace(text, F.lit("\x00"), F.lit("\\"))
+
+
 def dump_decompositions(normalized: DataFrame, path: str) -> None:
-    """Write provider, id, raw_family, family, variant, version, modifier as tab-separated text with a header."""
+    """Write provider, id, raw_family, family, variant, version, modifier as tab-separated text with a header.
+
+    Tabs, line ends and backslashes inside a value are escaped, so a file can be read in parts.
+    """
     mods = F.coalesce(F.array_join("modifier", ","), F.lit(""))
     rows = normalized.select("provider", F.col("model_id").alias("id"), "raw_family", *TUPLE, mods.alias("modifier"))
-    rows.write.option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+    rows.select(*[_escaped(F.coalesce(c, F.lit(""))).alias(c) for c in rows.columns]).write.options(**_TABBED).csv(path)
 
 
 def load_decompositions(spark, path: str) -> DataFrame:
-    rows = spark.read.option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "\x00").csv(path)
-    filled = rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in rows.columns])
+    rows = spark.read.options(**_TABBED, nullValue="\x01").csv(path)
+    filled = rows.select(*[_unescaped(F.coalesce(c, F.lit(""))).alias(c) for c in rows.columns])
     mods = F.when(F.col("modifier") != "", F.split("modifier", ","))
     return filled.withColumn("modifier", mods).withColumnRenamed("id", "model_id")

@@ -65,6 +65,26 @@ def entities(models: DataFrame) -> DataFrame:
     return whole.withColumns({"providers": distinct("provider"), "hosts": distinct("host")}).drop("_seen")
 
 
+def parents(models: DataFrame) -> DataFrame:
+    """(entity_key, parent_key, kind, first) of ``models`` with ``parents`` (see ``lineage.attach``): each derivation of an entity once.
+
+    ``first`` is the offer (provider, model_id, place) that names it first, by which parents are put in
+    order. Derivations are made distinct before they are shuffled, so a hot entity is one row per parent.
+    """
+    keyed = with_entity(models).select("entity_key", "provider", "model_id", F.posexplode("parents").alias("place", "p"))
+    key = C.entity_key(F.col("p.family"), F.col("p.variant"), F.col("p.version"), F.lit(None).cast("array<string>"))
+    each = keyed.select("entity_key", key.alias("parent_key"), F.coalesce("p.kind", F.lit("")).alias("kind"), F.struct("provider", "model_id", "place").alias("first"))
+    return each.groupBy("entity_key", "parent_key", "kind").agg(F.min("first").alias("first"))
+
+
+def with_lineage(entity_rows: DataFrame, models: DataFrame) -> DataFrame:
+    """``entity_rows`` with ``lineage``, the distinct (parent_key, kind) of each entity in the order of its offers."""
+    listed = parents(models).groupBy(F.col("entity_key").alias("_e")).agg(F.array_sort(F.collect_list(F.struct("first", "parent_key", "kind"))).alias("_l"))
+    short = F.transform("_l", lambda x: F.struct(x["parent_key"].alias("parent_key"), x["kind"].alias("kind")))
+    joined = entity_rows.join(listed, F.col("entity_key") == F.col("_e"), "left")
+    return joined.withColumn("lineage", F.coalesce(short, F.array().cast("array<struct<parent_key:string,kind:string>>"))).drop("_e", "_l")
+
+
 def instances(models: DataFrame) -> DataFrame:
     """(entity_key, provider, model_id, host, prices and limits): one row per offer."""
     keyed = with_entity(models)

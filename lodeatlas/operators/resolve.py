@@ -8,6 +8,7 @@ the same keys, and the rows of the best kind of match are grouped into models.
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -109,6 +110,11 @@ def canonical_filter(text: str) -> Column:
     return cond | _path_filter(path, date, mods)
 
 
+def rehosts(rows: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """(within..., provider): who offers the rows besides their publisher, each once."""
+    return rows.where(F.col("provider") != C.canonical_provider(F.col("family"))).select(*within, "provider").distinct()
+
+
 def _family_variant(models: DataFrame, text: str) -> DataFrame | None:
     """Rows of family-variant: the first hyphen at which a known family and a variant of it meet."""
     for m in re.finditer("-", text):
@@ -160,8 +166,7 @@ def resolve(models: DataFrame, text: str, input_format: InputFormat | None = Non
         return chosen.orderBy("provider", "model_id")
     first = grouped.groupBy("_group").agg(F.min(F.struct("provider", "model_id")).alias("_seq"))
     one = one_per_group(grouped, ["_group"]).join(first, "_group").orderBy("_seq").drop("_group", "_seq")
-    rehosts = rows.where(F.col("provider") != publisher).groupBy("provider").agg(F.min("model_id")).orderBy("provider").select("provider")
-    raise Ambiguous(text, used.value, [r.asDict(recursive=True) for r in one.toLocalIterator()], [r[0] for r in rehosts.toLocalIterator()], missed)
+    raise Ambiguous(text, used.value, [r.asDict(recursive=True) for r in one.toLocalIterator()], [r.provider for r in rehosts(rows).orderBy("provider").toLocalIterator()], missed)
 
 
 def resolve_batch(models: DataFrame, inputs: DataFrame) -> DataFrame:

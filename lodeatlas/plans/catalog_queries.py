@@ -7,29 +7,10 @@ from pyspark.sql import functions as F
 
 from lodeatlas.functions import columns as C
 from lodeatlas.functions import vocabulary as V
-from lodeatlas.operators import analysis, entities, lineage, lookup, merge, migrate, naming, normalize, resolve
+from lodeatlas.operators import analysis, entities, lineage, lookup, merge, normalize, resolve
+from lodeatlas.plans.registry import query
+from lodeatlas.plans.registry import sql_list as _sql_list
 from lodeatlas.plans.session import cut, table
-from lodeatlas.sources.catalog_json import flatten
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its name, with its SQL if there is one."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
-def _sql_list(values) -> str:
-    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
-
 
 _MODS = _sql_list(V.MODIFIERS)
 _ORDER = _sql_list(V.MODIFIER_ORDER)
@@ -68,11 +49,6 @@ def models_with_modifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- projections, filters, lookups -----------------------------------------------------------------
 
 
-@query("SELECT model_id, min(provider) AS provider FROM models GROUP BY model_id")
-def lookup_first_provider(spark, d):
-    return table(spark, d, "models").groupBy("model_id").agg(F.min("provider").alias("provider"))
-
-
 @query("SELECT row_id, model_id, provider FROM models WHERE provider = 'sofeiv-ai'")
 def models_by_provider(spark, d):
     return lookup.by_provider(table(spark, d, "models"), "sofeiv-ai").select("row_id", "model_id", "provider")
@@ -93,13 +69,6 @@ def scan_without_providers(spark, d):
     return lookup.scan(table(spark, d, "models"), without=["sofeiv-ai", "tropliax"]).select("row_id", "provider")
 
 
-@query("SELECT m.row_id, m.provider, p.display_name IS NOT NULL AS known FROM models m LEFT JOIN providers p ON m.provider = p.provider")
-def provider_known(spark, d):
-    names = table(spark, d, "providers").select(F.col("provider").alias("p"), F.lit(True).alias("hit"))
-    rows = table(spark, d, "models").join(names, F.col("provider") == F.col("p"), "left")
-    return rows.select("row_id", "provider", F.coalesce("hit", F.lit(False)).alias("known"))
-
-
 @query(_M + f"SELECT row_id, {_CANONICAL} AS canonical, array_to_string(mods, ',') AS modifiers FROM keyed")
 def canonical_format(spark, d):
     named = lookup.with_names(models_with_modifiers(spark, d))
@@ -182,14 +151,6 @@ def known_modalities(spark, d):
     return table(spark, d, "models").select("row_id", m("modalities_input").alias("inputs"), m("modalities_output").alias("outputs"))
 
 
-@query()
-def wire_models(spark, d):
-    """The wire records as one-model documents, flattened to catalog rows."""
-    rows = table(spark, d, "wire_records").where("provider is not null")
-    doc = F.concat(F.lit("{"), F.to_json(F.array("provider")).substr(F.lit(2), F.length(F.to_json(F.array("provider"))) - 2), F.lit(':{"name":"","models":{"m":'), F.col("payload"), F.lit("}}}"))
-    return flatten(rows.select(doc.alias("value"))).select("model_id", "provider", "raw_family", "context_window", "max_output", "reasoning", "interleaved", "cost_input")
-
-
 @query()
 def decompose_models(spark, d):
     """Family, variant, version, modifiers, date and host of every stored row."""
@@ -425,18 +386,6 @@ def divergence_category(spark, d):
     return v.select("model_id", analysis.divergence_category(F.col("families")).alias("category"))
 
 
-@query(
-    _DIVERGENT
-    + """, s AS (SELECT model_id, families, list_transform(families, lambda f: lower(f)) AS low, list_transform(families, lambda f: rtrim(lower(f), '0123456789.-')) AS cut FROM v),
-d AS (SELECT model_id, families FROM s WHERE len(families) > 1 AND len(list_distinct(low)) > 1 AND NOT (len(list_distinct(cut)) = 1 AND cut[1] <> '')
-      AND len(list_filter(low, lambda a: len(list_filter(low, lambda b: starts_with(a, b || '-'))) > 0)) = 0),
-e AS (SELECT model_id, unnest(families) AS f FROM d)
-SELECT a.f AS family_a, b.f AS family_b, count(*) AS n_ids FROM e a JOIN e b ON a.model_id = b.model_id AND a.f < b.f GROUP BY ALL"""
-)
-def mislabel_pairs(spark, d):
-    return analysis.mislabel_pairs(analysis.divergence(table(spark, d, "models")))
-
-
 @query(
     """
 WITH o AS (SELECT provider, model_id, max(context_window) AS c FROM models GROUP BY 1, 2), n AS (SELECT provider, model_id, max(context_window) AS c FROM model_snapshots GROUP BY 1, 2)
@@ -462,23 +411,12 @@ def unreached_entries(spark, d):
     return analysis.unreached(table(spark, d, "families").select("family", "variant"), table(spark, d, "models"))
 
 
-@query("SELECT count(*) AS n_rows, count(*) FILTER (version <> '') AS n_versioned, CAST(0 AS BIGINT) AS n_reported FROM models")
-def quality_counters(spark, d):
-    """The stored rows, which keep no reason: nothing is reported here, see ``normalized_quality_counters``."""
-    return analysis.quality_counters(table(spark, d, "models").withColumn("reason", F.lit("")), V.RESIDUAL)
-
-
 @query()
 def normalized_quality_counters(spark, d):
     """The counters over newly decomposed rows, with the residual failures."""
     return analysis.quality_counters(normalize.normalize(table(spark, d, "models")), V.RESIDUAL)
 
 
-@query()
-def reason_counts(spark, d):
-    return analysis.reason_counts(normalize.failures(normalize.normalize(table(spark, d, "models"))))
-
-
 @query()
 def diff_decompositions(spark, d):
     """What a new decomposition changes against the stored parts of the normalised rows."""
@@ -487,15 +425,3 @@ def diff_decompositions(spark, d):
     before = cut(merge.latest(stored.select(*key), ["provider", "model_id"], ["raw_family"]))
     after = normalize.normalize(before)
     return analysis.diff_decompositions(before.withColumn("modifier", F.lit(None).cast("array<string>")), after)
-
-
-@query()
-def constant_names(spark, d):
-    return naming.constants(normalize.normalize(table(spark, d, "models")))
-
-
-@query()
-def migrate_stored(spark, d):
-    """The rows as a version 1 table had them, brought to the current version."""
-    old = table(spark, d, "models").select("model_id", "provider", "display_name", F.col("raw_family").alias("family"), "release_date", "context_window")
-    return migrate.migrate(old, 1)

@@ -12,8 +12,8 @@ from lodeatlas.functions import vocabulary as V
 from lodeatlas.operators.errors import CacheMiss
 
 _MODEL = (
-    "struct<id:string,name:string,family:string,release_date:string,knowledge:string,reasoning:string,tool_call:string,attachment:string,"
-    "temperature:string,structured_output:string,open_weights:string,interleaved:string,"
+    "struct<id:string,name:string,family:string,release_date:string,knowledge:string,reasoning:variant,tool_call:variant,attachment:variant,"
+    "temperature:variant,structured_output:variant,open_weights:variant,interleaved:variant,"
     "cost:struct<input:double,output:double,reasoning:double,cache_read:double,cache_write:double>,"
     "limit:struct<context:bigint,output:bigint>,modalities:struct<input:array<string>,output:array<string>>>"
 )
@@ -30,13 +30,15 @@ def flatten(documents: DataFrame, column: str = "value", interleaved_config: boo
     m = lambda x: F.col(f"m.{x}")
     providers = documents.select(F.explode(F.from_json(F.col(column), _DOCUMENT)).alias("provider", "p"))
     rows = providers.select("provider", F.col("p.name").alias("provider_name"), F.explode("p.models").alias("key", "m"))
-    interleaved = C.capability(m("interleaved"))
+    # As JSON text: the string "true" is no boolean.
+    flag = lambda x: F.to_json(m(x))
+    interleaved = C.capability(flag("interleaved"))
     text = lambda x: F.coalesce(m(x), F.lit(""))
     known = lambda x: F.coalesce(F.filter(m(f"modalities.{x}"), lambda v: v.isin(V.MODALITIES)), F.array().cast("array<string>"))
     return rows.select(
         text("id").alias("model_id"), "provider", "provider_name", text("name").alias("display_name"), text("family").alias("raw_family"),
         F.coalesce(m("limit.context"), F.lit(0)).alias("context_window"), F.coalesce(m("limit.output"), F.lit(0)).alias("max_output"),
-        *[C.flexible_bool(m(f)).alias(f) for f in _FLAGS],
+        *[C.flexible_bool(flag(f)).alias(f) for f in _FLAGS],
         interleaved["supported"].alias("interleaved"), C.capability_config_text(interleaved["config"]).alias("interleaved_config"),
         *[m(f"cost.{c}").alias(f"cost_{c}") for c in ("input", "output", "reasoning", "cache_read", "cache_write")],
         text("release_date").alias("release_date"), text("knowledge").alias("knowledge"), known("input").alias("modalities_input"), known("output").alias("modalities_output"),
