@@ -1,8 +1,9 @@
 """Resolving what a user typed to rows of the catalog, for one input or for a table of them.
 
 A batch is resolved with joins on hashed keys: every input is opened into the few keys under which a
-row could match it (identifier, family, family with variant and version), the catalog is opened into
-the same keys, and the rows of the best kind of match are grouped into models.
+row could match it (identifier, provider with identifier, family, parts of a canonical path, family with
+variant), the catalog is opened into those of the same kinds, and the rows of the first stage that matches
+are grouped into models.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from lodeatlas.functions.decompose import family_known, order_modifiers
 from lodeatlas.functions.enums import InputFormat, Scheme
 from lodeatlas.operators.entities import one_per_group
 from lodeatlas.operators.errors import Ambiguous, NotFound
+from lodeatlas.plans.session import cut
 
 _PURL = "pkg:huggingface/"
 
@@ -169,40 +171,102 @@ def resolve(models: DataFrame, text: str, input_format: InputFormat | None = Non
     raise Ambiguous(text, used.value, [r.asDict(recursive=True) for r in one.toLocalIterator()], [r.provider for r in rehosts(rows).orderBy("provider").toLocalIterator()], missed)
 
 
-def resolve_batch(models: DataFrame, inputs: DataFrame) -> DataFrame:
-    """(input, status, n_rows, n_models, provider, model_id) for a table of raw inputs (input).
+_SEP = "\x00"
+
+
+def _opened_inputs(inputs: DataFrame) -> DataFrame:
+    """(input, text, by_id, missed, stage, kind, key): the keys of each input in the stages in which they are tried.
 
-    Each input is an identifier, a family, or family-variant, tried in this order. ``status`` is ``ok``
-    (one model; the row is the publisher's, else the first), ``ambiguous`` or ``not_found``. Null inputs
-    are left out, repeated ones answered once. Matching rows are counted per model before they are
-    shuffled on the input, so an input that means a third of the catalog is aggregated on the way.
+    Kinds: ``id``, ``offer`` (provider and identifier), ``family``, ``member`` (family and variant), and
+    ``path`` with the flags of the parts that a canonical path states.
     """
-    asked_ = inputs.where("input is not null").select("input").distinct()
+    x = F.col("input")
+    rest = F.when(x.startswith(_PURL), F.substr(x, F.lit(len(_PURL) + 1)))
+    after = lambda t: F.when(F.instr(t, "/") > 0, F.substr(t, F.instr(t, "/") + 1)).otherwise(t)
+    slashes = F.length(x) - F.length(F.replace(x, F.lit("/"), F.lit("")))
+    versioned = F.contains(x, F.lit("@")) | F.exists(F.split(x, "/"), lambda t: t.rlike(r"^\d+\.\d+$"))
+    scheme = F.when(rest.isNotNull(), "purl").when((slashes.between(1, 3) & versioned) | ((slashes == 0) & F.contains(x, F.lit("@"))), "canonical")
+    scheme = scheme.when((slashes == 1) & ~x.startswith("pkg:"), "huggingface").otherwise("raw")
+    rows = inputs.where("input is not null").select("input").distinct().withColumns({"scheme": scheme, "text": F.when(rest.isNotNull(), after(rest)).when((slashes == 1) & (scheme == "huggingface"), after(x)).otherwise(x), "hint": F.when(F.instr(rest, "/") > 0, F.substring_index(rest, "/", 1))})
+
+    # A canonical path: [attribute] and {identity} behind, then the date, then up to four parts.
+    t = F.col("text")
+    last = lambda text, pattern: (F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1)).otherwise(text), F.regexp_extract(text, pattern, 2))
+    no_attribute, attribute = last(t, r"(?s)^(.*)\[([^\[]*)\]$")
+    bare, identity = last(no_attribute, r"(?s)^(.*)\{([^{]*)\}$")
+    dated, date = last(bare, r"(?s)^(.*)@([^@]*)$")
+    mods = F.when((identity != "") | (attribute != ""), C.modifier_key(F.split(F.concat_ws(",", identity, attribute), ",")))
+    rows = rows.withColumns({"path": F.split(dated, "/"), "date": date, "mods": mods})
+    n = F.size("path")
+    at = lambda i: F.coalesce(F.get("path", F.lit(i)), F.lit(""))
+
+    def path_key(first: int) -> Column:
+        parts = [(at(first + 1), at(first + 1) != ""), (at(first + 2), at(first + 2) != ""), (F.col("date"), F.col("date") != ""), (F.col("mods"), F.col("mods").isNotNull())]
+        flags = F.concat(F.lit("path"), *[F.when(given, "1").otherwise("0") for _, given in parts])
+        return _key(1, flags, F.concat_ws(_SEP, at(first), *[F.when(given, value) for value, given in parts]))
+
+    def _key(stage, kind, key, missed=False) -> Column:
+        return F.struct(F.lit(stage).cast("int").alias("stage"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), key.alias("key"), F.lit(missed).alias("missed"))
+
+    canonical = F.array(_key(1, "id", t), _key(1, "family", t))
+    whole = F.when(at(0) == "", F.array().cast("array<struct<stage:int,kind:string,key:string,missed:boolean>>")).when(n == 4, F.array(path_key(1))).when((n == 3) & (at(0) != at(1)), F.array(path_key(0), path_key(1))).otherwise(F.array(path_key(0)))
+    cuts = F.filter(F.sequence(F.lit(1), F.length(t)), lambda i: (F.substr(t, i, F.lit(1)) == "-") & C.is_known_family(F.substr(t, F.lit(1), i - 1), False) & (i < F.length(t)))
+    members = F.transform(cuts, lambda i: F.struct((i + 2).cast("int").alias("stage"), F.lit("member").alias("kind"), F.concat(F.substr(t, F.lit(1), i - 1), F.lit(_SEP), F.substr(t, i + 1)).alias("key"), F.lit(False).alias("missed")))
+    plain = F.when(t.rlike("[/@:]") | (t == ""), F.array(_key(1, "id", t))).otherwise(F.concat(F.array(_key(1, "id", t), _key(2, "family", t)), members))
+    named = F.array(_key(1, "offer", F.concat("hint", F.lit(_SEP), t)), _key(2, "id", t, True))
+    keys = F.when(F.col("scheme") == "canonical", F.concat(canonical, whole)).when(F.col("hint").isNotNull() & (F.col("hint") != ""), named).when(F.col("scheme") == "raw", plain).otherwise(F.array(_key(1, "id", t)))
+    return rows.select("input", "text", (F.col("scheme") == "canonical").alias("canonical"), F.inline(keys))
+
+
+def _opened_models(models: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """(kind, key, model_id, tuple, n_rows, first, own): rows counted per key and model, the first offer and the publisher's."""
+    mods = C.modifier_key(F.col("modifier"))
+    given = [("variant", F.col("variant")), ("version", F.col("version")), ("date", F.col("date")), ("mods", mods)]
+    keys = {
+        "id": F.col("model_id"), "offer": F.concat("provider", F.lit(_SEP), "model_id"), "family": F.col("family"), "member": F.when(F.col("variant") != "", F.concat("family", F.lit(_SEP), "variant")),
+        **{k: F.concat_ws(_SEP, "family", *[c for (_, c), flag in zip(given, k[4:]) if flag == "1"]) for k in kinds if k.startswith("path")},
+    }
     publisher = C.canonical_provider(F.col("family"))
-    keyed = models.withColumns({"_by_id": F.concat(F.lit("id:"), F.col("model_id")), "_tuple": _group_key(F.lit(False))})
-    rank = F.struct((F.col("provider") != publisher).cast("int").alias("other"), "provider", "model_id")
-    opened = keyed.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit(1).alias("kind"), F.col("model_id").alias("key"), F.col("_by_id").alias("model")),
-                F.struct(F.lit(2).alias("kind"), F.col("family").alias("key"), F.col("_tuple").alias("model")),
-                F.struct(F.lit(3).alias("kind"), F.when(F.col("variant") != "", F.concat("family", F.lit("-"), "variant")).alias("key"), F.col("_tuple").alias("model")),
-            )
-        ).alias("k"),
-        rank.alias("rank"),
-    ).where("k.key is not null and k.key <> ''")
-    classes = opened.groupBy("k.kind", "k.key", "k.model").agg(F.count("*").alias("n_rows"), F.min("rank").alias("best"))
-    per_key = classes.groupBy("kind", "key").agg(F.sum("n_rows").alias("n_rows"), F.count("*").alias("n_models"), F.min("best").alias("best"))
-    hits = asked_.join(per_key, F.col("input") == F.col("key")).groupBy("input").agg(F.min_by(F.struct("n_rows", "n_models", "best"), "kind").alias("hit"))
-    joined = asked_.join(hits, "input", "left")
-    one = F.col("hit.n_models") == 1
+    offer = F.struct("provider", "model_id")
+    wanted = F.array(*[F.struct(F.lit(k).alias("kind"), keys[k].alias("key")) for k in sorted(kinds)])
+    opened = models.select("model_id", _group_key(F.lit(False)).alias("tuple"), offer.alias("first"), F.when((publisher != "") & (F.col("provider") == publisher), offer).alias("own"), F.inline(wanted))
+    return opened.where("key is not null and key <> ''").groupBy("kind", "key", "model_id", "tuple").agg(F.count("*").alias("n_rows"), F.min("first").alias("first"), F.min("own").alias("own"))
+
+
+def resolve_batch(models: DataFrame, inputs: DataFrame) -> DataFrame:
+    """(input, status, n_rows, n_models, provider, model_id) for a table of inputs (input), read as ``resolve`` reads them by their looks.
+
+    ``status`` is ``ok`` (one model; of canonical references the row of the publisher, else the first),
+    ``ambiguous`` or ``not_found``. A purl whose owner offers no such model is ambiguous, as the model
+    is offered by others. Null inputs are left out, repeated ones answered once. Matching rows are
+    counted per key and model before they meet the inputs, so an input that means a third of the
+    catalog is aggregated on the way. ``models`` needs a ``modifier`` column.
+    """
+    keys = cut(_opened_inputs(inputs))
+    kinds = [r.kind for r in keys.select("kind").distinct().collect()]  # at most 4 and the 16 sets of parts of a path
+    if not kinds:
+        return inputs.select("input", F.lit("").alias("status"), *[F.lit(0).cast("bigint").alias(c) for c in ("n_rows", "n_models")], *[F.lit("").alias(c) for c in ("provider", "model_id")]).limit(0)
+    hits = keys.join(_opened_models(models, kinds), ["kind", "key"])
+    first = hits.groupBy("input").agg(F.min("stage").alias("stage"))
+    matched = hits.join(first, ["input", "stage"])
+    # A model that matches under several keys of a stage is one.
+    once = matched.groupBy("input", "stage", "text", "canonical", "missed", F.col("model_id").alias("m"), "tuple").agg(F.max("n_rows").alias("n_rows"), F.min("first").alias("first"), F.min("own").alias("own"))
+    known = once.groupBy("input").agg(
+        F.sum("n_rows").alias("n_rows"), F.count_distinct("m").alias("n_ids"), F.count_distinct("tuple").alias("n_tuples"), F.min("first").alias("first"), F.min("own").alias("own"),
+        F.bool_and(F.col("m") == F.col("text")).alias("same_id"), F.bool_or("missed").alias("missed"), F.bool_or(F.col("canonical") | ((F.col("stage") > 1) & ~F.col("missed"))).alias("canonical"),
+    )
+    by_path = F.col("canonical") & ~F.col("same_id")
+    n_models = F.when(by_path, F.col("n_tuples")).otherwise(F.col("n_ids"))
+    one = (n_models == 1) & ~F.col("missed")
+    shown = F.when(by_path, F.coalesce("own", "first")).otherwise(F.col("first"))
+    joined = keys.select("input").distinct().join(known, "input", "left")
     return joined.select(
         "input",
-        F.when(F.col("hit").isNull(), "not_found").when(one, "ok").otherwise("ambiguous").alias("status"),
-        F.coalesce("hit.n_rows", F.lit(0)).alias("n_rows"),
-        F.coalesce("hit.n_models", F.lit(0)).alias("n_models"),
-        F.when(one, F.col("hit.best.provider")).alias("provider"),
-        F.when(one, F.col("hit.best.model_id")).alias("model_id"),
+        F.when(F.col("n_rows").isNull(), "not_found").when(one, "ok").otherwise("ambiguous").alias("status"),
+        F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"),
+        F.coalesce(n_models, F.lit(0)).cast("bigint").alias("n_models"),
+        F.when(one, shown["provider"]).alias("provider"),
+        F.when(one, shown["model_id"]).alias("model_id"),
     )
 
 

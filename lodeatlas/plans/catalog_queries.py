@@ -313,25 +313,50 @@ def lineage_descendants(spark, d):
 
 
 def _inputs(spark, d):
-    entries = table(spark, d, "families")
+    entries, models = table(spark, d, "families"), table(spark, d, "models")
     names = entries.select(F.col("family").alias("input")).union(entries.where("variant <> ''").select(F.concat_ws("-", "family", "variant")))
-    return names.union(table(spark, d, "models").select("model_id")).union(table(spark, d, "providers").select("provider"))
+    purl = lambda owner: models.where("row_id % 7 = 0").select(F.concat(F.lit("pkg:huggingface/"), owner, F.lit("/"), "model_id"))
+    paths = models.where("family <> ''").select(F.explode(F.array(F.concat_ws("/", "family", "variant", "version"), F.concat_ws("/", "provider", "family", "variant", "version"), F.concat("family", F.lit("@"), "date"))))
+    fixed = spark.createDataFrame([("claude-opus",), ("pkg:huggingface/nothing",), ("a/b/c",), ("/x@1",)], "input string")
+    every = [models.select("model_id"), table(spark, d, "providers").select("provider"), purl(F.col("provider")), purl(F.lit("nobody")), models.select(F.concat_ws("/", "provider", "model_id")), paths, fixed]
+    for more in every:
+        names = names.union(more)
+    return names
+
+
+_OPEN_FAMILIES = _sql_list(sorted({f.lower() for f in V.FAMILIES}))
 
 
 @query(
     _M
-    + """, inputs AS (SELECT DISTINCT input FROM (SELECT family AS input FROM families UNION ALL SELECT family || '-' || variant FROM families WHERE variant <> ''
-   UNION ALL SELECT model_id FROM models UNION ALL SELECT provider FROM providers) WHERE input IS NOT NULL),
+    + f""", i0 AS (SELECT family AS input FROM families UNION ALL SELECT family || '-' || variant FROM families WHERE variant <> '' UNION ALL SELECT model_id FROM models UNION ALL SELECT provider FROM providers
+   UNION ALL SELECT 'pkg:huggingface/' || provider || '/' || model_id FROM models WHERE row_id % 7 = 0 UNION ALL SELECT 'pkg:huggingface/nobody/' || model_id FROM models WHERE row_id % 7 = 0
+   UNION ALL SELECT concat_ws('/', provider, model_id) FROM models UNION ALL SELECT concat_ws('/', family, variant, version) FROM models WHERE family <> ''
+   UNION ALL SELECT concat_ws('/', provider, family, variant, version) FROM models WHERE family <> '' UNION ALL SELECT family || '@' || date FROM models WHERE family <> ''
+   UNION ALL SELECT unnest(['claude-opus', 'pkg:huggingface/nothing', 'a/b/c', '/x@1'])),
+i1 AS (SELECT DISTINCT input, len(input) - len(replace(input, '/', '')) AS slashes, starts_with(input, 'pkg:huggingface/') AS purl, substr(input, 17) AS rest,
+   contains(input, '@') OR len(list_filter(string_split(input, '/'), lambda s: regexp_full_match(s, '\\d+\\.\\d+'))) > 0 AS versioned FROM i0 WHERE input IS NOT NULL),
+i2 AS (SELECT *, CASE WHEN purl THEN 'purl' WHEN (slashes BETWEEN 1 AND 3 AND versioned) OR (slashes = 0 AND contains(input, '@')) THEN 'canonical' WHEN slashes = 1 AND NOT starts_with(input, 'pkg:') THEN 'huggingface' ELSE 'raw' END AS scheme FROM i1),
+i3 AS (SELECT *, CASE WHEN scheme = 'purl' THEN CASE WHEN contains(rest, '/') THEN substr(rest, strpos(rest, '/') + 1) ELSE rest END WHEN scheme = 'huggingface' THEN substr(input, strpos(input, '/') + 1) ELSE input END AS text,
+   CASE WHEN scheme = 'purl' AND contains(rest, '/') THEN string_split(rest, '/')[1] END AS hint,
+   CASE WHEN contains(input, '@') THEN array_slice(string_split(input, '@'), -1, -1)[1] ELSE '' END AS on_date,
+   string_split(CASE WHEN contains(input, '@') THEN regexp_extract(input, '^(.*)@[^@]*$', 1) ELSE input END, '/') AS path FROM i2),
 t AS (SELECT *, concat_ws('|', 'f', family, variant, version, array_to_string(mods, ','), date, regexp_extract(model_id, ':([0-9]+)$', 1)) AS tuple FROM keyed),
-k AS (SELECT 1 AS kind, model_id AS key, 'id:' || model_id AS model, provider, model_id FROM t
-      UNION ALL SELECT 2, family, tuple, provider, model_id FROM t
-      UNION ALL SELECT 3, family || '-' || variant, tuple, provider, model_id FROM t WHERE variant <> ''),
-g AS (SELECT i.input, kind, count(*) AS n_rows, count(DISTINCT model) AS n_models, min({'provider': provider, 'model_id': k.model_id}) AS best
-      FROM inputs i JOIN k ON i.input = k.key AND k.key <> '' GROUP BY i.input, kind),
-b AS (SELECT *, row_number() OVER (PARTITION BY input ORDER BY kind) AS rn FROM g)
-SELECT i.input, CASE WHEN b.input IS NULL THEN 'not_found' WHEN n_models = 1 THEN 'ok' ELSE 'ambiguous' END AS status, coalesce(n_rows, 0) AS n_rows, coalesce(n_models, 0) AS n_models,
-  CASE WHEN n_models = 1 THEN best.provider END AS provider, CASE WHEN n_models = 1 THEN best.model_id END AS model_id
-FROM inputs i LEFT JOIN b ON i.input = b.input AND b.rn = 1"""
+shifted AS (SELECT *, CASE WHEN len(path) = 4 OR (len(path) = 3 AND shift = 1) THEN path[2:] ELSE path END AS p FROM i3 CROSS JOIN (VALUES (0), (1)) s(shift) WHERE scheme = 'canonical' AND path[1] <> '' AND (shift = 0 OR (len(path) = 3 AND path[1] <> path[2]))),
+pick AS (
+  SELECT DISTINCT input, 1 AS stage, false AS missed, row_id FROM i3 JOIN t ON i3.text = t.model_id WHERE scheme IN ('raw', 'huggingface', 'canonical') OR (scheme = 'purl' AND (hint IS NULL OR hint = '' OR hint = provider))
+  UNION SELECT input, 2, true, row_id FROM i3 JOIN t ON i3.text = t.model_id WHERE scheme = 'purl' AND hint <> ''
+  UNION SELECT input, 1, false, row_id FROM i3 JOIN t ON i3.text = t.family WHERE scheme = 'canonical' AND text <> ''
+  UNION SELECT input, 1, false, row_id FROM shifted s JOIN t ON s.p[1] = t.family WHERE coalesce(s.p[2], '') IN ('', t.variant) AND coalesce(s.p[3], '') IN ('', t.version) AND on_date IN ('', t.date)
+  UNION SELECT input, 2, false, row_id FROM i3 JOIN t ON i3.text = t.family WHERE scheme = 'raw' AND NOT regexp_matches(text, '[/@:]') AND text <> ''
+  UNION SELECT input, 2 + len(t.family) + 1, false, row_id FROM i3 JOIN t ON i3.text = t.family || '-' || t.variant WHERE scheme = 'raw' AND NOT regexp_matches(text, '[/@:]') AND t.variant <> '' AND list_contains({_OPEN_FAMILIES}, lower(t.family))),
+best AS (SELECT * FROM pick QUALIFY stage = min(stage) OVER (PARTITION BY input)),
+g AS (SELECT b.input, count(*) AS n_rows, count(DISTINCT t.model_id) AS n_ids, count(DISTINCT tuple) AS n_tuples, bool_and(t.model_id = i3.text) AS same_id, bool_or(missed) AS missed,
+      bool_or(scheme = 'canonical' OR (stage > 1 AND NOT missed)) AS canonical, min({{'provider': provider, 'model_id': t.model_id}}) AS best FROM best b JOIN t USING (row_id) JOIN i3 ON i3.input = b.input GROUP BY 1),
+r AS (SELECT *, CASE WHEN canonical AND NOT same_id THEN n_tuples ELSE n_ids END AS n_models FROM g)
+SELECT i3.input, CASE WHEN r.input IS NULL THEN 'not_found' WHEN n_models = 1 AND NOT missed THEN 'ok' ELSE 'ambiguous' END AS status, coalesce(n_rows, 0) AS n_rows, coalesce(n_models, 0) AS n_models,
+  CASE WHEN n_models = 1 AND NOT missed THEN best.provider END AS provider, CASE WHEN n_models = 1 AND NOT missed THEN best.model_id END AS model_id
+FROM i3 LEFT JOIN r ON i3.input = r.input"""
 )
 def resolve_batch(spark, d):
     return resolve.resolve_batch(models_with_modifiers(spark, d), _inputs(spark, d))

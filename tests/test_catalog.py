@@ -308,6 +308,32 @@ def test_resolve_batch(spark, models):
     }
 
 
+def test_resolve_batch_as_resolve(spark, models):
+    inputs = [
+        "claude-opus-4-5-20251101", "claude", "claude-opus", "anthropic/claude/opus/4.5", "claude/opus@2025-11-01", "claude/opus/4.5", "pkg:huggingface/rehost/claude-opus-4-5-20251101",
+        "pkg:huggingface/nobody/claude-opus-4-5-20251101", "pkg:huggingface/claude-3-5-haiku", "gpt@{mini}", "gpt/4.0@{mini}", "glm@[turbo]", "gpt@{vision}", "rehost/qwen3-max", "a/b/c@", "@", "//@", "azure-gpt-4o-mini", "x@2025-11-01", "gpt-", "-gpt", "claude//4.5",
+    ]
+    got = {r.input: r for r in resolve_batch(models, spark.createDataFrame([(i,) for i in inputs], "input string")).collect()}
+    for i in inputs:
+        try:
+            rows = resolve(models, i).collect()
+            want = ("ok", rows[0].provider, rows[0].model_id)
+        except NotFound:
+            want = ("not_found", None, None)
+        except Ambiguous as e:
+            want = ("ambiguous", None, None)
+            assert e.missed_namespace or got[i].n_models == len(e.candidates), i
+        assert (got[i].status, got[i].provider, got[i].model_id) == want, i
+
+
+def test_lineage_of_entities(spark, models):
+    derived = [("claude-opus-4-5-20251101", [("llama", "", "3", "finetune"), ("llama", "", "3", "finetune"), ("qwen", "", "", None)]), ("qwen3-max", None)]
+    records = spark.createDataFrame(derived, "child_id string, parents array<struct<family:string,variant:string,version:string,kind:string>>")
+    attached = lineage.attach(models, records)
+    got = {r.entity_key: [tuple(x) for x in r.lineage] for r in entities.with_lineage(entities.entities(attached), attached).collect()}
+    assert got["claude/opus@4.5"] == [("llama@3", "finetune"), ("qwen", "")] and sum(map(len, got.values())) == 2
+
+
 def test_show(models):
     newer = models.where("provider = 'rehost'").withColumns({"last_synced": F.lit("2027-01-01T00:00:00Z")})
     assert show(models, newer, "claude-opus-4-5-20251101").first().provider == "rehost"
@@ -327,7 +353,8 @@ def test_divergence(spark):
 
 
 def test_quality_counters(spark, tmp_path):
-    from lodeatlas.plans.catalog_queries import QUERIES
+    from lodeatlas.plans import catalog_queries  # noqa: F401
+    from lodeatlas.plans.registry import QUERIES
 
     pairs = [("nova", "nova-2-lite-v1"), ("text-embedding", "text-embedding-3-large"), ("gpt", "gpt-4"), ("", "")]
     rows = [(raw, ident, "p", "", "") for raw, ident in pairs]
