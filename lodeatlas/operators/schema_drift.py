@@ -2,10 +2,10 @@
 
 Each file is profiled per field: JSON types, number of values and a min-hash sketch of the values. The
 profiles of consecutive files are compared; a field found in one of the two only is an end of a
-possible rename. The pairs of such ends are weighed by how many records agree, by their sketches and
-by the similarity of their names, and a bipartite matching picks the renames. All per-record work is
-aggregated before it is shuffled on (feed, file, provider, id) or on a field; what is grouped per file
-has one row per field of a schema, not per record.
+possible rename. Ends whose profiles have a JSON type in common are the candidate edges; only for these
+the records are compared. An edge is weighed by its types, sketches, names and agreeing records, and
+must have equal values in nine tenths of the records; an optimal bipartite matching between the versions
+picks the renames. What is grouped per file has one row per field of a schema, not per record.
 """
 
 from __future__ import annotations
@@ -13,9 +13,11 @@ from __future__ import annotations
 import difflib
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,18 +58,27 @@ def name_similarity(a: str, b: str) -> float:
     return max(difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio(), common)
 
 
-def _match(pairs: pd.DataFrame) -> pd.DataFrame:
-    """The renames of one file and level among the pairs that agree in enough records."""
-    old, new = sorted(pairs["old_field"].unique()), sorted(pairs["new_field"].unique())
+def edge_weight(old_field: str, new_field: str, equal_share: float, sketch_share: float, kind_share: float) -> float:
+    """The weight of a possible rename; what all edges have makes a matching of more renames the heavier one."""
+    name = name_similarity(old_field.rpartition(".")[2], new_field.rpartition(".")[2])
+    return 20 + 4 * equal_share + 3 * sketch_share + 2 * kind_share + 2 * name
+
+
+def match_edges(edges: list[dict]) -> list[tuple[str, str]]:
+    """(old_field, new_field) of the best matching among the edges of one file and level."""
+    old, new = sorted({e["old_field"] for e in edges}), sorted({e["new_field"] for e in edges})
     weight = np.zeros((len(old), len(new)))
-    for p in pairs.itertuples():
-        name = name_similarity(p.old_field.rpartition(".")[2], p.new_field.rpartition(".")[2])
-        weight[old.index(p.old_field), new.index(p.new_field)] = 10 + 4 * p.equal_share + 2 * name + p.sketch_share + min(p.n_both, 1000) / 1e4
-    first = pairs.iloc[0]
-    return pd.DataFrame(
-        [(first["feed"], first["file_no"], old[a], new[b]) for a, b in best_assignment(weight)],
-        columns=["feed", "file_no", "old_field", "new_field"],
-    ).astype({"file_no": "int64"})
+    for e in edges:
+        weight[old.index(e["old_field"]), new.index(e["new_field"])] = edge_weight(**e)
+    return [(old[a], new[b]) for a, b in best_assignment(weight)]
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [match_edges(e) for e in batch.column(2).to_pylist()]
+        at = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+        fields = [pa.array([p[k] for f in found for p in f], pa.string()) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *fields], names=["feed", "file_no", "old_field", "new_field"])
 
 
 def schema_changes(records: DataFrame, fields: DataFrame | None = None) -> DataFrame:
@@ -80,7 +91,7 @@ def schema_changes(records: DataFrame, fields: DataFrame | None = None) -> DataF
     Records without a feed or provider count as those of an unnamed one; without a file number they
     are left out.
     """
-    fields = cut(open_fields(records)) if fields is None else fields
+    fields = cut(open_fields(records, texts=False)) if fields is None else fields
     steps = cut(file_steps(records))
     later = steps.where("older is not null")
     prof = cut(profile(fields))
@@ -108,43 +119,39 @@ def schema_changes(records: DataFrame, fields: DataFrame | None = None) -> DataF
     compared = cut(compared.where("parent = ''").unionByName(members))
 
     gone, came = compared.where("new_kinds is null"), compared.where("old_kinds is null")
-    level = ["feed", "file_no", "parent"]
-    old_ends = gone.select("feed", "file_no", "parent", F.col("path").alias("old_field"), "old_sketch")
-    new_ends = came.select("feed", "file_no", "parent", F.col("path").alias("new_field"), "new_sketch")
-
-    once = lambda df: df.groupBy("feed", "file_no", "provider", "id", "parent", "path").agg(F.max_by("value", "line_no").alias("value"))
-    on_path = lambda side, ends: side["feed"].eqNullSafe(ends["feed"]) & (side["path"] == ends["field"])
-    old_at = old_ends.join(following, F.col("feed").eqNullSafe(F.col("f")) & (F.col("file_no") == F.col("newer"))).select("feed", F.col("o").alias("at"), F.col("newer").alias("step"), F.col("old_field").alias("field"))
-    new_at = new_ends.select("feed", F.col("file_no").alias("at"), F.col("file_no").alias("step"), F.col("new_field").alias("field"))
-
-    def values(ends: DataFrame, name: str) -> DataFrame:
-        got = fields.join(ends, on_path(fields, ends) & (fields["file_no"] == ends["at"])).select(
-            fields["feed"], F.col("step").alias("file_no"), "provider", "id", "parent", "path", "value", "line_no"
-        )
-        return once(got).withColumnRenamed("path", f"{name}_field").withColumnRenamed("value", f"{name}_value")
-
-    ov, nv = values(old_at, "old").alias("o"), values(new_at, "new").alias("n")
-    same_record = (
-        F.col("o.feed").eqNullSafe(F.col("n.feed"))
-        & (F.col("o.file_no") == F.col("n.file_no"))
-        & F.col("o.provider").eqNullSafe(F.col("n.provider"))
-        & (F.col("o.id") == F.col("n.id"))
-        & (F.col("o.parent") == F.col("n.parent"))
-    )
-    agreed = (
-        ov.join(nv, same_record)
-        .groupBy(F.col("o.feed").alias("feed"), F.col("o.file_no").alias("file_no"), F.col("o.parent").alias("parent"), "old_field", "new_field")
-        .agg(F.count("*").alias("n_both"), F.avg((F.col("old_value") == F.col("new_value")).cast("double")).alias("equal_share"))
-        .where(F.col("equal_share") >= EQUAL_SHARE)
-    )
-    join_end = lambda df, ends, field, sketch: df.join(
-        ends.select(F.col("feed").alias("f2"), F.col("file_no").alias("n2"), F.col(field).alias("e2"), sketch),
-        F.col("feed").eqNullSafe(F.col("f2")) & (F.col("file_no") == F.col("n2")) & (F.col(field) == F.col("e2")),
-    ).drop("f2", "n2", "e2")
-    weighed = join_end(join_end(agreed, old_ends, "old_field", "old_sketch"), new_ends, "new_field", "new_sketch")
+    old_ends = gone.select("feed", "file_no", "parent", F.col("path").alias("old_field"), "old_kinds", "old_sketch")
+    new_ends = came.select("feed", "file_no", "parent", F.col("path").alias("new_field"), "new_kinds", "new_sketch")
+    level = F.col("o.feed").eqNullSafe(F.col("n.feed")) & (F.col("o.file_no") == F.col("n.file_no")) & (F.col("o.parent") == F.col("n.parent"))
+    common = F.size(F.array_intersect("old_kinds", "new_kinds"))
     alike = F.size(F.filter(F.zip_with("old_sketch", "new_sketch", lambda a, b: a == b), lambda x: x)) / LANES
-    weighed = weighed.select(F.coalesce("feed", F.lit("")).alias("feed_key"), *level, "old_field", "new_field", "n_both", "equal_share", alike.alias("sketch_share"))
-    renames = cut(weighed.groupBy("feed_key", "file_no", "parent").applyInPandas(_match, "feed string, file_no bigint, old_field string, new_field string"))
+    edges = cut(
+        old_ends.alias("o").join(new_ends.alias("n"), level & (common > 0))
+        .select("o.feed", "o.file_no", "o.parent", "old_field", "new_field", alike.alias("sketch_share"), (common / F.size(F.array_union("old_kinds", "new_kinds"))).alias("kind_share"))
+        .join(following.select(F.col("f").alias("f2"), "newer", "o"), F.col("feed").eqNullSafe(F.col("f2")) & (F.col("file_no") == F.col("newer"))).drop("f2", "newer")
+    )
+
+    def ends(side: str, at: str) -> DataFrame:
+        """The values at the ends of the edges: of a record that is there twice the one of the later line."""
+        wanted = edges.select(F.col("feed").alias("f2"), F.col(at).alias("at"), F.col("file_no").alias("step"), F.col(f"{side}_field").alias("field")).distinct()
+        rows = fields.join(wanted, F.col("feed").eqNullSafe(F.col("f2")) & (fields["file_no"] == F.col("at")) & (F.col("path") == F.col("field")))
+        return rows.groupBy("feed", F.col("step").alias("file_no"), "provider", "id", "parent", F.col("path").alias(f"{side}_field")).agg(F.max_by("value", "line_no").alias(f"{side}_value"))
+
+    e = edges.select(F.col("feed").alias("ef"), F.col("file_no").alias("en"), F.col("old_field").alias("eo"), F.col("new_field").alias("wanted_field"))
+    o = ends("old", "o").join(e, F.col("feed").eqNullSafe(F.col("ef")) & (F.col("file_no") == F.col("en")) & (F.col("old_field") == F.col("eo"))).alias("o")
+    n = ends("new", "file_no").alias("n")
+    same_record = level & F.col("o.provider").eqNullSafe(F.col("n.provider")) & (F.col("o.id") == F.col("n.id")) & (F.col("o.wanted_field") == F.col("n.new_field"))
+    agreed = (
+        o.join(n, same_record).groupBy(F.col("o.feed").alias("feed"), F.col("o.file_no").alias("file_no"), "old_field", "new_field")
+        .agg(F.avg((F.col("old_value") == F.col("new_value")).cast("double")).alias("equal_share")).where(F.col("equal_share") >= EQUAL_SHARE)
+    )
+    a, b = agreed.alias("a"), edges.alias("b")
+    weighed = a.join(b, F.col("a.feed").eqNullSafe(F.col("b.feed")) & (F.col("a.file_no") == F.col("b.file_no")) & (F.col("a.old_field") == F.col("b.old_field")) & (F.col("a.new_field") == F.col("b.new_field")))
+    edge = F.struct("a.old_field", "a.new_field", "equal_share", "sketch_share", "kind_share")
+    # As many edges as one level of one file has pairs of vanished and new fields.
+    levels = weighed.groupBy("b.feed", "b.file_no", "b.parent").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = levels.select("feed", "file_no", "edges").repartition(tasks, "feed", "file_no")
+    renames = cut(spread.mapInArrow(_matched, "feed string, file_no bigint, old_field string, new_field string"))
 
     def without(df: DataFrame, field: str) -> DataFrame:
         r = renames.select(F.col("feed").alias("f2"), F.col("file_no").alias("n2"), F.col(field).alias("e2"))

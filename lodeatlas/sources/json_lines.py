@@ -59,42 +59,61 @@ def parse_record(payload: str | None) -> dict | None:
     return got if isinstance(got, dict) else None
 
 
+_KIND = {bool: "boolean", int: "number", float: "number", str: "string", list: "array", dict: "object"}
+_QUOTED = json.encoder.encode_basestring_ascii
+
+
+def written(value: object) -> str:
+    """The canonical value as JSON text."""
+    if value is True or value is False:
+        return "true" if value else "false"
+    if isinstance(value, str):
+        return _QUOTED(value)
+    return json.dumps(canonical(value), sort_keys=True)
+
+
 def fields_of(record: dict) -> Iterator[tuple[str, str, str, str]]:
     """(path, parent, kind, canonical text) of the non-null fields, two levels deep."""
     for key, value in record.items():
         if value is None:
             continue
-        yield key, "", json_kind(value), json.dumps(canonical(value), sort_keys=True)
+        yield key, "", _KIND[type(value)], written(value)
         if isinstance(value, dict):
             for k, v in value.items():
                 if v is not None:
-                    yield f"{key}.{k}", key, json_kind(v), json.dumps(canonical(v), sort_keys=True)
+                    yield f"{key}.{k}", key, _KIND[type(v)], written(v)
 
 
-def open_fields(records: DataFrame) -> DataFrame:
+def open_fields(records: DataFrame, texts: bool = True) -> DataFrame:
     """One row per non-null field of each readable record of ``records`` (feed, file_no, line_no, provider, payload).
 
     ``value`` is a hash of the canonical value, ``text`` that value as JSON. Broken lines give no
-    rows; a field that is null counts as absent. The id is the record's own ``id`` as text.
+    rows; a field that is null counts as absent. The id is the record's own ``id`` as text. Without
+    ``texts`` the texts are left out.
     """
     ship_package(records.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            feed, file_no, line_no, provider, payload = (batch.column(i).to_pylist() for i in range(5))
-            out: list[list] = [[] for _ in range(10)]
-            for i, text in enumerate(payload):
+            at, ids, paths, parents, kinds, values, held = [], [], [], [], [], [], []
+            for i, text in enumerate(batch.column(4).to_pylist()):
                 record = parse_record(text)
                 if record is None:
                     continue
                 key = record.get("id")
                 key = clean(key if isinstance(key, str) else json.dumps(canonical(key), sort_keys=True))
                 for path, parent, kind, value in fields_of(record):
-                    for column, x in zip(out, (feed[i], file_no[i], line_no[i], provider[i], key, clean(path), clean(parent), kind, value_hash(value), value)):
-                        column.append(x)
-            types = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string()]
-            names = [x.split()[0] for x in FIELD_SCHEMA.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+                    at.append(i)
+                    ids.append(key)
+                    paths.append(path if path.isascii() else clean(path))
+                    parents.append(parent if parent.isascii() else clean(parent))
+                    kinds.append(kind)
+                    values.append(xxhash.xxh64_intdigest(value.encode()) - 2**63 if value.isascii() else value_hash(value))
+                    held.append(value)
+            rows = pa.array(at, pa.int64())
+            texts_ = pa.array(held, pa.string()) if texts else pa.nulls(len(held), pa.string())
+            columns = [*(batch.column(k).take(rows) for k in range(4)), *(pa.array(c, pa.string()) for c in (ids, paths, parents, kinds)), pa.array(values, pa.int64()), texts_]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in FIELD_SCHEMA.split(", ")])
 
     picked = records.select("feed", F.col("file_no").cast("bigint"), F.col("line_no").cast("bigint"), "provider", "payload")
     return picked.mapInArrow(run, FIELD_SCHEMA)
