@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeatlas.operators.assignment import best_assignment
@@ -31,6 +31,8 @@ LANES = 16
 EQUAL_SHARE = 0.9
 #: Least likeness of the names, or share of common members, of fields of different feeds without a rename between them.
 ALIKE = 0.6
+#: Share of the records from which a field becomes a column, and of its values that its type must fit.
+FIELD_SHARE, READ_SHARE = 0.001, 0.9
 
 
 def file_steps(records: DataFrame) -> DataFrame:
@@ -307,3 +309,45 @@ def unify(records: DataFrame) -> DataFrame:
         named.groupBy("feed", "file_no", "line_no", "provider", "id", "unified").agg(F.min("text").alias("text"))
         .groupBy("feed", "file_no", "line_no", "provider", "id").agg(F.map_from_entries(entries).alias("fields"))
     )
+
+
+# What is written where a boolean is meant.
+_TRUE, _FALSE = ["true", '"true"', '"yes"', '"on"', "1"], ["false", '"false"', '"no"', '"off"', "0"]
+
+
+def _boolean(text: Column) -> Column:
+    return F.when(F.lower(text).isin(_TRUE), True).when(F.lower(text).isin(_FALSE), False)
+
+
+def _number(text: Column) -> Column:
+    """A JSON number, or a string that is one, with or without a currency sign."""
+    return F.regexp_replace(text, r'^"\s*[$€£]?\s*([-+0-9.eE]+)\s*"$', "$1").try_cast("double")
+
+
+def _plain(text: Column) -> Column:
+    """The characters of a JSON string; any other value as JSON text."""
+    return F.when(text.startswith('"'), F.get_json_object(F.concat(F.lit('{"s":'), text, F.lit("}")), "$.s")).otherwise(text)
+
+
+def typed(unified: DataFrame) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """``unified`` with a column of one type for each common field, and (field, type) of these in order.
+
+    A field is boolean or double if nine tenths of its values can be read so (also "yes", 0, "$2.50"),
+    else string; what can't be read is null there and stays in ``fields``. Only fields of a thousandth
+    of the records become columns, so their number is bounded; all are in ``fields``. The points and
+    other signs in the name of a field become underscores in that of its column.
+    """
+    held = cut(unified)
+    cells = held.select(F.explode("fields").alias("name", "text"))
+    seen = cells.groupBy("name").agg(F.count("*").alias("n"), F.count(_boolean(F.col("text"))).alias("boolean"), F.count(_number(F.col("text"))).alias("double"))
+    least = FIELD_SHARE * held.count()
+    kind = F.when(F.col("boolean") >= READ_SHARE * F.col("n"), "boolean").when(F.col("double") >= READ_SHARE * F.col("n"), "double").otherwise("string")
+    columns = [(r.name, r.kind) for r in seen.where(F.col("n") >= least).select("name", kind.alias("kind")).orderBy("name").collect()]
+    read = {"boolean": _boolean, "double": _number, "string": _plain}
+    named: dict[str, Column] = {}
+    for name, k in columns:
+        column = re.sub(r"\W", "_", name)
+        while column.lower() in {c.lower() for c in (*held.columns, *named)}:
+            column += "_"
+        named[column] = read[k](F.element_at("fields", name))
+    return held.select("*", *[c.alias(n) for n, c in named.items()]), columns

@@ -14,14 +14,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record with all its fields under the common names; some of them as columns too."""
-    one = schema_drift.unify(table(spark, sf_dir, "wire_records"))
-    pick = lambda k: F.element_at("fields", k)
-    return one.select(
-        "feed", "file_no", "line_no", "provider", F.col("id").alias("model_id"), F.size("fields").cast("bigint").alias("n_fields"),
-        pick("reasoning").alias("reasoning"), pick("interleaved").alias("interleaved"), pick("cost.input").alias("cost_input"), pick("cost.output").alias("cost_output"),
-        "fields",
-    )
+    """Every record with a typed column for each common field, and with all fields as JSON text."""
+    one, _ = schema_drift.typed(schema_drift.unify(table(spark, sf_dir, "wire_records")))
+    return one
+
+
+#: Common fields whose values are not themselves split into members.
+_FLAT = ("attachment", "interleaved", "open_weights", "reasoning", "tool_call", "name", "release_date")
+_PRICES = ("audio", "cache_read", "cache_write", "input", "output", "reasoning")
+
+
+def p1_unified_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed columns of flags, names and prices of every record."""
+    one = p1_unified(spark, sf_dir)
+    picked = [c for c in (*_FLAT, *(f"cost_{p}" for p in _PRICES))]
+    return one.select("feed", "file_no", "line_no", "provider", F.col("id").alias("model_id"), *[F.col(c) if c in one.columns else F.lit(None).cast("string").alias(c) for c in picked])
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +51,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_diff.diff_snapshots(table(spark, sf_dir, "model_snapshots"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p3_found, p3_positions, p3_descendants, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p1_unified_values, p3_found, p3_positions, p3_descendants, p5_found)}
 
 _KEY = """trim({r}.family) || CASE WHEN coalesce(trim({r}.variant), '') <> '' THEN '/' || trim({r}.variant) ELSE '' END
  || CASE WHEN coalesce(trim({r}.version), '') <> '' THEN '@' || trim({r}.version) ELSE '' END"""
@@ -53,6 +60,32 @@ _KEY = """trim({r}.family) || CASE WHEN coalesce(trim({r}.variant), '') <> '' TH
 _AT = """json_extract({o}, '$."' || {k} || '"')"""
 _TEXT = "CASE WHEN json_type({v}) IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN CAST(CAST({v} AS DOUBLE) AS VARCHAR) ELSE CAST({v} AS VARCHAR) END"
 
+# The names under which the feeds deliver one field.
+_SAID = {
+    "attachment": ["attachment", "attachments"], "open_weights": ["open_weights", "weights_open"], "tool_call": ["tool_call", "function_calling"],
+    "reasoning": ["reasoning", "is_reasoning", "reasoning_mode", "supports_reasoning"], "interleaved": ["interleaved", "interleave", "interleaved_thinking"], "name": ["name"], "release_date": ["release_date"],
+}
+_COSTS = ["cost", "price", "pricing"]
+_MEMBERS = {
+    "audio": ["audio", "audio_input"], "cache_read": ["cache_read", "cached_input", "cacheRead"], "cache_write": ["cache_write", "cacheWrite"], "input": ["input", "prompt", "input_price"],
+    "output": ["output", "completion", "output_price"], "reasoning": ["reasoning", "thinking_tokens"],
+}
+
+
+def _json_text(paths: list[str]) -> str:
+    return "coalesce(" + ", ".join(f"nullif(CAST(json_extract(p, '{x}') AS VARCHAR), 'null')" for x in paths) + ")"
+
+
+_YES, _NO = """('true', '"true"', '"yes"', '"on"', '1')""", """('false', '"false"', '"no"', '"off"', '0')"""
+_BOOL = "CASE WHEN lower({t}) IN " + _YES + " THEN true WHEN lower({t}) IN " + _NO + " THEN false END"
+_NUMBER = r"""TRY_CAST(regexp_replace({t}, '^"\s*[$€£]?\s*([-+0-9.eE]+)\s*"$', '\1') AS DOUBLE)"""
+_STRING = """CASE WHEN starts_with({t}, '"') THEN CAST({t} AS JSON)->>'$' ELSE replace({t}, '":"', '": "') END"""
+_READ_AS = {k: _STRING if k in ("interleaved", "name", "release_date") else _BOOL for k in _SAID}
+_VALUES = ", ".join(
+    [f"{_READ_AS[k].format(t=_json_text(['$.' + x for x in names]))} AS {k}" for k, names in _SAID.items()]
+    + [f"{_NUMBER.format(t=_json_text([f'$.{c}.{m}' for c in _COSTS for m in names]))} AS cost_{k}" for k, names in _MEMBERS.items()]
+)
+
 #: Nodes, edges and every pair (x, a) with the numbers n of steps in which a lies above x.
 _WALK = f"""
 WITH RECURSIVE rows_ AS (
@@ -97,6 +130,9 @@ UNION ALL SELECT feed, file_no, 'renamed', old_field, new_field FROM renamed
 UNION ALL SELECT feed, file_no, 'removed', path, '' FROM c WHERE nk IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.feed = c.feed AND r.file_no = c.file_no AND r.old_field = c.path)
 UNION ALL SELECT feed, file_no, 'added', '', path FROM c WHERE ok IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.feed = c.feed AND r.file_no = c.file_no AND r.new_field = c.path)
 """,
+    "p1_unified_values": f"""
+WITH ok AS (SELECT feed, file_no, line_no, provider, CAST(payload AS JSON) AS p FROM wire_records WHERE json_valid(payload) AND json_type(payload) = 'OBJECT')
+SELECT DISTINCT feed, file_no, line_no, provider, p->>'$.id' AS model_id, {_VALUES} FROM ok""",
     "p3_found": f"""{_WALK}
 SELECT x AS node_key, a AS root_key, CAST(n AS BIGINT) AS depth FROM rooted
 UNION ALL SELECT x, '', -1 FROM circle

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodeatlas.operators import merge_graph
 from lodeatlas.operators.assignment import best_assignment
 from lodeatlas.operators.hierarchy import all_descendants, descendants, full_paths, lineage_edges, node_positions, node_roots, tree_positions
-from lodeatlas.operators.schema_drift import name_similarity, schema_changes, unify
+from lodeatlas.operators.schema_drift import name_similarity, schema_changes, typed, unify
 from lodeatlas.operators.bitmaps import compress, packed, places
 from lodeatlas.operators.snapshot_diff import SnapshotLog, diff_snapshots
 from lodeatlas.plans.prefix import prefix_sums
@@ -177,6 +177,26 @@ def test_unify_keeps_fields_apart_that_stand_side_by_side(spark):
     assert got["2"]["weights_open"] == "2" and (got["3"]["open_weights"], got["3"]["weights_open"]) == ("3", "4")
 
 
+def test_assignment_decides_between_renames_that_agree(spark, rows):
+    """Two old and two new fields of equal values: types and names tell which became which."""
+    old = [{"id": str(i), "max_input": 5, "max_output": 5, "a": 1, "b": 1} for i in range(9)]
+    new = [{"id": str(i), "output_max": 5, "input_max": 5, "c": 1, "d": 1 if i else "x"} for i in range(9)]
+    old[0]["b"] = "x"
+    got = rows(schema_changes(spark.createDataFrame(wire(1, old) + wire(2, new), WIRE)))
+    assert ("f", 2, "renamed", "max_input", "input_max") in got and ("f", 2, "renamed", "max_output", "output_max") in got
+    assert ("f", 2, "renamed", "b", "d") in got and ("f", 2, "renamed", "a", "c") in got and len(got) == 4
+
+
+def test_typed_columns(spark):
+    records = [{"id": str(i), "on": ["yes", "no", 0, True][i % 4], "price": [2, "$2.50", "3", None][i % 4], "say": ["a", [1], {"k": 1}, "b"][i % 4], "a.b": 1, "a_b": 2} for i in range(20)]
+    one, columns = typed(unify(spark.createDataFrame(wire(1, records), WIRE)))
+    assert dict(columns) == {"id": "double", "on": "boolean", "price": "double", "say": "string", "say.k": "boolean", "a.b": "boolean", "a_b": "double"}
+    by = {r.id: r for r in one.collect()}
+    assert [by[str(i)].on for i in range(4)] == [True, False, False, True] and [by[str(i)].price for i in range(4)] == [2.0, 2.5, 3.0, None]
+    assert [by[str(i)].say for i in range(4)] == ["a", "[1]", '{"k": 1}', "b"] and by["0"]["a_b_"] == 2.0 and by["0"]["id_"] == 0.0
+    assert typed(unify(spark.createDataFrame([], WIRE)))[1] == []
+
+
 def test_values_compare_by_value():
     assert canonical({"b": 1.0, "a": [1, True, None]}) == {"b": 1, "a": [1, True, None]}
     assert canonical(True) is True and canonical("1") == "1"
