@@ -332,17 +332,18 @@ def _plain(text: Column) -> Column:
 def typed(unified: DataFrame) -> tuple[DataFrame, list[tuple[str, str]]]:
     """``unified`` with a column of one type for each common field, and (field, type) of these in order.
 
-    A field is boolean or double if nine tenths of its values can be read so (also "yes", 0, "$2.50"),
-    else string; what can't be read is null there and stays in ``fields``. Only fields of a thousandth
+    A field is boolean or double if nine tenths of its values that are no objects can be read so (also
+    "yes", 0, "$2.50"), else string; what can't be read is null there and stays in ``fields``. Only fields of a thousandth
     of the records become columns, so their number is bounded; all are in ``fields``. The points and
     other signs in the name of a field become underscores in that of its column.
     """
     held = cut(unified)
     cells = held.select(F.explode("fields").alias("name", "text"))
-    seen = cells.groupBy("name").agg(F.count("*").alias("n"), F.count(_boolean(F.col("text"))).alias("boolean"), F.count(_number(F.col("text"))).alias("double"))
+    # The members of an object are fields of their own, so an object doesn't count against a type.
+    seen = cells.groupBy("name").agg(F.count("*").alias("all"), F.count_if(~F.col("text").startswith("{")).alias("n"), F.count(_boolean(F.col("text"))).alias("boolean"), F.count(_number(F.col("text"))).alias("double"))
     least = FIELD_SHARE * held.count()
-    kind = F.when(F.col("boolean") >= READ_SHARE * F.col("n"), "boolean").when(F.col("double") >= READ_SHARE * F.col("n"), "double").otherwise("string")
-    columns = [(r.name, r.kind) for r in seen.where(F.col("n") >= least).select("name", kind.alias("kind")).orderBy("name").collect()]
+    kind = F.when(F.col("n") == 0, "string").when(F.col("boolean") >= READ_SHARE * F.col("n"), "boolean").when(F.col("double") >= READ_SHARE * F.col("n"), "double").otherwise("string")
+    columns = [(r.name, r.kind) for r in seen.where(F.col("all") >= least).select("name", kind.alias("kind")).orderBy("name").collect()]
     read = {"boolean": _boolean, "double": _number, "string": _plain}
     named: dict[str, Column] = {}
     for name, k in columns:
