@@ -324,7 +324,7 @@ def _number(text: Column) -> Column:
     return F.regexp_replace(text, r'^"\s*[$€£]?\s*([-+0-9.eE]+)\s*"$', "$1").try_cast("double")
 
 
-def _plain(text: Column) -> Column:
+def plain_text(text: Column) -> Column:
     """The characters of a JSON string; any other value as JSON text."""
     return F.when(text.startswith('"'), F.get_json_object(F.concat(F.lit('{"s":'), text, F.lit("}")), "$.s")).otherwise(text)
 
@@ -344,7 +344,7 @@ def typed(unified: DataFrame) -> tuple[DataFrame, list[tuple[str, str]]]:
     least = FIELD_SHARE * held.count()
     kind = F.when(F.col("n") == 0, "string").when(F.col("boolean") >= READ_SHARE * F.col("n"), "boolean").when(F.col("double") >= READ_SHARE * F.col("n"), "double").otherwise("string")
     columns = [(r.name, r.kind) for r in seen.where(F.col("all") >= least).select("name", kind.alias("kind")).orderBy("name").collect()]
-    read = {"boolean": _boolean, "double": _number, "string": _plain}
+    read = {"boolean": _boolean, "double": _number, "string": plain_text}
     named: dict[str, Column] = {}
     for name, k in columns:
         column = re.sub(r"\W", "_", name)

@@ -20,15 +20,17 @@ def p1_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Common fields whose values are not themselves split into members.
-_FLAT = ("attachment", "interleaved", "open_weights", "reasoning", "tool_call", "name", "release_date")
+_FLAT = ("attachment", "open_weights", "reasoning", "tool_call", "name", "release_date")
 _PRICES = ("audio", "cache_read", "cache_write", "input", "output", "reasoning")
 
 
 def p1_unified_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The typed columns of flags, names and prices of every record."""
     one = p1_unified(spark, sf_dir)
-    picked = [c for c in (*_FLAT, *(f"cost_{p}" for p in _PRICES))]
-    return one.select("feed", "file_no", "line_no", "provider", F.col("id").alias("model_id"), *[F.col(c) if c in one.columns else F.lit(None).cast("string").alias(c) for c in picked])
+    typed = [c for c in (*_FLAT, *(f"cost_{p}" for p in _PRICES))]
+    # Half flag, half text: which it mostly is depends on the feeds.
+    mixed = schema_drift.plain_text(F.element_at("fields", "interleaved")).alias("interleaved")
+    return one.select("feed", "file_no", "line_no", "provider", F.col("id").alias("model_id"), mixed, *[F.col(c) if c in one.columns else F.lit(None).cast("string").alias(c) for c in typed])
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
