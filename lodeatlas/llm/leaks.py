@@ -1,12 +1,17 @@
 """Evaluation texts leaking into training text: a positional inverted index and phrase intersection.
 
 The terms of the index are pairs of neighbouring words. Postings (term, document, position) are stored
-for every term that occurs in the evaluation items, over the whole texts of all documents. Every
+for the terms that occur in evaluation items, over the whole texts of all documents, in one pass for any
+number of items: a Bloom filter of bounded size, built from all of them, leaves out nearly all other
+terms, and the joins that follow leave out the rest. Every
 window of an item that would count as a leak holds a rarest term; the lists of these terms are shifted
 by their position in the item and give the possible alignments of item and document. The lists of all
 other terms of the item are then intersected with those alignments on exact (document, position), and
 the longest unbroken run is the exact phrase match. A frequent term is only ever looked up, never used
 to propose, so its long list meets no other long list.
+
+Proximity matches come from the same lists: around an alignment proposed by the rarest term of a short
+window, the terms of the item that stand near their expected place are put together to stretches.
 """
 
 from __future__ import annotations
@@ -25,8 +30,13 @@ from lodeatlas.plans.session import cut, ship_package
 
 #: Words in a row that count as a leak.
 RUN_WORDS = 12
-#: Items, and characters of items, whose terms are held by one pass over the corpus; more take more passes.
-ITEMS_PER_PASS, CHARACTERS_PER_PASS = 20_000, 20_000_000
+#: Bits of the filter for each term of the items, and bits at most (128 MB).
+BITS_PER_TERM, MOST_BITS = 16, 1 << 30
+#: Words whose hashes a task remembers.
+REMEMBERED = 500_000
+#: Proximity: terms of the windows whose rarest term proposes, places that a term may have moved, terms in a
+#: row that may be missing, and the share of a stretch's terms that must be there.
+NEAR_TERMS, NEAR_PLACES, NEAR_GAP, NEAR_SHARE = 4, 4, 4, 0.6
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -36,7 +46,9 @@ def _word_hashes(tokens: list[str], memo: dict[str, int]) -> np.ndarray:
     for w in tokens:
         h = memo.get(w)
         if h is None:
-            h = memo[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+            h = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+            if len(memo) < REMEMBERED:
+                memo[w] = h
         out.append(h)
     return np.array(out, np.uint64)
 
@@ -63,40 +75,56 @@ def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cat(ids, np.int64)), pa.array(cat(pos, np.int32)), pa.array(cat(terms, np.int64))], names=["item_id", "pos", "term"])
 
 
-def _postings(vocabulary, known_words):
+def term_filter(terms: DataFrame) -> np.ndarray:
+    """A Bloom filter with two places for each term: 64-bit words of 2^k bits.
+
+    Its words are put together by the executors; at most MOST_BITS / 64 of them are gathered. More
+    terms than fit make it let more other terms pass, which costs postings but no result.
+    """
+    n = terms.select("term").distinct().count()
+    bits = 1 << 10
+    while bits < min(BITS_PER_TERM * n, MOST_BITS):
+        bits *= 2
+    places = F.array(F.col("term").bitwiseAND(F.lit(bits - 1)), F.shiftright("term", 31).bitwiseAND(F.lit(bits - 1)))
+    each = terms.select(F.explode(places).alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, CAST(p & 63 AS INT))").alias("bit"))
+    words = each.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(bits >> 6, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def _passes(held: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    mask = np.int64((len(held) << 6) - 1)
+    out = np.ones(len(terms), bool)
+    for p in (terms & mask, (terms >> np.int64(31)) & mask):
+        out &= ((held[p >> np.int64(6)] >> (p & np.int64(63)).astype(np.uint64)) & np.uint64(1)) == 1
+    return out
+
+
+def _postings(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, known = vocabulary.value, known_words.value
+        bits = held.value
+        memo: dict[str, int] = {}
         for batch in batches:
-            ids, pos, hit = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tokens = words(text)
-                if len(tokens) < 2:
-                    continue
-                # A word that no item has gets 0: no pair with it can be a term.
-                h = np.fromiter((known.get(w, 0) for w in tokens), np.uint64, len(tokens))
-                at = np.flatnonzero((h[:-1] != 0) & (h[1:] != 0))
-                if not len(at):
-                    continue
-                pairs = pair_terms(h)[at]
-                slot = np.minimum(np.searchsorted(terms, pairs), len(terms) - 1)
-                ok = terms[slot] == pairs
-                at, pairs = at[ok], pairs[ok]
-                if len(at):
-                    ids.append(np.full(len(at), doc, np.int64))
-                    pos.append(at.astype(np.int32))
-                    hit.append(pairs)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hit)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(pos))], names=["term", "doc_id", "pos"])
+            lists = [words(t) for t in batch.column(1).to_pylist()]
+            sizes = np.array([len(x) for x in lists], np.int64)
+            hashes = _word_hashes([w for x in lists for w in x], memo)
+            starts = np.cumsum(sizes) - sizes
+            row = np.repeat(np.arange(len(lists)), sizes)
+            pos = np.arange(len(hashes)) - starts[row]
+            terms = pair_terms(hashes)
+            # The last word of a text makes no pair with the first of the next one.
+            at = np.flatnonzero((row[:-1] == row[1:]) & _passes(bits, terms)) if len(terms) else np.zeros(0, np.int64)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(terms[at]), batch.column(0).take(pa.array(row[at])), pa.array(pos[at].astype(np.int32))], names=["term", "doc_id", "pos"])
 
     return run
 
 
-def build_index(documents: DataFrame, vocabulary: np.ndarray, known: dict[str, int]) -> DataFrame:
-    """(term, doc_id, pos): the postings of the terms of ``vocabulary`` (sorted) in all documents."""
-    sc = documents.sparkSession.sparkContext
-    held = sc.broadcast(vocabulary), sc.broadcast(known)
+def build_index(documents: DataFrame, held: np.ndarray) -> DataFrame:
+    """(term, doc_id, pos): the postings of the terms that a filter lets pass, in all documents."""
     rows = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint"), "text")
-    return cut(rows.mapInArrow(_postings(*held), "term bigint, doc_id bigint, pos int"))
+    return cut(rows.mapInArrow(_postings(documents.sparkSession.sparkContext.broadcast(held)), "term bigint, doc_id bigint, pos int"))
 
 
 def _anchors(run: int):
@@ -112,49 +140,61 @@ def _anchors(run: int):
     return pick
 
 
-def _alignments(items: DataFrame, index: DataFrame, run: int) -> DataFrame:
-    """(item_id, doc_id, shift, first, n): unbroken runs of at least ``run`` terms that lie alike in both."""
-    spark = items.sparkSession
+def _proposals(items: DataFrame, index: DataFrame, window: int) -> DataFrame:
+    """(item_id, doc_id, shift): where the rarest term of a window of the item stands in a document."""
     seen = index.groupBy("term").agg(F.count("*").alias("n"))
     weighed = items.join(seen, "term", "left").select("item_id", "pos", "term", F.coalesce("n", F.lit(0)).alias("n"))
-    anchors = weighed.groupBy("item_id").applyInPandas(_anchors(run), "item_id bigint, pos int, term bigint")
-    p = index.withColumnRenamed("pos", "at")
-    proposed = anchors.join(p, "term").select("item_id", "doc_id", (F.col("at") - F.col("pos")).alias("shift")).distinct()
-    wanted = cut(proposed).join(items, "item_id").select("item_id", "doc_id", "shift", "pos", "term", (F.col("pos") + F.col("shift")).alias("at"))
-    hits = wanted.join(p, ["term", "doc_id", "at"], "left_semi")
+    anchors = weighed.groupBy("item_id").applyInPandas(_anchors(window), "item_id bigint, pos int, term bigint")
+    return anchors.join(index.withColumnRenamed("pos", "at"), "term").select("item_id", "doc_id", (F.col("at") - F.col("pos")).alias("shift")).distinct()
+
+
+def _alignments(items: DataFrame, index: DataFrame, run: int) -> DataFrame:
+    """(item_id, doc_id, shift, first, n): unbroken runs of at least ``run`` terms that lie alike in both."""
+    proposed = cut(_proposals(items, index, run))
+    wanted = proposed.join(items, "item_id").select("item_id", "doc_id", "shift", "pos", "term", (F.col("pos") + F.col("shift")).alias("at"))
+    hits = wanted.join(index.withColumnRenamed("pos", "at"), ["term", "doc_id", "at"], "left_semi")
     island = F.col("pos") - F.row_number().over(Window.partitionBy("item_id", "doc_id", "shift").orderBy("pos"))
     runs = hits.select("item_id", "doc_id", "shift", "pos", island.alias("island"))
     return runs.groupBy("item_id", "doc_id", "shift", "island").agg(F.min("pos").alias("first"), F.count("*").alias("n")).where(F.col("n") >= run).drop("island")
 
 
+def _indexed(documents: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    ship_package(documents.sparkSession)
+    listed = items.where("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
+    terms = cut(listed.mapInArrow(_item_terms, "item_id bigint, pos int, term bigint").distinct())
+    return terms, build_index(documents, term_filter(terms))
+
+
 def leaks(documents: DataFrame, items: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """(item_id, doc_id, item_from, doc_from, n_words): every unbroken run of at least ``run_words`` words.
 
     ``item_from`` and ``doc_from`` count words from 0. Letter case, punctuation, markup, entities,
     invisible characters and white space do not matter. Null and empty texts and items shorter than
     the run give no rows; ids that are null are left out; repeated rows of an id add nothing. The
-    items go through the corpus in passes of a bounded number of items and characters, so what is
-    broadcast stays bounded; one item is never split.
+    corpus is read once, whatever the number of items.
     """
-    spark = documents.sparkSession
-    ship_package(spark)
-    listed = items.where("item_id is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "text")
-    terms = cut(listed.mapInArrow(_item_terms, "item_id bigint, pos int, term bigint").distinct())
-    held = listed.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    passes = max(1, -(-held[0] // ITEMS_PER_PASS), -(-held[1] // CHARACTERS_PER_PASS))
-    found = None
-    for k in range(passes):
-        block = F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k
-        memo: dict[str, int] = {}
-        texts = [r.text for r in listed.where(block).select("text").toLocalIterator()]
-        vocabulary = np.unique(np.concatenate([np.zeros(0, np.int64), *(pair_terms(_word_hashes(words(t), memo)) for t in texts)]))
-        if not len(vocabulary):
-            continue
-        index = build_index(documents, vocabulary, memo)
-        got = _alignments(terms.where(block), index, run_words - 1)
-        found = got if found is None else found.unionByName(got)
-    schema = "item_id bigint, doc_id bigint, shift int, first int, n bigint"
-    found = spark.createDataFrame([], schema) if found is None else found
+    found = _alignments(*_indexed(documents, items), run_words - 1)
     return found.select(
         "item_id", "doc_id", F.col("first").cast("bigint").alias("item_from"), (F.col("first") + F.col("shift")).cast("bigint").alias("doc_from"), (F.col("n") + 1).cast("bigint").alias("n_words")
     ).distinct()
+
+
+def near_leaks(documents: DataFrame, items: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """(item_id, doc_id, item_from, item_to, n_terms): stretches of an item that stand in a document with changes.
+
+    A stretch has at least ``run_words`` words of the item. Of its pairs of neighbouring words at least
+    NEAR_SHARE stand in the document at most NEAR_PLACES from where an alignment expects them, with at
+    most NEAR_GAP missing in a row. Exact passages are stretches too. Null and empty texts give no rows.
+    """
+    terms, index = _indexed(documents, items)
+    proposed = cut(_proposals(terms, index, NEAR_TERMS))
+    moves = F.explode(F.sequence(F.lit(-NEAR_PLACES), F.lit(NEAR_PLACES))).alias("move")
+    wanted = proposed.join(terms, "item_id").select("item_id", "doc_id", "shift", "pos", "term", moves).withColumn("at", F.col("pos") + F.col("shift") + F.col("move"))
+    there = wanted.join(index.withColumnRenamed("pos", "at"), ["term", "doc_id", "at"], "left_semi").select("item_id", "doc_id", "shift", "pos").distinct()
+    line = Window.partitionBy("item_id", "doc_id", "shift").orderBy("pos")
+    starts = there.withColumn("new", (F.col("pos") - F.lag("pos").over(line) > NEAR_GAP + 1).cast("int"))
+    stretch = starts.withColumn("stretch", F.sum(F.coalesce("new", F.lit(0))).over(line)).groupBy("item_id", "doc_id", "shift", "stretch").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.count("*").alias("n"))
+    long = stretch.where((F.col("b") - F.col("a") + 2 >= run_words) & (F.col("n") >= NEAR_SHARE * (F.col("b") - F.col("a") + 1)))
+    # Alignments next to each other see the same stretch; the fullest one stands for it.
+    best = long.groupBy("item_id", "doc_id", "a").agg(F.max_by(F.struct("b", "n"), F.struct("n", "b")).alias("x"))
+    return best.select("item_id", "doc_id", F.col("a").cast("bigint").alias("item_from"), (F.col("x.b") + 1).cast("bigint").alias("item_to"), F.col("x.n").cast("bigint").alias("n_terms"))

@@ -60,6 +60,11 @@ def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir)
 
 
+def p7_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that occur with words changed, left out or put in."""
+    return leaks.near_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
 
@@ -76,7 +81,7 @@ def p9_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.stuffing(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_beliefs, p4_found, p4_collapsed, p6_found, p6_unmatched, p7_found, p7_passages, p8_mixture, p8_shares, p9_found, p9_signals)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_beliefs, p4_found, p4_collapsed, p6_found, p6_unmatched, p7_found, p7_passages, p7_nearby, p8_mixture, p8_shares, p9_found, p9_signals)}
 
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
@@ -92,6 +97,9 @@ firsts AS (SELECT *, min(row_id) OVER (PARTITION BY provider, bag) AS first_row_
 _PLAIN = """regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(replace(text, '&nbsp;', ' '),
   '</?(b|i|em|strong|u)>', '', 'g'), '</?[A-Za-z][^<>]*>', ' ', 'g'), '[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]', '', 'g')), '[\\p{L}\\p{N}]+')"""
 
+#: Places are counted without the targets of links.
+_NO_TARGETS = _PLAIN.replace("replace(text, '&nbsp;', ' ')", "regexp_replace(replace(text, '&nbsp;', ' '), '\\]\\([^()\\s]*\\)', ' ', 'g')")
+
 ORACLES: dict[str, str] = {
     "p4_found": _BAGS + "SELECT first_row_id, row_id FROM firsts WHERE row_id <> first_row_id",
     "p4_collapsed": _BAGS + "SELECT row_id, provider, model_id, display_name, n_copies FROM firsts WHERE row_id = first_row_id",
@@ -100,5 +108,13 @@ WITH i AS (SELECT item_id, {_PLAIN} AS w FROM eval_items), d AS (SELECT doc_id,
 ig AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM i),
 dg AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM d)
 SELECT DISTINCT item_id, doc_id FROM ig JOIN dg USING (g)
+""",
+    "p7_passages": f"""
+WITH i AS (SELECT item_id, {_NO_TARGETS} AS w FROM eval_items), d AS (SELECT doc_id, {_NO_TARGETS} AS w FROM documents WHERE text IS NOT NULL),
+ig AS (SELECT item_id, unnest(range(1, len(w) - 10)) AS ik, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM i),
+dg AS (SELECT doc_id, unnest(range(1, len(w) - 10)) AS dk, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM d),
+hit AS (SELECT DISTINCT item_id, doc_id, ik, dk FROM ig JOIN dg USING (g)),
+island AS (SELECT *, dk - ik AS shift, ik - row_number() OVER (PARTITION BY item_id, doc_id, dk - ik ORDER BY ik) AS part FROM hit)
+SELECT item_id, doc_id, min(ik) - 1 AS item_from, min(dk) - 1 AS doc_from, count(*) + 11 AS n_words FROM island GROUP BY item_id, doc_id, shift, part
 """,
 }

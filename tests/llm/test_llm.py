@@ -210,13 +210,37 @@ def test_leaks_brute_force(spark, rows):
     assert rows(leaks.leaks(df.limit(0), qs)) == [] and rows(leaks.leaks(df, qs.limit(0))) == []
 
 
-def test_leaks_in_several_passes(spark, monkeypatch):
-    text = lambda k: " ".join(f"t{k}x{i}" for i in range(20))
+def test_a_filter_that_lets_everything_pass(spark, rows, monkeypatch):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(20))
     items = spark.createDataFrame([(k, text(k)) for k in range(9)], "item_id long, text string")
-    docs = spark.createDataFrame([(k, "before " + text(k) + " after") for k in range(9)], "doc_id long, text string")
-    monkeypatch.setattr(leaks, "ITEMS_PER_PASS", 2)
-    got = leaks.leaks(docs, items).collect()
-    assert sorted((r.item_id, r.doc_id, r.item_from, r.doc_from, r.n_words) for r in got) == [(k, k, 0, 1, 20) for k in range(9)]
+    docs = spark.createDataFrame([(k, "before " + text(k) + " after") for k in range(9)] + [(50, None), (51, ""), (52, "one")], "doc_id long, text string")
+    want = [(k, k, 0, 1, 20) for k in range(9)]
+    assert rows(leaks.leaks(docs, items)) == want
+    monkeypatch.setattr(leaks, "MOST_BITS", 1)
+    monkeypatch.setattr(leaks, "_passes", lambda held, terms: np.ones(len(terms), bool))
+    assert rows(leaks.leaks(docs, items)) == want
+
+
+def test_filter_keeps_all_terms(spark):
+    terms = spark.range(3000).select(F.abs(F.xxhash64("id")).alias("term"))
+    held = leaks.term_filter(terms)
+    assert leaks._passes(held, np.array([r.term for r in terms.collect()])).all()
+    others = np.array([r.term for r in spark.range(5000, 9000).select(F.abs(F.xxhash64("id")).alias("term")).collect()])
+    assert leaks._passes(held, others).mean() < 0.1
+
+
+def test_near_leaks(spark, rows):
+    w = [f"word{i}" for i in range(40)]
+    changed = " ".join(x if i % 6 != 5 else "other" for i, x in enumerate(w))
+    inserted = " ".join(x + (" so to say" if i % 15 == 14 else "") for i, x in enumerate(w))
+    docs = [(1, changed), (2, inserted), (3, " ".join(reversed(w))), (4, " ".join(w[:9])), (5, "lead in " + " ".join(w)), (6, None), (7, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(9, " ".join(w)), (10, ""), (11, None)], "item_id long, text string")
+    stretches = leaks.near_leaks(df, items).collect()
+    got = {r.doc_id: r for r in stretches}
+    assert set(got) == {1, 2, 5} and not rows(leaks.leaks(df.where("doc_id = 1"), items))
+    assert got[1].item_to - got[1].item_from >= 35 and min(r.item_from for r in stretches if r.doc_id == 2) == 0 and (got[5].item_from, got[5].item_to, got[5].n_terms) == (0, 39, 39)
+    assert rows(leaks.near_leaks(df.limit(0), items)) == [] == rows(leaks.near_leaks(df, items.limit(0)))
 
 
 # --- 9: stuffed pages ---------------------------------------------------------------------------------------
