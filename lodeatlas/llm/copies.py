@@ -17,9 +17,7 @@ from pyspark.sql import types as T
 
 from lodeatlas.llm.words import WORD
 from lodeatlas.plans.session import cut, ship_package
-
-#: Parts into which the rows of one class are spread when its first row is looked up.
-SALTS = 16
+from lodeatlas.plans.skew import salted_join
 
 
 @F.pandas_udf(T.StringType())
@@ -50,19 +48,11 @@ def copy_classes(rows: DataFrame, key: str, within: Sequence[str], texts: Sequen
     cheap = cut(spelled.withColumns({"length": F.length(F.regexp_replace("spelled", " ", "")), "histogram": F.xxhash64(letters)}))
     invariant = [*names, "length", "histogram"]
     several = cheap.groupBy(*invariant).agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    same = F.lit(True)
-    for c in invariant:
-        same = same & F.col(f"c.{c}").eqNullSafe(F.col(f"s.{c}"))
-    kept = cheap.alias("c").join(several.alias("s"), same, "left_semi")
+    kept = salted_join(cheap, several, invariant, ["key"], "left_semi")
     costly = F.sha2(F.array_join(F.array_sort(F.split("spelled", " ")), " "), 256)
-    salted = cut(kept.select("key", *names, costly.alias("bag")).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS))))
-    classes = salted.groupBy(*names, "bag").agg(F.min("key").alias("first"), F.count("*").alias("n_copies")).where("n_copies > 1")
-    spread = classes.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(SALTS)])))
-    same = (F.col("r.bag") == F.col("c.bag")) & (F.col("r.salt") == F.col("c.salt"))
-    for n in names:
-        same = same & F.col(f"r.{n}").eqNullSafe(F.col(f"c.{n}"))
-    # Not broadcast: the planner takes the salted classes for smaller than they are.
-    return salted.alias("r").join(spread.alias("c").hint("merge"), same).select(F.col("r.key").alias("key"), F.col("c.first").alias("first"), F.col("c.n_copies").alias("n_copies"))
+    bagged = cut(kept.select("key", *names, costly.alias("bag")))
+    classes = bagged.groupBy(*names, "bag").agg(F.min("key").alias("first"), F.count("*").alias("n_copies")).where("n_copies > 1")
+    return salted_join(bagged, classes, [*names, "bag"], ["key"]).select("key", "first", "n_copies")
 
 
 def collapse(rows: DataFrame, key: str, within: Sequence[str], texts: Sequence[str]) -> DataFrame:

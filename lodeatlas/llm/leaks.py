@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from lodeatlas.llm.words import words
 from lodeatlas.plans.session import cut, ship_package
+from lodeatlas.plans.skew import salted_join
 
 #: Words in a row that count as a leak.
 RUN_WORDS = 12
@@ -145,7 +146,8 @@ def _proposals(items: DataFrame, index: DataFrame, window: int) -> DataFrame:
     seen = index.groupBy("term").agg(F.count("*").alias("n"))
     weighed = items.join(seen, "term", "left").select("item_id", "pos", "term", F.coalesce("n", F.lit(0)).alias("n"))
     anchors = weighed.groupBy("item_id").applyInPandas(_anchors(window), "item_id bigint, pos int, term bigint")
-    return anchors.join(index.withColumnRenamed("pos", "at"), "term").select("item_id", "doc_id", (F.col("at") - F.col("pos")).alias("shift")).distinct()
+    # A passage of boilerplate may stand in a third of the documents, so the postings of its terms are spread.
+    return salted_join(index.withColumnRenamed("pos", "at"), anchors, ["term"], ["doc_id"]).select("item_id", "doc_id", (F.col("at") - F.col("pos")).alias("shift")).distinct()
 
 
 def _alignments(items: DataFrame, index: DataFrame, run: int) -> DataFrame:
