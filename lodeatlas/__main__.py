@@ -79,7 +79,7 @@ def main(arguments: list[str], spark: SparkSession, out=sys.stdout, err=sys.stde
     a = _parser().parse_intermixed_args(arguments)
     try:
         parse_output_format(a.output)
-        store = CatalogStore(spark, a.store or default_store_path())
+        store = CatalogStore(spark, a.store or default_store_path(spark))
         if a.command == "sync":
             rows = normalize(fetch_models(spark, a.url, a.provider)).drop("attempted", "reason", "provider_name").cache()
             store.upsert(rows, datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"))

@@ -43,8 +43,8 @@ def curated(spark: SparkSession, strict: bool = True) -> DataFrame:
 def attach(models: DataFrame, lineage: DataFrame, payload: str = "parents") -> DataFrame:
     """``models`` with the record of its identifier, in lower case, else of what follows its last slash.
 
-    Both ways are looked up in one join: each row asks for its one or two keys and keeps the better
-    answer, so a catalog of any size is shuffled once.
+    The table of records is small beside the catalog, so both lookups are joins in which the planner
+    may send it to the rows; only rows without a record of their own ask for their tail.
     """
     low = F.lower("model_id")
     # Of several records of a child the smallest counts.
@@ -63,21 +63,28 @@ def edges(lineage: DataFrame) -> DataFrame:
     return rows.select("child_key", key("p", F.lit(None).cast("array<string>")).alias("parent_key"), F.col("p.kind").alias("kind"))
 
 
+#: Steps that go into one plan.
+STEPS_AT_ONCE = 4
+
+
 def closure(starts: DataFrame, steps: DataFrame) -> DataFrame:
     """(start, node, depth): everything reached from ``starts`` (start) along ``steps`` (src, dst), nearest first.
 
-    Semi-naive rounds: only what was newly reached goes on, so circles end; the start itself is no result.
+    Semi-naive: only what was newly or more shortly reached goes on, so circles end, and several steps
+    go into one plan. The start itself is no result.
     """
-    front = cut(starts.select("start", F.col("start").alias("node")).distinct())
-    seen, depth = front, 0
-    out = front.select("start", "node", F.lit(0).alias("depth")).limit(0)
-    while not front.isEmpty():
-        depth += 1
-        reached = front.join(steps, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        front = cut(reached.join(seen, ["start", "node"], "left_anti"))
-        seen = cut(seen.union(front))
-        out = out.union(front.select("start", "node", F.lit(depth).alias("depth")))
-    return out
+    state = cut(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct())
+    fresh = state
+    while not fresh.isEmpty():
+        wave, reached = fresh, None
+        for _ in range(STEPS_AT_ONCE):
+            wave = wave.join(steps, F.col("node") == F.col("src")).groupBy("start", F.col("dst").alias("node")).agg((F.min("depth") + 1).alias("depth"))
+            reached = wave if reached is None else reached.union(wave)
+        both = state.withColumn("known", F.col("depth")).unionByName(reached.withColumn("known", F.lit(None).cast("int")))
+        merged = cut(both.groupBy("start", "node").agg(F.min("depth").alias("depth"), F.min("known").alias("known")))
+        fresh = merged.where("known is null or depth < known").select("start", "node", "depth")
+        state = merged.select("start", "node", "depth")
+    return state.where("start <> node or start is null")
 
 
 def ancestors(starts: DataFrame, lineage_edges: DataFrame) -> DataFrame:

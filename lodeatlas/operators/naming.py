@@ -130,9 +130,18 @@ def constants(normalized: DataFrame) -> DataFrame:
     rows = cut(keyed.groupBy("provider", "model_id").agg(F.min("n").alias("n")).select("provider", "model_id", "n.name", "n.segment").where("name <> ''"))
     per_segment = rows.groupBy("name", "segment").agg(F.count("*").alias("n"))
     groups = per_segment.groupBy("name").agg(F.sum("n").alias("n_rows"), (F.min(F.col("segment") != "") & (F.max("n") == 1)).alias("told_apart"))
-    order = ["model_id", "provider"]
-    numbered = prefix_sums(rows, ["name"], order, F.lit(1), "before").join(groups, "name")
-    first = F.when(F.col("n_rows") == 1, F.col("name")).when(F.col("told_apart"), F.concat_ws("__", "name", "segment")).otherwise(F.concat(F.col("name"), F.lit("_"), F.col("before") + 1))
-    named_once = cut(numbered.select("provider", "model_id", first.alias("name")))
-    again = prefix_sums(named_once, ["name"], order, F.lit(1), "before").join(named_once.groupBy("name").agg(F.count("*").alias("n_rows")), "name")
-    return again.select("provider", "model_id", F.when(F.col("n_rows") == 1, F.col("name")).otherwise(F.concat(F.col("name"), F.lit("_"), F.col("before") + 1)).alias("name"))
+    counted = rows.join(groups, "name")
+    segmented = F.when(F.col("told_apart"), F.concat_ws("__", "name", "segment")).otherwise(F.col("name"))
+    once = cut(counted.select("provider", "model_id", F.when(F.col("n_rows") == 1, F.col("name")).otherwise(segmented).alias("name"), ((F.col("n_rows") > 1) & ~F.col("told_apart")).alias("clash")))
+    named_once = _numbered(once).select("provider", "model_id", "name")
+    again = cut(named_once.join(named_once.groupBy("name").agg(F.count("*").alias("n_rows")), "name").withColumn("clash", F.col("n_rows") > 1))
+    return _numbered(again).select("provider", "model_id", "name")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows whose names clash get a number in the order of their identifiers; only these are sorted."""
+    clashing = rows.where("clash")
+    if clashing.isEmpty():
+        return rows
+    sums = prefix_sums(clashing, ["name"], ["model_id", "provider"], F.lit(1), "before")
+    return rows.where("not clash").unionByName(sums.withColumn("name", F.concat(F.col("name"), F.lit("_"), F.col("before") + 1)).drop("before"))

@@ -220,7 +220,7 @@ def test_merge(spark, rows):
 
 def test_store(spark, tmp_path):
     store = merge.CatalogStore(spark, str(tmp_path / "store"))
-    assert store.read() is None and merge.default_store_path().endswith("lodeatlas/models")
+    assert store.read() is None and merge.default_store_path(spark).endswith("lodeatlas/models")
     schema = "model_id string, provider string, v string"
     store.upsert(spark.createDataFrame([("a", "p", "1"), ("b", "p", "1")], schema), "t1")
     store.upsert(spark.createDataFrame([("a", "p", "0"), ("c", "p", "2")], schema), "t0")
@@ -241,6 +241,25 @@ def test_streaming(spark, tmp_path):
     assert len(by) == 7 and by[("zhost", "azure-gpt-4o-mini")].last_synced == "t2" and by[("rehost", "qwen3-max")].last_synced == "t1"
 
 
+def test_store_rewrites_only_what_a_batch_touches(spark, rows, tmp_path):
+    store = merge.CatalogStore(spark, str(tmp_path / "s"), buckets=8)
+    batch = lambda ids, name: spark.createDataFrame([(f"m{i}", "p", name) for i in ids], "model_id string, provider string, display_name string")
+    store.upsert(batch(range(40), "old"), "t1")
+    before = store.newest()
+    store.upsert(batch([3, 3, 50], "new"), "t2")
+    after = store.newest()
+    changed = {b for b in after if after[b] != before.get(b)}
+    assert len(before) == 8 and 1 <= len(changed) <= 2
+    want = sorted((f"m{i}", "new" if i == 3 else "old", "t2" if i == 3 else "t1") for i in range(40)) + [("m50", "new", "t2")]
+    assert rows(store.read().select("model_id", "display_name", "last_synced")) == sorted(want)
+    store.upsert(batch([], "none"), "t3")
+    store.vacuum()
+    assert store.newest() == after and store.read().count() == 41 and len(list((tmp_path / "s").glob("*/bucket=*"))) == 8
+    more = batch([4], "x").withColumn("extra", F.lit(1))
+    store.upsert(more, "t4")
+    assert {r.extra for r in store.read().collect()} == {None, 1}
+
+
 def test_migrate(spark):
     old = spark.createDataFrame([("claude-opus-4-20250514", "anthropic", "claude-opus", ""), ("gemini-pro", "google", "gemini-pro", "2024-06-01"), ("gemini-pro", "google", "gemini-pro", "2024-06-01")], "model_id string, provider string, family string, release_date string")
     by = {r.model_id: r for r in migrate.migrate(old, 0).collect()}
