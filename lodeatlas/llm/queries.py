@@ -73,6 +73,22 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each source whether its documents keep to repeats and budget, fill the budget, and add up to what the shares say."""
+    documents, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    chosen, shares = mixing.mix(documents, targets)
+    size = F.col("n_tokens") * F.col("repeats")
+    used = chosen.join(targets, "source").groupBy("source").agg(
+        F.sum(size).alias("tokens"), F.max("n_tokens").alias("largest"), F.bool_and(F.col("repeats") <= F.col("max_repeats")).alias("kept"), (F.count("*") == F.count_distinct("doc_id")).alias("once")
+    )
+    rows = shares.join(used, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    filled = (F.col("tokens") + F.col("short_tokens") + F.coalesce("largest", F.lit(1)) * F.col("max_repeats") > F.col("budget_tokens")) | (F.col("budget_tokens") == 0)
+    return rows.select(
+        "source", "target_share", F.coalesce("kept", F.lit(True)).alias("repeats_kept"), F.coalesce("once", F.lit(True)).alias("each_once"), (F.col("tokens") <= F.col("budget_tokens")).alias("budget_kept"),
+        filled.alias("budget_filled"), (F.col("tokens") == F.col("mixed_tokens")).alias("adds_up"), (F.col("available_tokens") > 0).alias("has_documents"),
+    )
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.stuffed_pages(table(spark, sf_dir, "documents"))
 
@@ -81,7 +97,7 @@ def p9_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.stuffing(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_beliefs, p4_found, p4_collapsed, p6_found, p6_unmatched, p7_found, p7_passages, p7_nearby, p8_mixture, p8_shares, p9_found, p9_signals)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_beliefs, p4_found, p4_collapsed, p6_found, p6_unmatched, p7_found, p7_passages, p7_nearby, p8_mixture, p8_shares, p8_invariants, p9_found, p9_signals)}
 
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
@@ -97,10 +113,16 @@ firsts AS (SELECT *, min(row_id) OVER (PARTITION BY provider, bag) AS first_row_
 _PLAIN = """regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(replace(text, '&nbsp;', ' '),
   '</?(b|i|em|strong|u)>', '', 'g'), '</?[A-Za-z][^<>]*>', ' ', 'g'), '[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]', '', 'g')), '[\\p{L}\\p{N}]+')"""
 
+_INVARIANTS = """
+SELECT t.source, target_share, true AS repeats_kept, true AS each_once, true AS budget_kept, true AS budget_filled, true AS adds_up,
+  EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND d.doc_id IS NOT NULL AND d.text <> '') AS has_documents
+FROM mix_targets t WHERE t.source IS NOT NULL"""
+
 #: Places are counted without the targets of links.
 _NO_TARGETS = _PLAIN.replace("replace(text, '&nbsp;', ' ')", "regexp_replace(replace(text, '&nbsp;', ' '), '\\]\\([^()\\s]*\\)', ' ', 'g')")
 
 ORACLES: dict[str, str] = {
+    "p8_invariants": _INVARIANTS,
     "p4_found": _BAGS + "SELECT first_row_id, row_id FROM firsts WHERE row_id <> first_row_id",
     "p4_collapsed": _BAGS + "SELECT row_id, provider, model_id, display_name, n_copies FROM firsts WHERE row_id = first_row_id",
     "p7_found": f"""
