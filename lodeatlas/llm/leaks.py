@@ -10,8 +10,8 @@ other terms of the item are then intersected with those alignments on exact (doc
 the longest unbroken run is the exact phrase match. A frequent term is only ever looked up, never used
 to propose, so its long list meets no other long list.
 
-Proximity matches come from the same lists: around an alignment proposed by the rarest term of a short
-window, the terms of the item that stand near their expected place are put together to stretches.
+Proximity matches come from the same lists: around an alignment proposed by the rarest term of a window
+that the corpus has at all, the terms of the item that stand near their expected place are put together to stretches.
 """
 
 from __future__ import annotations
@@ -35,9 +35,9 @@ RUN_WORDS = 12
 BITS_PER_TERM, MOST_BITS = 16, 1 << 30
 #: Words whose hashes a task remembers.
 REMEMBERED = 500_000
-#: Proximity: terms of the windows whose rarest term proposes, places that a term may have moved, terms in a
-#: row that may be missing, and the share of a stretch's terms that must be there.
-NEAR_TERMS, NEAR_PLACES, NEAR_GAP, NEAR_SHARE = 4, 4, 4, 0.6
+#: Proximity: places that a term may have moved, terms in a row that may be missing, and the share of a
+#: stretch's terms that must be there.
+NEAR_PLACES, NEAR_GAP, NEAR_SHARE = 4, 4, 0.6
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -141,10 +141,13 @@ def _anchors(run: int):
     return pick
 
 
-def _proposals(items: DataFrame, index: DataFrame, window: int) -> DataFrame:
-    """(item_id, doc_id, shift): where the rarest term of a window of the item stands in a document."""
+def _proposals(items: DataFrame, index: DataFrame, window: int, absent: int = 0) -> DataFrame:
+    """(item_id, doc_id, shift): where the rarest term of a window of the item stands in a document.
+
+    A term that no document has counts as standing in ``absent`` places.
+    """
     seen = index.groupBy("term").agg(F.count("*").alias("n"))
-    weighed = items.join(seen, "term", "left").select("item_id", "pos", "term", F.coalesce("n", F.lit(0)).alias("n"))
+    weighed = items.join(seen, "term", "left").select("item_id", "pos", "term", F.coalesce("n", F.lit(absent)).cast("bigint").alias("n"))
     anchors = weighed.groupBy("item_id").applyInPandas(_anchors(window), "item_id bigint, pos int, term bigint")
     # A passage of boilerplate may stand in a third of the documents, so the postings of its terms are spread.
     return salted_join(index.withColumnRenamed("pos", "at"), anchors, ["term"], ["doc_id"]).select("item_id", "doc_id", (F.col("at") - F.col("pos")).alias("shift")).distinct()
@@ -189,10 +192,10 @@ def near_leaks(documents: DataFrame, items: DataFrame, run_words: int = RUN_WORD
     most NEAR_GAP missing in a row. Exact passages are stretches too. Null and empty texts give no rows.
     """
     terms, index = _indexed(documents, items)
-    proposed = cut(_proposals(terms, index, NEAR_TERMS))
-    moves = F.explode(F.sequence(F.lit(-NEAR_PLACES), F.lit(NEAR_PLACES))).alias("move")
-    wanted = proposed.join(terms, "item_id").select("item_id", "doc_id", "shift", "pos", "term", moves).withColumn("at", F.col("pos") + F.col("shift") + F.col("move"))
-    there = wanted.join(index.withColumnRenamed("pos", "at"), ["term", "doc_id", "at"], "left_semi").select("item_id", "doc_id", "shift", "pos").distinct()
+    proposed = cut(_proposals(terms, index, run_words - 1, absent=2**62))
+    wanted = proposed.join(terms, "item_id").select("item_id", "doc_id", "shift", "pos", "term")
+    moved = F.abs(F.col("at") - F.col("pos") - F.col("shift")) <= NEAR_PLACES
+    there = wanted.join(index.withColumnRenamed("pos", "at"), ["term", "doc_id"]).where(moved).select("item_id", "doc_id", "shift", "pos").distinct()
     line = Window.partitionBy("item_id", "doc_id", "shift").orderBy("pos")
     starts = there.withColumn("new", (F.col("pos") - F.lag("pos").over(line) > NEAR_GAP + 1).cast("int"))
     stretch = starts.withColumn("stretch", F.sum(F.coalesce("new", F.lit(0))).over(line)).groupBy("item_id", "doc_id", "shift", "stretch").agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.count("*").alias("n"))
