@@ -303,12 +303,10 @@ def unify(records: DataFrame) -> DataFrame:
     lookup = named.select(F.col("feed").alias("lf"), F.col("file_no").alias("ln"), F.col("parent").alias("lq"), F.col("path").alias("lp"), unified.alias("unified"))
     same = F.col("feed").eqNullSafe(F.col("lf")) & F.col("file_no").eqNullSafe(F.col("ln")) & (F.col("parent") == F.col("lq")) & (F.col("path") == F.col("lp"))
     named = fields.join(cut(lookup), same)
-    # The number of fields of one record is bounded by its line, so this list is too.
-    entries = F.array_sort(F.collect_list(F.struct("unified", "text")))
-    return (
-        named.groupBy("feed", "file_no", "line_no", "provider", "id", "unified").agg(F.min("text").alias("text"))
-        .groupBy("feed", "file_no", "line_no", "provider", "id").agg(F.map_from_entries(entries).alias("fields"))
-    )
+    # The number of fields of one record is bounded by its line, so this list is too. A line that is there twice counts once.
+    entries = named.groupBy("feed", "file_no", "line_no", "provider", "id").agg(F.array_sort(F.collect_set(F.struct("unified", "text"))).alias("e"))
+    first = F.filter("e", lambda x, i: F.coalesce(F.get("e", i - 1)["unified"] != x["unified"], F.lit(True)))
+    return entries.select("feed", "file_no", "line_no", "provider", "id", F.map_from_entries(first).alias("fields"))
 
 
 # What is written where a boolean is meant.
