@@ -149,6 +149,14 @@ def _near(key: np.ndarray, gap: int) -> np.ndarray:
     return out
 
 
+def _again(key: np.ndarray, gap: int) -> np.ndarray:
+    """Whether the same key stands within ``gap`` before each place."""
+    order = np.argsort(key, kind="stable")
+    out = np.zeros(len(key), bool)
+    out[order[1:][(key[order][1:] == key[order][:-1]) & (np.diff(order) <= gap)]] = True
+    return out
+
+
 def judge(texts: Sequence[str | None], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(terms, terms in stuffing, largest share of recurring terms, largest autocorrelation) of each text."""
     lists = [tokens_of(t) for t in texts]
@@ -188,7 +196,8 @@ def judge(texts: Sequence[str | None], numbers: Numbers) -> tuple[np.ndarray, np
     pairs = around(pair & counted) * enough
     links = around(is_link)
 
-    function = (code >= numbers.n_breaks) & (code < numbers.n_known)
+    # Sentences have different function words; the same one again and again is a keyword that others use in sentences.
+    function = (code >= numbers.n_breaks) & (code < numbers.n_known) & ~_again(key, 2 * REACH)
     where = np.unique(segment.astype(np.int64) + (doc.astype(np.int64) << 32), return_inverse=True)[1]
     items = np.bincount(where)[where]
     unspaced = np.array([bool(t and _UNSPACED.search(t)) for t in texts])
